@@ -189,11 +189,12 @@ def p10(spark, sf_dir):
 @reg.query(
     "p11_partition_filter",
     f"WITH {B.OBSERVATIONS_CTE} SELECT event_id, CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month "
-    "FROM (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN year END AS year, month FROM observations) "
+    "FROM (SELECT event_id, CASE WHEN from_stop_id IS NOT NULL THEN year END AS year, month FROM observations) "
     "WHERE year IS NOT NULL AND month IS NOT NULL",
 )
 def p11(spark, sf_dir):
-    obs = B.observations(spark, sf_dir).withColumn("year", F.when(F.col("event_id") % 5 != 0, F.col("year")))
+    # Rows without a stop stand in for rows outside any partition.
+    obs = B.observations(spark, sf_dir).withColumn("year", F.when(F.col("from_stop_id").isNotNull(), F.col("year")))
     return observations_base(obs, keep=["event_id"]).select("event_id", "year", "month")
 
 
@@ -232,15 +233,15 @@ def p13(spark, sf_dir):
 @reg.query(
     "p14_p15_route_and_service_day",
     f"WITH {B.OBSERVATIONS_CTE} SELECT event_id, {short_route_sql()} AS route_short, "
-    "CASE WHEN event_id % 7 <> 0 THEN CAST(service_date AS DATE) END AS day_date, "
-    "CASE WHEN event_id % 7 <> 0 THEN CAST(day(CAST(service_date AS DATE)) AS INTEGER) END AS service_day, "
-    "CASE WHEN event_id % 7 <> 0 THEN CAST(month(CAST(service_date AS DATE)) AS INTEGER) END AS service_month "
+    "CASE WHEN from_stop_id IS NOT NULL THEN CAST(service_date AS DATE) END AS day_date, "
+    "CASE WHEN from_stop_id IS NOT NULL THEN CAST(day(CAST(service_date AS DATE)) AS INTEGER) END AS service_day, "
+    "CASE WHEN from_stop_id IS NOT NULL THEN CAST(month(CAST(service_date AS DATE)) AS INTEGER) END AS service_month "
     "FROM observations",
 )
 def p14(spark, sf_dir):
     text = (
-        F.when(F.col("event_id") % 7 == 0, "not a day")
-        .when(F.col("event_id") % 3 == 0, F.replace("service_date", F.lit("-"), F.lit("")))
+        F.when(F.col("from_stop_id").isNull(), "not a day")
+        .when(F.col("direction_id") == 1, F.replace("service_date", F.lit("-"), F.lit("")))
         .otherwise(F.col("service_date"))
     )
     day = C.service_day(text)
@@ -317,6 +318,7 @@ SELECT route_id, period, strftime(period, '%Y-%m') AS label, coalesce(n, 0) AS n
 FROM calendar LEFT JOIN held USING (route_id, period)""",
 )
 def p22(spark, sf_dir):
+    # Leaves a hole in the calendar, which the result has to show as an empty month.
     held = B.observations(spark, sf_dir).where("month <> 2")
     return monthly.month_coverage(held, by=["route_id"])
 
