@@ -108,8 +108,12 @@ def pr_points(rows: DataFrame, label: str = "label", score: str = "score", by: S
     Recall is 1 everywhere if there is no positive.
     """
     by = list(by)
-    counts = score_counts(rows, label, score, by)
-    totals = rows.groupBy(*by).agg(F.count_if(F.col(label) == 1).alias("positives"))
+    return _points(score_counts(rows, label, score, by), by)
+
+
+def _points(counts: DataFrame, by: list[str]) -> DataFrame:
+    # Everything below starts from the same counts, whose exchange Spark then reuses.
+    totals = counts.groupBy(*by).agg(F.sum("pos").alias("positives"))
     points = _with_totals(
         running_totals(counts, by, "threshold", ["n", "pos"], descending=True), totals, by
     )
@@ -121,8 +125,10 @@ def pr_points(rows: DataFrame, label: str = "label", score: str = "score", by: S
 
 def pr_curve(rows: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """Precision and recall at each distinct score, and the end point (0, 1) without a threshold."""
-    points = pr_points(rows, label, score, by).select(*by, "threshold", "precision", "recall")
-    end = rows.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 0").select(
+    by = list(by)
+    counts = score_counts(rows, label, score, by)
+    points = _points(counts, by).select(*by, "threshold", "precision", "recall")
+    end = counts.groupBy(*by).agg(F.sum("n").alias("_n")).where("_n > 0").select(
         *by,
         F.lit(None).cast("double").alias("threshold"),
         F.lit(1.0).alias("precision"),
@@ -177,7 +183,7 @@ def order_quantile(values: DataFrame, value: str, level: Column, by: Sequence[st
     """
     by = list(by)
     counts = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("m"))
-    sizes = values.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
+    sizes = counts.groupBy(*by).agg(F.sum("m").alias("n"))
     ranked = _with_totals(running_totals(counts, by, value, ["m"]), sizes, by)
     place = level * (F.col("n") - 1)
     low, high = F.floor(place), F.ceil(place)

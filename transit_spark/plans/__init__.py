@@ -2,6 +2,6 @@
 
 
 def all_registries():
-    from transit_spark.plans import evaluation_queries, headway_queries, realtime_queries
+    from transit_spark.plans import evaluation_queries, headway_queries, model_queries, realtime_queries
 
-    return [headway_queries.reg, realtime_queries.reg, evaluation_queries.reg]
+    return [m.reg for m in (headway_queries, realtime_queries, evaluation_queries, model_queries)]
