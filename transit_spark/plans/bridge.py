@@ -175,3 +175,89 @@ POSITIONS_CTE = (
 )
 
 STORE_CTE = UPDATES_CTE + ", " + POSITIONS_CTE
+
+
+# --- nested feeds and payloads --------------------------------------------------------------------
+
+# Two stop updates per trip entity: the row's own and the next stop with half its delay.
+NEXT_DELAY = "CASE WHEN arrival_delay IS NOT NULL THEN CAST(floor(arrival_delay / 2e0) AS INT) END"
+VEHICLE_NAME = "CASE WHEN status_code = 3 THEN '' ELSE vehicle_id END"
+VEHICLE_LABEL = "CASE WHEN status_code >= 2 AND speed > 2 THEN 'label-' || vehicle_id ELSE '' END"
+TRIP_NAME = "CASE WHEN speed = 11 THEN '' ELSE trip_id END"
+HEADER_TS = "1704067200 + l_partkey * 30"
+
+
+def nested_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One feed per raw row, holding a trip entity with two stop updates and a vehicle entity."""
+    trip = f"struct({TRIP_NAME} AS trip_id, route_id, direction_id)"
+    status = "CASE WHEN status_code = 3 THEN 2 ELSE status_code END"
+    update = "struct({seq} AS stop_sequence, stop_id, {arrival} AS arrival, struct({departure} AS delay) AS departure)"
+    delay = "CASE WHEN {0} IS NOT NULL THEN struct({0} AS delay) END"
+    updates = ", ".join((
+        update.format(seq="stop_sequence", arrival=delay.format("arrival_delay"), departure="departure_delay"),
+        update.format(seq="stop_sequence + 1", arrival=delay.format(f"({NEXT_DELAY})"), departure="departure_delay"),
+    ))
+    vehicle = (
+        f"struct({trip} AS trip, struct({VEHICLE_NAME} AS id, {VEHICLE_LABEL} AS label) AS vehicle, "
+        "struct(CAST(latitude AS FLOAT) AS latitude, CAST(longitude AS FLOAT) AS longitude, bearing, speed) AS position, "
+        f"stop_sequence - 1 AS current_stop_sequence, {status} AS current_status)"
+    )
+    entity = (
+        f"array(struct('t' AS id, struct({trip} AS trip, array({updates}) AS stop_time_update) AS trip_update, NULL AS vehicle), "
+        f"struct('v' AS id, NULL AS trip_update, {vehicle} AS vehicle))"
+    )
+    return raw_feed(spark, sf_dir).selectExpr(
+        "snapshot_ts", f"CAST({HEADER_TS} AS BIGINT) AS header_ts", f"{entity} AS entity", "CAST(NULL AS STRING) AS error"
+    )
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same feeds as encoded payloads (snapshot_ts, content), to be decoded again."""
+    import pyarrow as pa
+
+    def encode(batches):
+        from transit_spark.sources.decode import feed_message_class
+
+        message = feed_message_class()
+
+        def put(target, values):
+            for name, value in values.items():
+                if isinstance(value, dict):
+                    getattr(target, name).SetInParent()
+                    put(getattr(target, name), value)
+                elif isinstance(value, list):
+                    for item in value:
+                        put(getattr(target, name).add(), item)
+                elif value is not None:
+                    setattr(target, name, value)
+
+        for batch in batches:
+            contents = []
+            for stamp, entity in zip(batch.column("header_ts").to_pylist(), batch.column("entity").to_pylist(), strict=True):
+                out = message()
+                out.header.timestamp = stamp
+                put(out, {"entity": entity})
+                contents.append(out.SerializeToString())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("snapshot_ts"), pa.array(contents, pa.binary())], names=["snapshot_ts", "content"]
+            )
+
+    return nested_feeds(spark, sf_dir).mapInArrow(encode, "snapshot_ts timestamp_ntz, content binary")
+
+
+FLAT_UPDATES_CTE = (
+    FEED_CTE
+    + f""", named AS (
+  SELECT *, {TRIP_NAME} AS trip_name, {VEHICLE_NAME} AS vehicle_name, {VEHICLE_LABEL} AS vehicle_label, {HEADER_TS} AS header_ts
+  FROM raw_feed),
+flat_updates AS (
+  SELECT snapshot_ts, trip_name AS trip_id, route_id, direction_id, stop_sequence, stop_id, arrival_delay, departure_delay FROM named
+  UNION ALL
+  SELECT snapshot_ts, trip_name, route_id, direction_id, stop_sequence + 1, stop_id, {NEXT_DELAY}, departure_delay FROM named),
+flat_positions AS (
+  SELECT snapshot_ts, coalesce(nullif(vehicle_name, ''), nullif(vehicle_label, '')) AS vehicle_id, nullif(trip_name, '') AS trip_id,
+         route_id, direction_id, CAST(CAST(latitude AS FLOAT) AS DOUBLE) AS latitude, CAST(CAST(longitude AS FLOAT) AS DOUBLE) AS longitude,
+         nullif(bearing, 0) AS bearing, nullif(speed, 0) AS speed, nullif(stop_sequence - 1, 0) AS stop_sequence,
+         CASE status_code WHEN 0 THEN 'INCOMING_AT' WHEN 1 THEN 'STOPPED_AT' ELSE 'IN_TRANSIT_TO' END AS current_status
+  FROM named WHERE vehicle_name <> '' OR vehicle_label <> '')"""
+)
