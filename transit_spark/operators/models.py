@@ -186,16 +186,14 @@ def compare_models(transition_rows: DataFrame, split: TemporalSplit = TemporalSp
     frame, names = feature_frame(with_split(transition_rows, split), window)
     frame = materialise(frame.where(F.col("split").isNotNull()), "comparison")
     train, test = frame.where(F.col("split") != "test"), frame.where(F.col("split") == "test")
-    sizes = class_balance(train).first()
+    sizes, unseen = class_balance(train).first(), class_balance(test).first()
+    if not all((*sizes[:2], *unseen[:2])):
+        return frame.sparkSession.createDataFrame([], _metric_schema("model string"))
     results = []
     for name, classifier in candidate_models(sizes["negatives"] + sizes["positives"], scale, forest_depth).items():
         fitted = fit(train, names, classifier, balanced=name in BALANCED)
-        if fitted is None:
-            break
         scored = materialise(fitted.score(test, ()), f"compared-{name}")
         results.append(classification_metrics(scored, predicted="voted").withColumn("model", F.lit(name)))
-    if not results:
-        return frame.sparkSession.createDataFrame([], _metric_schema("model string"))
     return reduce(DataFrame.unionByName, results).select("model", "n", "positives", *METRICS)
 
 

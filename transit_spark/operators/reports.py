@@ -78,22 +78,22 @@ def heatmap_matrix(heatmap: DataFrame, stops: Sequence[int], by: Sequence[str] =
 
 
 def histogram(values: DataFrame, column: str, by: Sequence[str] = ROUTE, bins: int = 50) -> DataFrame:
-    """Equal-width bins from the smallest to the largest value; the last bin includes its end."""
+    """Equal-width bins from the smallest to the largest value; the last bin includes its end.
+
+    A single value is placed in the middle of a range one wide.
+    """
     by = list(by)
-    edges = values.groupBy(*by).agg(F.min(column).alias("low"), F.max(column).alias("high"))
-    width = (F.col("high") - F.col("low")) / bins
-    place = F.floor((F.col(column) - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * bins)
+    least, most = F.min(column), F.max(column)
+    pad = F.when(least == most, 0.5).otherwise(0.0)
+    edges = values.groupBy(*by).agg((least - pad).alias("low"), (most + pad).alias("high"))
+    span = F.col("high") - F.col("low")
+    place = F.floor((F.col(column) - F.col("low")) / span * bins)
     return (
         values.where(F.col(column).isNotNull())
         .join(edges, by)
-        .withColumn("bin", F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)).cast("int"))
-        .groupBy(*by, "bin")
-        .agg(
-            F.count("*").alias("n"),
-            F.first(F.col("low")).alias("low"),
-            F.first(width).alias("width"),
-        )
-        .select(*by, "bin", (F.col("low") + F.col("bin") * F.col("width")).alias("bin_start"), "n")
+        .groupBy(*by, "low", "high", F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
+        .agg(F.count("*").alias("n"))
+        .select(*by, "bin", (F.col("low") + F.col("bin") * (span / bins)).alias("bin_start"), "n")
     )
 
 

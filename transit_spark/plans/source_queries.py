@@ -118,7 +118,7 @@ def st1(spark, sf_dir):
 
 @reg.query("st1_collected_log", f"WITH {CHECKED_CTE} {_LOG}")
 def st1_log(spark, sf_dir):
-    return streaming.read_table(spark, _collected(spark, sf_dir), "collection_log").drop(streaming.DAY)
+    return streaming.read_collection_log(spark, _collected(spark, sf_dir))
 
 
 @reg.query(

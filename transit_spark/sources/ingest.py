@@ -163,10 +163,14 @@ def ingest(spark: SparkSession, raw_root: str, parquet_root: str, overwrite: boo
     months = files.join(present, keys, "left").groupBy(*keys).agg(
         F.collect_list("path").alias("paths"), F.count("*").alias("files"), F.max("stored").alias("stored")
     )
+    # Taken once: the listing must not be looked up again after months have been replaced.
+    found = months.orderBy(*keys).collect()
     statuses = []
     for kind, read in READERS.items():
         todo = []
-        for month in months.where(F.col("kind") == kind).orderBy(*PARTITION).collect():
+        for month in found:
+            if month["kind"] != kind:
+                continue
             if month["stored"] and not overwrite:
                 statuses.append((month["year"], month["month"], kind, month["files"], "skipped"))
             else:
