@@ -21,10 +21,16 @@ def one(spark, schema, *rows):
         ("", 0),
         (None, None),
         # Only whole numbers count as pieces.
+        ("-1:10:05", -2995),
+        ("10:05:5 ", 36305),
+        (" 1:10:05", 4205),
+        ("1:1:1:11", 3661),
+        ("12345678", 12345678 * 3600 - (12345678 * 3600 - 2147483647)),
+        ("ab:cd:ef", 0),
         ("12.7:00:30", 30),
         ("1e2:01:00", 60),
-        # Beyond the range of a second counter.
-        ("99999999:00:00", None),
+        # Kept within the range of a second counter.
+        ("99999999:00:00", 2147483647),
     ],
 )
 def test_clock_seconds(spark, text, seconds):

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from transit_spark.operators import monthly
-from transit_spark.operators.gaps import observations_base, stop_gaps
+from transit_spark.operators.gaps import has_hot_group, observations_base, stop_gaps
 from transit_spark.operators.transitions import passage_gaps, post_filter_stats, transitions
 
 SCHEMA = (
@@ -70,16 +70,19 @@ def test_gaps_equal_a_plain_scan(spark, drawn):
                     expected.append((stop, seconds(row[9]), gap, row[5], sched, prev))
             before = row
     base = observations_base(frame(spark, rows), keep=["id"])
-    got = stop_gaps(base, ["stop_key"], ("vehicle_id", "id")).select(
-        "stop_key", "event_seconds", "gap_seconds", "vehicle_id", "scheduled_seconds", "prev_scheduled_seconds"
-    )
-    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))
+    for reduce_first in (True, False):
+        got = stop_gaps(base, ["stop_key"], ("vehicle_id", "id"), reduce_first=reduce_first).select(
+            "stop_key", "event_seconds", "gap_seconds", "vehicle_id", "scheduled_seconds", "prev_scheduled_seconds"
+        )
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))
 
 
-def test_missing_values_order_last(spark):
+@pytest.mark.parametrize("reduce_first", [True, False])
+def test_missing_values_order_last(spark, reduce_first):
     # The row without a vehicle closes its second, so its schedule is what the next second looks back at.
     rows = [observation(1, 100, 50, None), observation(2, 100, 60, "v1"), observation(3, 200, 150, "v2")]
-    got = stop_gaps(observations_base(frame(spark, rows), keep=["id"]), ["stop_key"], ("vehicle_id", "id")).collect()
+    base = observations_base(frame(spark, rows), keep=["id"])
+    got = stop_gaps(base, ["stop_key"], ("vehicle_id", "id"), reduce_first=reduce_first).collect()
     assert len(got) == 1
     assert (got[0]["gap_seconds"], got[0]["prev_scheduled_seconds"]) == (100, 50)
 
@@ -145,16 +148,29 @@ def plan_of(df):
 
 def test_transitions_plan(stored):
     text = plan_of(transitions(stored, ["14"]))
-    assert text.count("Exchange hashpartitioning") == 3
-    # The first exchange already carries one row per group and second.
-    assert text.count("partial_min_by") == 1
+    assert text.count("Exchange hashpartitioning") == 2
     assert "SinglePartition" not in text and "Cartesian" not in text and "NestedLoop" not in text
     read = re.search(r"ReadSchema: (\S+)", text).group(1)
     assert "from_stop_id" not in read and "direction_id" not in read
     assert "PartitionFilters: [isnotnull(year" in text
+    assert "Or(IsNotNull(scheduled_departure_time),IsNotNull(scheduled_arrival_time))" in text
+
+
+def test_plan_with_hot_route_days(stored):
+    text = plan_of(transitions(stored, ["14"], hot_rows=10))
+    # One more exchange, whose rows are already one per group, second and task.
+    assert text.count("Exchange hashpartitioning") == 3
+    assert text.count("partial_min_by") == 1
+
+
+def test_both_plans_give_the_same_tables(stored):
+    for build in (transitions, monthly.monthly_bunching, monthly.monthly_headway_drift):
+        small, hot = (build(stored, hot_rows=limit) for limit in (10**9, 0))
+        rows = sorted(map(repr, small.collect()))
+        assert rows and rows == sorted(map(repr, hot.select(*small.columns).collect()))
 
 
-def test_drift_plan_shuffles_small_rows(stored):
+def test_drift_plan_reads_no_vehicles(stored):
     text = plan_of(monthly.monthly_headway_drift(stored, "14"))
     assert "SortAggregate" not in text and "SinglePartition" not in text
     assert "vehicle_id" not in re.search(r"ReadSchema: (\S+)", text).group(1)
@@ -170,5 +186,7 @@ def test_hot_group_is_reduced_before_the_shuffle(spark):
         F.lit(None).cast("string").alias("observed_arrival_time"),
         F.lit("00:00:00").alias("scheduled_departure_time"), F.lit(None).cast("string").alias("scheduled_arrival_time"), "id",
     )
-    got = passage_gaps(rows, None, ("vehicle_id", "id"))
-    assert [r["gap_seconds"] for r in got.collect()] == [300]
+    assert has_hot_group(rows, None, 10000) and not has_hot_group(rows, None, 30000)
+    for limit in (10000, 30000):
+        got = passage_gaps(rows, None, ("vehicle_id", "id"), hot_rows=limit)
+        assert [r["gap_seconds"] for r in got.collect()] == [300]

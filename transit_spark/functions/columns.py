@@ -29,14 +29,28 @@ _MAX_SUFFIX_FILTERS = 16
 def clock_seconds(text: Column) -> Column:
     """Seconds of ``HH:MM:SS`` text; hours may pass 24, an unreadable piece counts as zero.
 
-    Only plain integers are read as pieces. The sum is formed as BIGINT so that junk hours
-    cannot overflow under ANSI mode; a sum beyond INT becomes NULL.
+    Only plain integers are read as pieces. The sum is formed as BIGINT and kept within INT, so
+    junk cannot overflow under ANSI mode and the result is NULL only where the text is. Text of the
+    exact form dd:dd:dd, nearly all of it, is read as one number instead of three pieces.
     """
     total = F.lit(0).cast("bigint")
     for index, unit in enumerate((3600, 60, 1), start=1):
         piece = F.split_part(text, F.lit(":"), F.lit(index)).try_cast("int").cast("bigint")
         total = total + F.coalesce(piece, F.lit(0)) * unit
-    return F.when(text.isNotNull(), total.try_cast("int"))
+    bounded = F.least(F.greatest(total, F.lit(-(1 << 31))), F.lit((1 << 31) - 1)).cast("int")
+
+    digits = F.replace(text, F.lit(":"), F.lit("")).try_cast("int")
+    regular = (
+        (digits >= 0)
+        & (F.octet_length(text) == 8)
+        & (F.substring(text, 3, 1) == ":")
+        & (F.substring(text, 6, 1) == ":")
+        & (F.octet_length(F.trim(text)) == 8)
+    )
+    second, minute = digits % 100, (digits - digits % 100) % 10000
+    hour = digits - digits % 10000
+    quick = second + (minute / 100).cast("int") * 60 + (hour / 10000).cast("int") * 3600
+    return F.when(text.isNotNull(), F.when(regular, quick).otherwise(bounded))
 
 
 def event_clock(departure: str, arrival: str) -> Column:
@@ -44,6 +58,11 @@ def event_clock(departure: str, arrival: str) -> Column:
     return clock_seconds(F.coalesce(F.col(departure), F.col(arrival)))
 
 
+def has_clock(departure: str, arrival: str) -> Column:
+    """Where :func:`event_clock` is known, as a test of the stored columns that reaches the scan."""
+    return F.col(departure).isNotNull() | F.col(arrival).isNotNull()
+
+
 def direction_or_default(df: DataFrame, name: str = "direction_id") -> Column:
     if name not in df.columns:
         return F.lit(-1)

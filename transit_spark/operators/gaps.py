@@ -1,10 +1,11 @@
-"""Gaps between consecutive passages of a stop, built to survive a hot stop.
+"""Gaps between consecutive passages of a stop.
 
-Only positive gaps are ever used downstream, so of all passages of a group in one
-second just two matter: the first one can have a positive gap, and the last one is what the
-next second looks back at. Passages are therefore reduced to one row per group and second
-with a partial aggregate *before* anything is shuffled, and the window then orders at most
-one row per second of a service day in each group, however many rows the group had.
+Two plans give the same rows. Where every route-day is small enough for one task, passages are
+ordered by a window. Otherwise they are reduced first: only positive gaps are used downstream,
+so of all passages of a group in one second just two matter, the first (it alone can have a
+positive gap) and the last (the next second looks back at it). A partial aggregate keeps those
+two *before* anything is shuffled, and the window then orders at most one row per second of a
+service day in each group, however many rows the group had.
 """
 
 from __future__ import annotations
@@ -25,13 +26,29 @@ def nulls_last(*names: str) -> Column:
     return F.struct(*fields)
 
 
+ROUTE_DAY = ("route_id", "service_date")
+# Rows of a route-day that one task may order by itself.
+HOT_ROWS = 5_000_000
+
+OBSERVED = ("observed_departure_time", "observed_arrival_time")
+SCHEDULED = ("scheduled_departure_time", "scheduled_arrival_time")
+
+
 def observations_base(
     df: DataFrame,
     routes: str | Sequence[str] | None = None,
     keep: Sequence[str] = (),
+    scheduled_only: bool = False,
 ) -> DataFrame:
-    """Observations narrowed to the columns the headway operators use, with clock seconds."""
-    rows = df.where(F.col("year").isNotNull() & F.col("month").isNotNull())
+    """Observed passages narrowed to the columns the headway operators use, with clock seconds.
+
+    A passage without an observed time comes last in any group, so it neither has a gap nor ends
+    one, and is left out here. ``scheduled_only`` also leaves out those without a schedule.
+    All filters are on stored columns: the clock text of a dropped row is never parsed.
+    """
+    rows = df.where(F.col("year").isNotNull() & F.col("month").isNotNull() & C.has_clock(*OBSERVED))
+    if scheduled_only:
+        rows = rows.where(C.has_clock(*SCHEDULED))
     if routes:
         rows = rows.where(C.on_routes(F.col("route_id"), routes))
     return rows.select(
@@ -43,47 +60,74 @@ def observations_base(
         C.stop_key(df).alias("stop_key"),
         F.col("stop_sequence").try_cast("int").alias("stop_sequence_int"),
         "vehicle_id",
-        C.event_clock("observed_departure_time", "observed_arrival_time").alias("event_seconds"),
-        C.event_clock("scheduled_departure_time", "scheduled_arrival_time").alias("scheduled_seconds"),
+        C.event_clock(*OBSERVED).alias("event_seconds"),
+        C.event_clock(*SCHEDULED).alias("scheduled_seconds"),
         *keep,
     )
 
 
+def has_hot_group(
+    observations: DataFrame, routes: str | Sequence[str] | None = None, limit: int = HOT_ROWS,
+    keys: Sequence[str] = ROUTE_DAY,
+) -> bool:
+    """Whether a group of ``keys`` has more than ``limit`` rows.
+
+    Every window of the headway operators lies inside a route-day, so its count bounds them all. The
+    count reads two columns and is summed inside the tasks; one number comes back.
+    """
+    rows = observations.where(C.on_routes(F.col("route_id"), routes)) if routes else observations
+    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return (largest or 0) > limit
+
+
 def stop_gaps(
     base: DataFrame,
     partition: Sequence[str],
     ties: Sequence[str] = ("vehicle_id",),
     carry: Sequence[str] = ("vehicle_id", "scheduled_seconds"),
     look_back: Sequence[str] = ("scheduled_seconds",),
+    reduce_first: bool = True,
 ) -> DataFrame:
     """Every passage with a positive gap to the passage before it in its group.
 
     Returns ``partition``, ``event_seconds``, ``carry``, ``prev_event_seconds`` and
-    ``prev_<column>`` for each column of ``look_back``. Passages are ordered by second and
-    then by ``ties``, missing values last. A passage without a second comes last in its
-    group, so it neither has a gap nor ends one, and is left out at once.
+    ``prev_<column>`` for each column of ``look_back``. Passages have a second, and are ordered by
+    it and then by ``ties``, missing values last.
     """
-    reduced = []
-    if carry:
-        reduced.append(F.min_by(F.struct(*carry), nulls_last(*ties)).alias("opening"))
-    if look_back:
-        reduced.append(F.max_by(F.struct(*look_back), nulls_last(*ties)).alias("closing"))
-    seconds = base.where(F.col("event_seconds").isNotNull())
     group = [*partition, "event_seconds"]
-    per_second = seconds.groupBy(*group).agg(*reduced) if reduced else seconds.select(*group).distinct()
+    order = ["event_seconds"]
+    if reduce_first:
+        rows = _one_row_per_second(base, group, ties, carry, look_back)
+        own, last = "opening", "closing"
+    else:
+        if carry or look_back:
+            order += [t for t in ties if t not in group]
+        rows = base.select(*dict.fromkeys([*group, *order, *carry, *look_back]))
+        own = last = None
 
-    window = Window.partitionBy(*partition).orderBy("event_seconds")
-    before = {"prev_event_seconds": F.lag("event_seconds").over(window)}
-    if look_back:
-        before["prev_closing"] = F.lag("closing").over(window)
+    def value(struct: str | None, name: str) -> Column:
+        return F.col(f"{struct}.{name}" if struct else name)
+
+    window = Window.partitionBy(*partition).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    before = {f"prev_{c}": F.lag(value(last, c)).over(window) for c in look_back}
+    gap = F.col("event_seconds") - F.col("prev_event_seconds")
     return (
-        per_second.withColumns(before)
-        .where(F.col("prev_event_seconds").isNotNull())
+        rows.withColumns({"prev_event_seconds": F.lag("event_seconds").over(window), **before})
+        .where(F.col("prev_event_seconds") < F.col("event_seconds"))
         .select(
             *group,
             "prev_event_seconds",
-            (F.col("event_seconds") - F.col("prev_event_seconds")).alias("gap_seconds"),
-            *[F.col(f"opening.{c}").alias(c) for c in carry],
-            *[F.col(f"prev_closing.{c}").alias(f"prev_{c}") for c in look_back],
+            gap.alias("gap_seconds"),
+            *[value(own, c).alias(c) for c in carry],
+            *before,
         )
     )
+
+
+def _one_row_per_second(base, group, ties, carry, look_back) -> DataFrame:
+    reduced = []
+    if carry:
+        reduced.append(F.min_by(F.struct(*carry), nulls_last(*ties)).alias("opening"))
+    if look_back:
+        reduced.append(F.max_by(F.struct(*look_back), nulls_last(*ties)).alias("closing"))
+    return base.groupBy(*group).agg(*reduced) if reduced else base.select(*group).distinct()

@@ -189,8 +189,8 @@ def p10(spark, sf_dir):
 @reg.query(
     "p11_partition_filter",
     f"WITH {B.OBSERVATIONS_CTE} SELECT event_id, CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month "
-    "FROM (SELECT event_id, CASE WHEN from_stop_id IS NOT NULL THEN year END AS year, month FROM observations) "
-    "WHERE year IS NOT NULL AND month IS NOT NULL",
+    "FROM (SELECT event_id, CASE WHEN from_stop_id IS NOT NULL THEN year END AS year, month, "
+    "observed_departure_time, observed_arrival_time FROM observations) WHERE year IS NOT NULL AND month IS NOT NULL AND coalesce(observed_departure_time, observed_arrival_time) IS NOT NULL",
 )
 def p11(spark, sf_dir):
     # Rows without a stop stand in for rows outside any partition.

@@ -98,7 +98,7 @@ def pairs(spark, sf_dir):
     f"WITH {B.UPDATES_CTE} SELECT * FROM trip_updates",
 )
 def d1(spark, sf_dir):
-    return B.trip_updates(spark, sf_dir)
+    return B.derive_trip_updates(spark, sf_dir)
 
 
 @reg.query(
@@ -106,7 +106,7 @@ def d1(spark, sf_dir):
     f"WITH {B.STORE_CTE} SELECT * FROM vehicle_positions",
 )
 def d2(spark, sf_dir):
-    return B.vehicle_positions(spark, sf_dir)
+    return B.derive_vehicle_positions(spark, sf_dir)
 
 
 _UPDATE_LIST = ", ".join(B.UPDATE_COLUMNS)
