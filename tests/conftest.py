@@ -19,6 +19,8 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.driver.memory": "4g",
             "spark.ui.showConsoleProgress": "false",
+            # Plan tests read whole scan descriptions.
+            "spark.sql.maxMetadataStringLength": "5000",
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="transit-checkpoint-"),
         },
     )
