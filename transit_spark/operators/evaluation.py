@@ -343,7 +343,6 @@ def poisson_bootstrap(
     resamples x 4 sums per task move. Work is rows x resamples; :func:`bootstrap_intervals` gives
     the same interval at the cost of one pass and is the one to use on large hold-outs.
     """
-    # A pandas-free equivalent of numpy resampling: weights are functions of (seed, row, replicate).
     seeded = F.concat_ws(":", F.lit(seed), F.col(row_id), F.col("replicate"))
     weighted = (
         rows.select(row_id, label, predicted)
