@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from transit_spark.llm import decontamination
+from transit_spark.llm import decontamination, simhash
 from transit_spark.plans.registry import Registry
 
 reg = Registry()
@@ -37,3 +37,8 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 @reg.query("op4_decontamination", DECONTAMINATION_SQL)
 def op4_decontamination(spark, sf_dir):
     return decontamination.digest(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@reg.query("op3_simhash_near_dedup")
+def op3_simhash_near_dedup(spark, sf_dir):
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
