@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from transit_spark.llm import decontamination, simhash
+import public_tokenizers
+
+from transit_spark.llm import decontamination, simhash, token_files
 from transit_spark.plans.registry import Registry
 
 reg = Registry()
@@ -42,3 +44,8 @@ def op4_decontamination(spark, sf_dir):
 @reg.query("op3_simhash_near_dedup")
 def op3_simhash_near_dedup(spark, sf_dir):
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+@reg.query("op5_token_files")
+def op5_token_files(spark, sf_dir):
+    return token_files.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
