@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from transit_spark.llm import decontamination, simhash, token_files
+from transit_spark.llm import decontamination, sharding, simhash, token_files
 from transit_spark.plans.registry import Registry
 
 reg = Registry()
@@ -49,3 +49,28 @@ def op3_simhash_near_dedup(spark, sf_dir):
 @reg.query("op5_token_files")
 def op5_token_files(spark, sf_dir):
     return token_files.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+SHARDING_SQL = r"""
+WITH steps AS (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) AS c
+               FROM (SELECT unnest(range(256)) AS i)),
+tab AS (SELECT list(c ORDER BY i) AS t FROM steps),
+d AS (SELECT doc_id, source, coalesce(strlen(text), 0) + 1 AS size, md5('42:' || doc_id) AS key,
+             xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+                 list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+                 lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS text_crc32
+      FROM documents, tab),
+r AS (SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY key, doc_id, text_crc32, size) - 1)::DOUBLE
+                / (2 * count(*) OVER (PARTITION BY source)) AS fraction FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST, key, doc_id, text_crc32, size) - 1 AS place,
+             count(*) OVER () AS n FROM r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law,
+       CAST(place * 8 // n AS INTEGER) AS shard, CAST(place - ((place * 8 // n) * n + 7) // 8 AS BIGINT) AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard
+FROM p
+"""
+
+
+@reg.query("op6_sharding", SHARDING_SQL)
+def op6_sharding(spark, sf_dir):
+    return sharding.digest(sharding.shards(table(spark, sf_dir, "documents")))
