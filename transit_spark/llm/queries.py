@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from transit_spark.llm import decontamination, sharding, simhash, token_files
+from transit_spark.llm import decontamination, fm_index, sharding, simhash, suffix_dedup, token_files
 from transit_spark.plans.registry import Registry
 
 reg = Registry()
@@ -74,3 +74,29 @@ FROM p
 @reg.query("op6_sharding", SHARDING_SQL)
 def op6_sharding(spark, sf_dir):
     return sharding.digest(sharding.shards(table(spark, sf_dir, "documents")))
+
+
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT h, min(doc_id) AS least FROM s GROUP BY h),
+p AS (SELECT doc_id, list(DISTINCT p) AS gone
+      FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM s JOIN f USING (h) WHERE least < doc_id) GROUP BY doc_id),
+k AS (SELECT doc_id, list(word ORDER BY p) AS kept
+      FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d)
+      ANTI JOIN (SELECT doc_id, unnest(gone) AS p FROM p) USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+@reg.query("op8_substring_dedup", SUBSTRING_SQL)
+def op8_substring_dedup(spark, sf_dir):
+    return fm_index.digest(fm_index.without_repeats(table(spark, sf_dir, "documents")))
+
+
+@reg.query("op10_suffix_array_dedup")
+def op10_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.digest(suffix_dedup.without_repeats(table(spark, sf_dir, "documents")))
