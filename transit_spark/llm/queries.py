@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from transit_spark.llm import decontamination, fm_index, sharding, simhash, suffix_dedup, token_files
+from transit_spark.llm import decontamination, fm_index, quality, sharding, simhash, suffix_dedup, token_files
 from transit_spark.plans.registry import Registry
 
 reg = Registry()
@@ -100,3 +100,8 @@ def op8_substring_dedup(spark, sf_dir):
 @reg.query("op10_suffix_array_dedup")
 def op10_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.digest(suffix_dedup.without_repeats(table(spark, sf_dir, "documents")))
+
+
+@reg.query("op1_quality_classifier")
+def op1_quality_classifier(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
