@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             model = fit([r[1] for r in found], label, weight)
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
-    return rows.coalesce(1).mapInArrow(run, "model binary").first().model
+    return rows.repartition(1).mapInArrow(run, "model binary").first().model
 
 
 def scored(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

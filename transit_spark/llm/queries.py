@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from transit_spark.llm import decontamination, fm_index, quality, sharding, simhash, suffix_dedup, token_files
+from transit_spark.llm import decontamination, fm_index, language, quality, sharding, simhash, suffix_dedup, token_files
 from transit_spark.plans.registry import Registry
 
 reg = Registry()
@@ -105,3 +105,8 @@ def op10_suffix_array_dedup(spark, sf_dir):
 @reg.query("op1_quality_classifier")
 def op1_quality_classifier(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@reg.query("op2_language_id")
+def op2_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
