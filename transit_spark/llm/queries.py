@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from transit_spark.llm import decontamination, fm_index, language, quality, sharding, simhash, suffix_dedup, token_files
+from transit_spark.llm import decontamination, fm_index, language, neighbours, quality, sharding, simhash, suffix_dedup, token_files
 from transit_spark.plans.registry import Registry
 
 reg = Registry()
@@ -110,3 +110,9 @@ def op1_quality_classifier(spark, sf_dir):
 @reg.query("op2_language_id")
 def op2_language_id(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+@reg.query("op9_nearest_neighbours")
+def op9_nearest_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.neighbours(vectors, vectors.where("vec_id % 50 = 0"))
