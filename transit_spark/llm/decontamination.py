@@ -186,6 +186,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     )
 
 
+def clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``documents`` without those that hold a window of the benchmark."""
+    found = contamination(documents, benchmark, id_col, text_col).where("n_hit > 0").select(F.col(id_col).alias("leak_id"), F.col("text_key").alias("leak_key")).distinct()
+    same = documents[id_col].eqNullSafe(found["leak_id"]) & (F.xxhash64(documents[text_col]) == found["leak_key"])
+    return documents.join(found, same, "left_anti")
+
+
 def digest(result: DataFrame) -> DataFrame:
     return result.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

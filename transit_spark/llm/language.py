@@ -120,7 +120,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         model = fit([t.encode() for _, t, _ in found], [lang for _, _, lang in found])
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
-    return rows.repartition(1).mapInArrow(run, "model binary").first().model
+    fitted = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return fitted.model if fitted else pickle.dumps(fit([], []))
 
 
 def predicted(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:

@@ -172,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             model = fit([r[1] for r in found], label, weight)
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
-    return rows.repartition(1).mapInArrow(run, "model binary").first().model
+    fitted = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return fitted.model if fitted else pickle.dumps(0.5)
 
 
 def scored(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,3 +206,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"),
         (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` whose score reaches the threshold."""
+    return scored(docs, train(docs, labels.where(~held_out()))).where(F.col("quality_score") >= threshold).drop("quality_score")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from transit_spark.llm import decontamination, fm_index, language, neighbours, quality, sharding, simhash, suffix_dedup, token_files
+from transit_spark.llm import decontamination, fm_index, language, neighbours, pieces, quality, sharding, simhash, suffix_dedup, token_files
 from transit_spark.plans.registry import Registry
 
 reg = Registry()
@@ -94,12 +94,12 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN k USING (doc_id)
 
 @reg.query("op8_substring_dedup", SUBSTRING_SQL)
 def op8_substring_dedup(spark, sf_dir):
-    return fm_index.digest(fm_index.without_repeats(table(spark, sf_dir, "documents")))
+    return fm_index.digest(fm_index.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 @reg.query("op10_suffix_array_dedup")
 def op10_suffix_array_dedup(spark, sf_dir):
-    return suffix_dedup.digest(suffix_dedup.without_repeats(table(spark, sf_dir, "documents")))
+    return suffix_dedup.digest(suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 @reg.query("op1_quality_classifier")
@@ -116,3 +116,15 @@ def op2_language_id(spark, sf_dir):
 def op9_nearest_neighbours(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.neighbours(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@reg.query("op7_sentencepiece")
+def op7_sentencepiece(spark, sf_dir):
+    return pieces.digest(pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+@reg.query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from transit_spark.llm import text as tx
 from transit_spark.session import materialise
@@ -56,9 +57,13 @@ class Spans:
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row_key, text). Rows that share an id and a text share a key and get the same result."""
+    """(id, row_key, text, carried). Rows that share an id and a text share a key and get the same result.
+
+    carried: all columns but the text, as they were.
+    """
     text = F.col(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row_key"), text.alias("text"), carried.alias("carried"))
 
 
 ANCHOR = "id bigint, row_key bigint, key bigint, seg bigint, at int, left int, right int"
@@ -87,7 +92,7 @@ def anchors(rows: DataFrame, kind: Spans) -> DataFrame:
                     ["id", "row_key", "key", "seg", "at", "left", "right"],
                 )
 
-    return rows.mapInArrow(run, ANCHOR)
+    return rows.select("id", "row_key", "text").mapInArrow(run, ANCHOR)
 
 
 SEGMENT = "key bigint, seg bigint, least bigint, asked boolean, left int, hot boolean, body binary"
@@ -98,6 +103,7 @@ def _bodies(rows: DataFrame, wanted: DataFrame, kind: Spans) -> DataFrame:
     per_doc = wanted.groupBy(F.col("id").alias("w_id"), F.col("row_key").alias("w_key")).agg(
         F.collect_list(F.struct("key", "seg", "least", "asked", "at", "left", "right", "hot")).alias("wanted")
     ).hint("shuffle_hash")
+    rows = rows.select("id", "row_key", "text")
     texts = rows.join(per_doc, rows["id"].eqNullSafe(per_doc["w_id"]) & (rows["row_key"] == per_doc["w_key"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +280,7 @@ def covered(rows: DataFrame, kind: Spans, search: Search, by_id: bool) -> DataFr
 
 
 def removed(rows: DataFrame, kind: Spans, search: Search, by_id: bool) -> DataFrame:
-    """(id, n_units, n_removed, n_spans, kept) of each row; kept: what is left, words joined by one space."""
+    """(id, n_units, n_removed, n_spans, kept, carried) of each row; kept: what is left, words joined by one space."""
     spans = covered(rows, kind, search, by_id)
     spans = spans.select(F.col("id").alias("s_id"), F.col("row_key").alias("s_key"), "spans").hint("shuffle_hash")
     marked = rows.join(spans, rows["id"].eqNullSafe(spans["s_id"]) & (rows["row_key"] == spans["s_key"]), "left")
@@ -299,10 +305,10 @@ def removed(rows: DataFrame, kind: Spans, search: Search, by_id: bool) -> DataFr
                 out[2].append(len(merged))
                 out[3].append(b"".join(kept) if kind.bytewise else b" ".join(w for k in kept for w in k))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())],
-                ["id", "n_units", "n_removed", "n_spans", "kept"],
+                [batch.column("id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary()), batch.column("carried")],
+                ["id", "n_units", "n_removed", "n_spans", "kept", "carried"],
             )
 
-    return marked.select("id", "text", "spans").mapInArrow(
-        run, "id bigint, n_units bigint, n_removed bigint, n_spans bigint, kept binary"
-    )
+    numbers = [StructField(c, LongType()) for c in ("id", "n_units", "n_removed", "n_spans")]
+    schema = StructType([*numbers, StructField("kept", BinaryType()), rows.schema["carried"]])
+    return marked.select("id", "text", "spans", "carried").mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transit_spark.llm import text as tx
@@ -195,5 +195,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without near-duplicates: of each component the row with the smallest id stays.
+
+    Of rows that share that id, the one whose text has the smallest hash stays. A row with a null id stays.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col).isNotNull())
+    of_id = found.groupBy(F.col(id_col).alias("near_id")).agg(F.min("component").alias("near_least"), F.count(F.lit(1)).alias("near_rows"))
+    decided = materialise(of_id.where("near_least < near_id OR near_rows > 1"), "near-duplicates")
+    known = decided.select("near_id")
+    rest = docs.join(known, docs[id_col] == known["near_id"], "left_anti")
+    kept = decided.where("near_least = near_id").select(F.col("near_id").alias("kept_id"))  # the first row of an id that repeats
+    again = docs.join(kept, docs[id_col] == kept["kept_id"], "left_semi")
+    place = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+    again = again.withColumn("near_place", F.row_number().over(place)).where("near_place = 1").drop("near_place")
+    return rest.unionByName(again)
+
+
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))

@@ -67,11 +67,25 @@ def search(reach: int):
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES,
                     gram_bytes: int = GRAM_BYTES) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept) of each row; kept: the bytes that are left."""
+    """(id, n_bytes, n_removed, n_spans, kept, carried) of each row; kept: the bytes that are left; carried: its other columns."""
     kind = repeats.Spans(True, min_bytes, gram_bytes)
     rows = repeats.numbered(docs, id_col, text_col)
     result = repeats.removed(rows, kind, search(kind.reach), by_id=False)
-    return result.select(F.col("id").alias(id_col), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept")
+    return result.select(F.col("id").alias(id_col), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept", "carried")
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of the texts, and ``chars_col``, if it is there, counted anew.
+
+    Of a character that a cut splits, what is left becomes U+FFFD. A null text becomes an empty one.
+    """
+    result = without_repeats(docs, id_col, text_col, **options)
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    columns = [text.alias(c) if c == text_col else F.col(f"carried.`{c}`").alias(c) for c in docs.columns]
+    out = result.select(*columns)
+    if chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
+    return out
 
 
 def digest(result: DataFrame) -> DataFrame:
