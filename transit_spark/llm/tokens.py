@@ -1,65 +1,139 @@
 """Token ids of texts, by the tokenizers library, with repeated chunks encoded once.
 
-The vocabulary drops white space and never joins what stands on two sides of it, so a text is encoded chunk by chunk. Each
-Python worker keeps the ids of chunks that it has met, up to ``KEPT_CHUNKS``.
+The vocabulary drops white space and never joins what stands on two sides of it, so a text is encoded chunk by chunk. A
+vocabulary that lower-cases and splits letters from punctuation also gives a word the ids of its lower-case letters and
+those of the marks at its end. Each Python worker keeps the ids of the chunks and pieces that it has met, up to ``KEPT``.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 
-KEPT_CHUNKS = 400_000
+from transit_spark.llm.text import expand
+
+KEPT = 500_000
+RUN_PIECES = 512
 #: Characters that Python's split() drops and the vocabulary's normaliser may keep.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 _PLAIN = re.compile(r"[^ \t\n\r]+")
+_END_MARKS = ".,!?;:"
 
 
-class ChunkEncoder:
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
+class _Table:
+    """Id sequences by key."""
 
-    def _clear(self) -> None:
+    def __init__(self) -> None:
         self.known: dict[str, int] = {}
         self.first = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, chunks: list[str]) -> None:
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.known)
-        self.known.update(zip(chunks, range(n, n + len(chunks))))
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter((i for c in coded for i in c), np.uint32, int(sizes.sum()))
+        self.known.update(zip(keys, range(n, n + len(keys))))
         self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes)))
-        self.ids = np.concatenate((self.ids, flat))
+        self.ids = np.concatenate((self.ids, ids))
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and the number of ids of each; a null text is an empty one."""
-        split = [self._split(t) if t else [] for t in texts]
-        flat = [c for chunks in split for c in chunks]
-        new = list(set(flat).difference(self.known))
-        if len(self.known) + len(new) > KEPT_CHUNKS:
-            self._clear()
-            new = list(set(flat))
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+    def get(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all keys, one after the other, and the number of each."""
+        at = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
         sizes = self.first[at + 1] - self.first[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.first[at] - (ends - sizes), sizes) + np.arange(total)]
-        upto = np.concatenate(([0], ends))
-        chunks = np.cumsum([0, *map(len, split)])
-        return ids, np.diff(upto[chunks])
+        return self.ids[np.repeat(self.first[at] - (ends - sizes), sizes) + np.arange(total)], sizes
+
+
+class _Cache:
+    """Two generations of a table: when the newer one is full it becomes the older, and what is met again moves over."""
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
+        self.learn, self.new, self.old = learn, _Table(), _Table()
+
+    def get(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        missing = set(keys).difference(self.new.known)
+        if len(self.new.known) + len(missing) > KEPT // 2:
+            self.old, self.new, missing = self.new, _Table(), set(keys)
+        kept = [k for k in missing if k in self.old.known]
+        if kept:
+            self.new.add(kept, *self.old.get(kept))
+            missing.difference_update(kept)
+        if missing:
+            unseen = list(missing)
+            self.new.add(unseen, *self.learn(unseen))
+        return self.new.get(keys)
+
+
+class ChunkEncoder:
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.between, self.between_id = max(added.items(), key=lambda t: t[1]) if added else ("", -1)
+        rules = json.loads(self.tokenizer.to_str())
+        split = json.dumps(rules["pre_tokenizer"])
+        self.by_word = '"Lowercase"' in json.dumps(rules["normalizer"]) and r"[\\p{L}]+" in split and r"[^\\s\\p{L}\\p{N}]+" in split
+        # Lower-case ASCII words need neither normalising nor splitting.
+        bytewise = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.words_only = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": bytewise})) if self.by_word else None
+        self.pieces, self.chunks = _Cache(self._piece_ids), _Cache(self._chunk_ids)
+
+    def _runs(self, tokenizer, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many pieces are one text for the library, with a special token, which nothing is merged with, between them."""
+        sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        runs = [self.between.join(pieces[i : i + RUN_PIECES]) for i in range(0, len(pieces), RUN_PIECES)]
+        for e in tokenizer.encode_batch_fast(runs, add_special_tokens=False):
+            run = np.array(e.ids, np.uint32)
+            marks = np.flatnonzero(run == self.between_id)
+            sizes.append(np.diff(np.concatenate(([-1], marks, [len(run)]))) - 1)
+            flat.append(np.delete(run, marks))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _piece_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        kinds: tuple[list[str], list[str], list[str]] = ([], [], [])
+        where: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for i, c in enumerate(pieces):
+            kind = 2 if self.between in c else 0 if self.by_word and c.isascii() and c.isalpha() and c.islower() else 1
+            kinds[kind].append(c)
+            where[kind].append(i)
+        alone = [e.ids for e in self.tokenizer.encode_batch_fast(kinds[2], add_special_tokens=False)]
+        found = [
+            self._runs(self.words_only, kinds[0]), self._runs(self.tokenizer, kinds[1]),
+            (np.array([i for ids in alone for i in ids], np.uint32), np.array([len(ids) for ids in alone], np.int64)),
+        ]
+        # back to the order of the pieces
+        ids, sizes = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        order = np.argsort(np.concatenate([np.array(w, np.int64) for w in where]))
+        first = np.cumsum(sizes) - sizes
+        owner, at = expand(first[order], sizes[order])
+        return ids[at], sizes[order]
+
+    def _split(self, chunk: str) -> tuple[str, str]:
+        """A word of ASCII letters and the marks at its end; anything else stays whole."""
+        if self.by_word and chunk.isascii():
+            stem = chunk.rstrip(_END_MARKS)
+            if stem.isalpha():
+                return stem.lower(), chunk[len(stem) :]
+        return chunk, ""
+
+    def _chunk_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = self.pieces.get([p for c in chunks for p in self._split(c)])
+        return ids, sizes.reshape(-1, 2).sum(1)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the number of ids of each; a null text is an empty one."""
+        split = [self._chunks(t) if t else [] for t in texts]
+        ids, sizes = self.chunks.get([c for chunks in split for c in chunks])
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        return ids, np.diff(upto[np.cumsum([0, *map(len, split)])])
 
     @staticmethod
-    def _split(text: str) -> list[str]:
+    def _chunks(text: str) -> list[str]:
         return _PLAIN.findall(text) if any(c in text for c in ODD_SPACES) else text.split()
 
 
