@@ -172,8 +172,12 @@ def lattice(chunks: list[bytes], voc: Vocabulary) -> Lattice:
     log_p = np.minimum(weight + beta[target] - beta[source], 0.0)
     first, last = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
     first[nodes], last[nodes] = starts, bounds[1:]
-    p = np.cumsum(np.exp(log_p))
-    upto = p - np.repeat(np.concatenate(([0.0], p))[starts], counts)
+    upto = np.exp(log_p)
+    at, k = starts[counts > 1], 1
+    while len(at):  # sums within nodes, so that they don't depend on what else is in the run
+        upto[at + k] += upto[at + k - 1]
+        k += 1
+        at = at[last[source[at]] - at > k]
     upto[bounds[1:] - 1] = 1.0  # exact at each node's last edge
     return Lattice(start, left == 0, first, last, source, target, piece, log_p, upto, raw)
 
@@ -250,11 +254,12 @@ def samples_of(lat: Lattice, chunk: np.ndarray, first: np.ndarray, seeds: np.nda
         ends = upto[np.concatenate(([0], np.cumsum(sizes)))]
         where = np.repeat(relative, counts)
         log_p = lat.log_p[edges]
-        total = np.cumsum(log_p)
         step_doc = np.repeat(np.arange(len(docs)), np.diff(ends))
-        base = np.concatenate(([0.0], total))[ends[:-1]]
-        start_phi = np.array([prefix[d][2] for d in docs])
-        before = total - log_p - base[step_doc] + start_phi[step_doc]
+        total = np.empty(len(log_p))
+        for d, a, b in zip(docs.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+            np.cumsum(log_p[a:b], out=total[a:b])
+            total[a:b] += prefix[d][2]
+        before = total - log_p
         with np.errstate(divide="ignore"):
             mu = before + np.log(-np.expm1(np.minimum(log_p, 0.0)))
         leaving = lat.source[edges]
@@ -265,7 +270,7 @@ def samples_of(lat: Lattice, chunk: np.ndarray, first: np.ndarray, seeds: np.nda
         for x, d in enumerate(docs.tolist()):
             a, b = int(ends[x]), int(ends[x + 1])
             old_edges, old_where, phi = prefix[d]
-            path = Path(np.concatenate((old_edges, edges[a:b])), np.concatenate((old_where, where[a:b])), phi + (float(total[b - 1] - base[x]) if b > a else 0.0), float(value[d]))
+            path = Path(np.concatenate((old_edges, edges[a:b])), np.concatenate((old_where, where[a:b])), float(total[b - 1]) if b > a else phi, float(value[d]))
             mine = rest[a:b]
             best = np.argpartition(-mine, more - 1)[:more] if len(mine) > more else np.arange(len(mine))
             for s in best.tolist():
