@@ -20,15 +20,15 @@ def one(spark, schema, *rows):
         ("7:05", 25500),
         ("", 0),
         (None, None),
-        # Only whole numbers count as pieces.
+        # Other number text is rounded.
         ("-1:10:05", -2995),
         ("10:05:5 ", 36305),
         (" 1:10:05", 4205),
         ("1:1:1:11", 3661),
         ("12345678", 12345678 * 3600 - (12345678 * 3600 - 2147483647)),
         ("ab:cd:ef", 0),
-        ("12.7:00:30", 30),
-        ("1e2:01:00", 60),
+        ("12.7:00:30", 46830), ("12.0:00:00", 43200), ("0:1e2:0", 6000), ("nan:inf:7", 7),
+        ("1e2:01:00", 360060), ("1e99:01:00", 60),
         # Kept within the range of a second counter.
         ("99999999:00:00", 2147483647),
     ],

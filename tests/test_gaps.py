@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from transit_spark.operators import monthly
-from transit_spark.operators.gaps import has_hot_group, observations_base, stop_gaps
+from transit_spark.operators.gaps import observations_base, stop_gaps
 from transit_spark.operators.transitions import passage_gaps, post_filter_stats, transitions
 
 SCHEMA = (
@@ -147,7 +147,7 @@ def plan_of(df):
 
 
 def test_transitions_plan(stored):
-    text = plan_of(transitions(stored, ["14"]))
+    text = plan_of(transitions(stored, ["14"], reduce_first=False))
     assert text.count("Exchange hashpartitioning") == 2
     assert "SinglePartition" not in text and "Cartesian" not in text and "NestedLoop" not in text
     read = re.search(r"ReadSchema: (\S+)", text).group(1)
@@ -156,8 +156,8 @@ def test_transitions_plan(stored):
     assert "Or(IsNotNull(scheduled_departure_time),IsNotNull(scheduled_arrival_time))" in text
 
 
-def test_plan_with_hot_route_days(stored):
-    text = plan_of(transitions(stored, ["14"], hot_rows=10))
+def test_plan_reduces_before_the_shuffle(stored):
+    text = plan_of(transitions(stored, ["14"]))
     # One more exchange, whose rows are already one per group, second and task.
     assert text.count("Exchange hashpartitioning") == 3
     assert text.count("partial_min_by") == 1
@@ -165,9 +165,19 @@ def test_plan_with_hot_route_days(stored):
 
 def test_both_plans_give_the_same_tables(stored):
     for build in (transitions, monthly.monthly_bunching, monthly.monthly_headway_drift):
-        small, hot = (build(stored, hot_rows=limit) for limit in (10**9, 0))
-        rows = sorted(map(repr, small.collect()))
-        assert rows and rows == sorted(map(repr, hot.select(*small.columns).collect()))
+        plain, reduced = (build(stored, reduce_first=first) for first in (False, True))
+        rows = sorted(map(repr, plain.collect()))
+        assert rows and rows == sorted(map(repr, reduced.select(*plain.columns).collect()))
+
+
+def test_no_job_starts_while_a_query_is_built(spark, stored):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        transitions(stored), monthly.monthly_bunching(stored), monthly.monthly_headway_drift(stored)
+        assert len(tracker.getJobIdsForGroup("building")) == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_drift_plan_reads_no_vehicles(stored):
@@ -186,7 +196,6 @@ def test_hot_group_is_reduced_before_the_shuffle(spark):
         F.lit(None).cast("string").alias("observed_arrival_time"),
         F.lit("00:00:00").alias("scheduled_departure_time"), F.lit(None).cast("string").alias("scheduled_arrival_time"), "id",
     )
-    assert has_hot_group(rows, None, 10000) and not has_hot_group(rows, None, 30000)
-    for limit in (10000, 30000):
-        got = passage_gaps(rows, None, ("vehicle_id", "id"), hot_rows=limit)
+    for first in (True, False):
+        got = passage_gaps(rows, None, ("vehicle_id", "id"), reduce_first=first)
         assert [r["gap_seconds"] for r in got.collect()] == [300]

@@ -153,6 +153,37 @@ def test_collection_stream(spark, folder):
     }
 
 
+def test_every_failed_file_is_kept(spark, folder):
+    for i, name in enumerate(("2025-01-01/99-99-99_a", "2025-01-01/88-00-00_a", "odd", "2025-01-01/12-00-00_b")):
+        path = Path(folder) / "raw" / f"{name}.bin"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"\xffbroken" if i % 2 else trip_feed(1))
+    for state in ("state", "state", "other-state"):
+        stream = collect.snapshot_stream(spark, f"{folder}/raw", 2)
+        collect.collect(stream, f"{folder}/store", f"{folder}/{state}", now=F.lit(STAMP)).awaitTermination()
+    errors = collect.read_table(spark, f"{folder}/store", "feed_errors").collect()
+    assert len(errors) == 4 == len({r["path"] for r in errors}) and all(r["error"] for r in errors)
+    assert sorted(r["snapshot_ts"] is None for r in errors) == [False, True, True, True]
+
+
+def test_malformed_json_fails_its_month_alone(spark, folder):
+    raw, tree = f"{folder}/raw", f"{folder}/tree"
+    write(f"{raw}/2026/01/a.ndjson", '{"route_id": "14"}\n{"route_id": \n')
+    write(f"{raw}/2026/02/b.json", '[{"route_id": "14"}, {"route')
+    write(f"{raw}/2026/03/c.json", '[{"route_id": "14"}]')
+    statuses = {r["month"]: r["status"] for r in ingest.ingest(spark, raw, tree).collect()}
+    assert statuses == {"01": "failed", "02": "failed", "03": "written"}
+    assert ingest.read_observations(spark, tree).count() == 1
+
+
+def test_csv_rows_of_another_width_go_also_beside_a_year_column(spark, folder):
+    raw, tree = f"{folder}/raw", f"{folder}/tree"
+    write(f"{raw}/2026/01/a.csv", "route_id,stop,year\n14,1,2025\n38,2\n49,3,2026,zz\n")
+    ingest.ingest(spark, raw, tree)
+    rows = ingest.read_observations(spark, tree).collect()
+    assert [(r["route_id"], r["stop"], r["year"], r["month"]) for r in rows] == [("14", "1", 2026, 1)]
+
+
 def test_stateful_deduplication(spark, folder):
     for clock in ("12-00-00", "12-02-10"):
         save(f"{folder}/raw", "2025-01-01", clock, "trip_updates", trip_feed(1))

@@ -6,6 +6,8 @@ Everything here stays inside whole-stage codegen; none of it is a UDF.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,20 +24,26 @@ STOP_STATUS = {0: "INCOMING_AT", 1: "STOPPED_AT", 2: "IN_TRANSIT_TO"}
 DAY_PERIODS = {"AM_PEAK": (6, 9), "MIDDAY": (9, 15), "PM_PEAK": (15, 19), "EVENING": (19, 23)}
 OVERNIGHT = "NIGHT"
 
-# Up to this many routes the suffix test is written as LIKE-style filters, which reach the scan.
-_MAX_SUFFIX_FILTERS = 16
+# Bounds of INT.
+_INT = (-(1 << 31), (1 << 31) - 1)
+
+
+def whole_number(text: Column) -> Column:
+    """Text as INT: plain integers, else numbers like ``12.0`` or ``1e2`` rounded half away from zero; NULL if neither."""
+    number = F.round(text.try_cast("double"))
+    return F.coalesce(text.try_cast("int"), F.when(number.between(*_INT), number.try_cast("int")))
 
 
 def clock_seconds(text: Column) -> Column:
     """Seconds of ``HH:MM:SS`` text; hours may pass 24, an unreadable piece counts as zero.
 
-    Only plain integers are read as pieces. The sum is formed as BIGINT and kept within INT, so
+    Pieces are read as :func:`whole_number` does. The sum is formed as BIGINT and kept within INT, so
     junk cannot overflow under ANSI mode and the result is NULL only where the text is. Text of the
     exact form dd:dd:dd, nearly all of it, is read as one number instead of three pieces.
     """
     total = F.lit(0).cast("bigint")
     for index, unit in enumerate((3600, 60, 1), start=1):
-        piece = F.split_part(text, F.lit(":"), F.lit(index)).try_cast("int").cast("bigint")
+        piece = whole_number(F.split_part(text, F.lit(":"), F.lit(index))).cast("bigint")
         total = total + F.coalesce(piece, F.lit(0)) * unit
     bounded = F.least(F.greatest(total, F.lit(-(1 << 31))), F.lit((1 << 31) - 1)).cast("int")
 
@@ -79,17 +87,13 @@ def stop_key(df: DataFrame, stop: str = "from_stop_id", sequence: str = "stop_se
 def on_routes(column: Column, routes: str | Iterable[str]) -> Column:
     """Route equals one of ``routes``, as a whole or in its last ``:``-separated part.
 
-    For a short list both halves are plain comparisons, so the whole predicate is pushed
-    to the Parquet reader.
+    Both halves are plain comparisons, so the whole predicate is pushed to the Parquet reader.
     """
     wanted = [routes] if isinstance(routes, str) else list(routes)
-    whole = column.isin(wanted)
-    if len(wanted) > _MAX_SUFFIX_FILTERS:
-        return whole | F.split_part(column, F.lit(":"), F.lit(-1)).isin(wanted)
-    for route in wanted:
-        if ":" not in route:
-            whole = whole | column.endswith(f":{route}")
-    return whole
+    tests = [column.isin(wanted), *[column.endswith(f":{route}") for route in wanted if ":" not in route]]
+    while len(tests) > 1:  # a balanced tree, so that a long list isn't a deep expression
+        tests = [reduce(or_, tests[i : i + 2]) for i in range(0, len(tests), 2)]
+    return tests[0]
 
 
 def short_route(column: Column) -> Column:

@@ -1,11 +1,12 @@
 """Gaps between consecutive passages of a stop.
 
-Two plans give the same rows. Where every route-day is small enough for one task, passages are
-ordered by a window. Otherwise they are reduced first: only positive gaps are used downstream,
-so of all passages of a group in one second just two matter, the first (it alone can have a
-positive gap) and the last (the next second looks back at it). A partial aggregate keeps those
-two *before* anything is shuffled, and the window then orders at most one row per second of a
-service day in each group, however many rows the group had.
+Only positive gaps are used downstream, so of all passages of a group in one second just two
+matter, the first (it alone can have a positive gap) and the last (the next second looks back at
+it). A partial aggregate keeps those two *before* anything is shuffled, and the window then orders
+at most one row per second of a service day in each group, however many rows the group had.
+``reduce_first=False`` leaves the reduction out: one exchange and one sort less, for data known to
+have no group that is too large for a task. Both plans give the same rows; nothing is counted to
+choose between them.
 """
 
 from __future__ import annotations
@@ -26,10 +27,6 @@ def nulls_last(*names: str) -> Column:
     return F.struct(*fields)
 
 
-ROUTE_DAY = ("route_id", "service_date")
-# Rows of a route-day that one task may order by itself.
-HOT_ROWS = 5_000_000
-
 OBSERVED = ("observed_departure_time", "observed_arrival_time")
 SCHEDULED = ("scheduled_departure_time", "scheduled_arrival_time")
 
@@ -58,7 +55,7 @@ def observations_base(
         C.direction_or_default(df).alias("direction_id"),
         F.col("service_date").cast("string").alias("service_date"),
         C.stop_key(df).alias("stop_key"),
-        F.col("stop_sequence").try_cast("int").alias("stop_sequence_int"),
+        C.whole_number(F.col("stop_sequence").cast("string")).alias("stop_sequence_int"),
         "vehicle_id",
         C.event_clock(*OBSERVED).alias("event_seconds"),
         C.event_clock(*SCHEDULED).alias("scheduled_seconds"),
@@ -66,20 +63,6 @@ def observations_base(
     )
 
 
-def has_hot_group(
-    observations: DataFrame, routes: str | Sequence[str] | None = None, limit: int = HOT_ROWS,
-    keys: Sequence[str] = ROUTE_DAY,
-) -> bool:
-    """Whether a group of ``keys`` has more than ``limit`` rows.
-
-    Every window of the headway operators lies inside a route-day, so its count bounds them all. The
-    count reads two columns and is summed inside the tasks; one number comes back.
-    """
-    rows = observations.where(C.on_routes(F.col("route_id"), routes)) if routes else observations
-    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (largest or 0) > limit
-
-
 def stop_gaps(
     base: DataFrame,
     partition: Sequence[str],

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transit_spark.functions import columns as C
-from transit_spark.operators.gaps import HOT_ROWS, has_hot_group, observations_base, stop_gaps
+from transit_spark.operators.gaps import observations_base, stop_gaps
 
 STOP_GROUP = ("year", "month", "route_id", "service_date", "direction_id", "stop_key")
 MONTH = ("year", "month", "route_id")
@@ -18,14 +18,13 @@ def monthly_bunching(
     observations: DataFrame,
     routes: str | Sequence[str] | None = None,
     ties: Sequence[str] = ("vehicle_id",),
-    hot_rows: int = HOT_ROWS,
+    reduce_first: bool = True,
 ) -> DataFrame:
     """Pairs, bunching events, bunching index, mean and median gap per month and route."""
     headway = F.col("scheduled_seconds") - F.col("prev_scheduled_seconds")
     base = observations_base(observations, routes, keep=[t for t in ties if t != "vehicle_id"])
-    hot = has_hot_group(observations, routes, hot_rows)
     pairs = (
-        stop_gaps(base, STOP_GROUP, ties, carry=("scheduled_seconds",), reduce_first=hot)
+        stop_gaps(base, STOP_GROUP, ties, carry=("scheduled_seconds",), reduce_first=reduce_first)
         .withColumn("scheduled_headway", headway)
         .where(C.within_gap(F.col("gap_seconds")) & (F.col("scheduled_headway") > 0))
         .withColumn("bunched", C.is_bunched(F.col("gap_seconds"), F.col("scheduled_headway")))
@@ -42,17 +41,16 @@ def monthly_bunching(
 def gap_counts(
     observations: DataFrame,
     routes: str | Sequence[str] | None = None,
-    hot_rows: int = HOT_ROWS,
+    reduce_first: bool = True,
 ) -> DataFrame:
     """How often each valid headway occurs per month, route and stop.
 
     A stop has at most one row per whole second of the accepted range, so everything that
     follows works on a table whose size does not grow with the history.
     """
-    hot = has_hot_group(observations, routes, hot_rows)
     base = observations_base(observations, routes)
     return (
-        stop_gaps(base, STOP_GROUP, carry=(), look_back=(), reduce_first=hot)
+        stop_gaps(base, STOP_GROUP, carry=(), look_back=(), reduce_first=reduce_first)
         .where(C.headway_gap(F.col("gap_seconds")))
         .groupBy(*MONTH, "stop_key", "gap_seconds")
         .agg(F.count("*").alias("n"))
@@ -69,10 +67,10 @@ def stop_baseline(counts: DataFrame) -> DataFrame:
 def monthly_headway_drift(
     observations: DataFrame,
     routes: str | Sequence[str] | None = None,
-    hot_rows: int = HOT_ROWS,
+    reduce_first: bool = True,
 ) -> DataFrame:
     """Headway level, spread and drift from the stop's own median, per month and route."""
-    counts = gap_counts(observations, routes, hot_rows).where(F.col("stop_key").isNotNull())
+    counts = gap_counts(observations, routes, reduce_first).where(F.col("stop_key").isNotNull())
     drift = counts.join(stop_baseline(counts), [*MONTH, "stop_key"]).withColumn(
         "abs_drift", F.abs(F.col("gap_seconds") - F.col("stop_median_gap_seconds"))
     )

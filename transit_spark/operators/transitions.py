@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from transit_spark.functions import columns as C
-from transit_spark.operators.gaps import HOT_ROWS, has_hot_group, observations_base, stop_gaps
+from transit_spark.operators.gaps import observations_base, stop_gaps
 
 STOP_GROUP = ("year", "month", "route_id", "service_date", "stop_sequence_int")
 VEHICLE_RUN = ("route_id", "service_date", "vehicle_id")
@@ -27,19 +27,18 @@ def passage_gaps(
     routes: str | Sequence[str] | None = None,
     ties: Sequence[str] = ("vehicle_id",),
     partition: Sequence[str] = STOP_GROUP,
-    hot_rows: int = HOT_ROWS,
+    reduce_first: bool = True,
 ) -> DataFrame:
     """Gap, delay, scheduled headway and the leader's delay at each stop passage.
 
-    Passages without a schedule are removed before the predecessor is looked up. Route-days above
-    ``hot_rows`` rows make the passages of a second collapse before the shuffle.
+    Passages without a schedule are removed before the predecessor is looked up. ``reduce_first`` as
+    in :mod:`transit_spark.operators.gaps`.
     """
     extra = [t for t in ties if t != "vehicle_id"]
     base = observations_base(observations, routes, keep=extra, scheduled_only=True).where(
         F.col("stop_sequence_int").isNotNull()
     )
-    hot = has_hot_group(observations, routes, hot_rows)
-    gaps = stop_gaps(base, partition, ties, carry=("vehicle_id", "scheduled_seconds", *extra), reduce_first=hot)
+    gaps = stop_gaps(base, partition, ties, carry=("vehicle_id", "scheduled_seconds", *extra), reduce_first=reduce_first)
     return gaps.where(C.within_gap(F.col("gap_seconds"))).select(
         *partition,
         "vehicle_id",
@@ -55,9 +54,9 @@ def passage_gaps(
 def run_window(run: Sequence[str] = VEHICLE_RUN, ties: Sequence[str] = ()) -> WindowSpec:
     """Stops of one vehicle's day in order.
 
-    The group lies inside a route-day. Where route-days are hot, :func:`passage_gaps` has left one row per
-    stop and second at most, so one vehicle's day is bounded by stops of the route times seconds of the
-    day, whatever share of the raw rows carried that vehicle id (or none).
+    :func:`passage_gaps` has left one row per stop and second at most, so one vehicle's day is bounded by
+    stops of the route times seconds of the day, whatever share of the raw rows carried that vehicle id
+    (or none).
     """
     order = ["stop_sequence_int", "event_seconds", *ties]
     return Window.partitionBy(*run).orderBy(*[F.col(c).asc_nulls_last() for c in order])
@@ -84,7 +83,7 @@ def transitions(
     partition: Sequence[str] = STOP_GROUP,
     run: Sequence[str] = VEHICLE_RUN,
     horizon: int = 3,
-    hot_rows: int = HOT_ROWS,
+    reduce_first: bool = True,
 ) -> DataFrame:
     """Lag rows with the label "bunched at this stop or the next ``horizon - 1``".
 
@@ -92,7 +91,7 @@ def transitions(
     """
     extra = [t for t in ties if t != "vehicle_id"]
     window = run_window(run, extra)
-    rows = passage_gaps(observations, routes, ties, partition, hot_rows).withColumn(
+    rows = passage_gaps(observations, routes, ties, partition, reduce_first).withColumn(
         "raw_bunching", C.is_bunched(F.col("gap_seconds"), F.col("scheduled_headway"))
     )
     ahead = [F.coalesce(F.lead("raw_bunching", k).over(window), F.lit(0)) for k in range(1, horizon)]

@@ -52,9 +52,14 @@ OBSERVATIONS = {
     "vehicle_id": "'veh-' || CAST((user_id % 6) AS STRING)",
     "direction_id": "CAST((user_id % 2) AS INT)",
     "from_stop_id": "CASE WHEN event_id % 17 = 0 THEN NULL ELSE 'stop-' || CAST((k % 8 + 1) AS STRING) END",
-    "stop_sequence": "CAST((k % 8 + 1) AS STRING)",
+    # Exports with gaps write whole numbers like 3.0; other number text is rounded.
+    "stop_sequence": (
+        "CAST((k % 8 + 1) AS STRING) || CASE WHEN event_id % 19 = 0 THEN '.0' WHEN event_id % 31 = 0 THEN '.3' "
+        "WHEN event_id % 37 = 0 THEN 'e0' ELSE '' END"
+    ),
     "observed_departure_time": (
-        "CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 97 = 0 THEN 'xx:10:05' ELSE " + _hms("obs") + " END"
+        "CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 97 = 0 THEN 'xx:10:05' WHEN event_id % 89 = 0 "
+        "THEN '22.0:1e1:7.7' ELSE " + _hms("obs") + " END"
     ),
     "observed_arrival_time": "CASE WHEN event_id % 22 = 0 THEN NULL ELSE " + _hms("obs - 20") + " END",
     "scheduled_departure_time": "CASE WHEN event_id % 13 = 0 THEN NULL ELSE " + _hms("obs - dly") + " END",

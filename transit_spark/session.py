@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +30,7 @@ def build_session(app_name: str = "transit", master: str | None = None, **conf:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in ``spark.checkpoint.dir``.
 
-    A local temporary folder is used only where that is unset, i.e. in local tests.
+    Where that is unset, a folder in the session's warehouse.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -39,9 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="transit-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/transit-scratch"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

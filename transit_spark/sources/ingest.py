@@ -11,6 +11,7 @@ import csv
 from collections.abc import Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,24 +109,29 @@ def read_csv_files(
     parts = []
     for group in groups.collect():
         schema = StructType([StructField(n, StringType()) for n in header_names(group["line"], sep)])
+        # Without column pruning every row's width is checked, whichever columns are kept.
         reader = spark.read.schema(schema).options(
-            sep=sep, header=True, mode="DROPMALFORMED", multiLine=multi_line
+            sep=sep, header=True, mode="DROPMALFORMED", multiLine=multi_line, columnPruning=False
         )
         parts.append(_located(reader.csv(group["paths"])))
     return _union(parts)
 
 
 def read_json_files(spark: SparkSession, paths: Sequence[str], schema: str | None = None) -> DataFrame:
-    """JSON lines and JSON arrays, fields merged by name, with file name and month."""
+    """JSON lines and JSON arrays, fields merged by name, with file name and month.
+
+    A file that isn't JSON throughout fails the read.
+    """
     arrays = [
         r["path"]
         for r in first_lines(spark, paths).where(F.ltrim("line").startswith("[")).select("path").collect()
     ]
-    by_shape = {True: arrays, False: [p for p in paths if p not in set(arrays)]}
+    in_arrays = set(arrays)
+    by_shape = {True: arrays, False: [p for p in paths if p not in in_arrays]}
     parts = []
     for multi_line, chosen in by_shape.items():
         if chosen:
-            reader = spark.read.option("mode", "DROPMALFORMED").option("multiLine", multi_line)
+            reader = spark.read.option("mode", "FAILFAST").option("multiLine", multi_line)
             parts.append(_located((reader.schema(schema) if schema else reader).json(chosen)))
     return _union(parts)
 
@@ -186,7 +192,7 @@ def _attempts(spark, read, months, parquet_root, kind):
     try:
         write_months(read(spark, [p for m in months for p in m["paths"]]), parquet_root, kind)
         yield [(m, "written") for m in months]
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         if len(months) == 1:
             yield [(months[0], "failed")]
         else:
