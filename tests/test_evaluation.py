@@ -86,8 +86,8 @@ def test_no_window_orders_everything(spark):
     rows = spark.range(100).select((F.col("id") % 2).cast("int").alias("label"), F.rand(1).alias("score"))
     for df in (V.pr_curve(rows), V.pr_areas(rows), V.best_threshold(rows), V.conformal_quantile(rows)):
         text = df._jdf.queryExecution().optimizedPlan().toString()
-        # Only the window over at most COARSE + 1 interval totals has no natural partition.
-        lone = [line for line in text.splitlines() if "windowspecdefinition(_coarse" in line.replace("0, ", "")]
+        # Only the window over the totals of at most STEPS squared parts has no natural partition.
+        lone = [line for line in text.splitlines() if "windowspecdefinition(_part" in line.replace("0, ", "") and "threshold" not in line]
         assert len(lone) <= 2
         assert "windowspecdefinition(threshold" not in text and "windowspecdefinition(measure" not in text
 
@@ -140,13 +140,26 @@ def test_bootstrap_intervals_agree_with_resampling(spark):
         f1.append(2 * tp / (y[i].sum() + hat[i].sum()))
     low, high = np.percentile(f1, [2.5, 97.5])
     drawn = V.bootstrap_intervals(rows, resamples=1000).first()
-    weighted = V.poisson_bootstrap(rows, "row_id", resamples=400).first()
+    weighted = V.poisson_bootstrap(rows).first()
     for got in (drawn, weighted):
         assert got["f1_low"] == pytest.approx(low, abs=0.02) and got["f1_high"] == pytest.approx(high, abs=0.02)
     assert drawn == V.bootstrap_intervals(rows.repartition(7), resamples=1000).first()
 
 
-def test_poisson_weights_have_mean_one(spark):
-    weights = spark.range(20000).select(V.poisson_weight(V.hash_uniform(F.col("id").cast("string"))).alias("w"))
-    mean, var = weights.agg(F.avg("w"), F.var_pop("w")).first()
-    assert mean == pytest.approx(1, abs=0.03) and var == pytest.approx(1, abs=0.05)
+@pytest.mark.parametrize("mean", [0, 3, 40, 5000])
+def test_poisson_draws_have_their_mean_and_variance(spark, mean):
+    u, v = (V.hash_uniform(F.concat_ws(":", F.lit(s), "id")) for s in "ab")
+    draws = spark.range(20000).select(V.poisson_draw(F.lit(float(mean)), u, v).alias("w"))
+    got = draws.agg(F.avg("w"), F.var_pop("w"), F.min("w")).first()
+    assert got[0] == pytest.approx(mean, rel=0.02) and got[1] == pytest.approx(mean, rel=0.06) and got[2] >= 0
+
+
+@pytest.mark.parametrize("scale, shift", [(1e-9, 0.0), (40.0, -20.0)])
+def test_running_totals_split_where_the_values_lie(spark, scale, shift):
+    n = 100_000
+    values = spark.range(n).select((F.col("id") / n * scale + shift).alias("v"), F.lit(1).cast("long").alias("n"))
+    got = V.running_totals(values, [], "v", ["n"])
+    assert got.agg(F.max("cum_n"), F.count_distinct("cum_n")).first() == (n, n)
+    bounds = values.agg(F.percentile_approx("v", [i / V.STEPS**2 for i in range(V.STEPS**2)], 10 * V.STEPS**2)).first()[0]
+    parts = values.groupBy(V._part(F.col("v"), F.array(*map(F.lit, bounds)))).count()
+    assert parts.agg(F.max("count")).first()[0] < 10 * n / V.STEPS**2

@@ -1,20 +1,21 @@
 """Classifier evaluation on (label, score) columns, grouped by any columns.
 
 None of these operators orders all rows in one task. Scores are first collapsed to distinct
-values with their class counts; running totals over the values are then built from two
-levels of fixed score intervals (see :func:`running_totals`).
+values with their class counts; running totals over the values are then built from parts
+split at quantiles of the values (see :func:`running_totals`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from math import pi
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-COARSE, FINE = 1 << 10, 1 << 22
+STEPS = 32  # running totals use STEPS squared parts
 
 
 def _ratio(top: Column, bottom: Column, undefined: float = 0.0) -> Column:
@@ -43,47 +44,39 @@ def confusion(
     })
 
 
+def _part(value: Column, bounds: Column) -> Column:
+    """How many of the ordered ``bounds`` are at most ``value``, found in two steps of their square root."""
+    first = F.transform(F.sequence(F.lit(0), F.lit(STEPS - 1)), lambda i: F.element_at(bounds, i * STEPS + 1))
+    step = F.size(F.filter(first, lambda b: b <= value))
+    inner = F.size(F.filter(F.slice(bounds, (step - 1) * STEPS + 2, STEPS - 1), lambda b: b <= value))
+    return F.when(step == 0, F.lit(0)).otherwise((step - 1) * STEPS + 1 + inner)
+
+
 def running_totals(
     values: DataFrame, by: Sequence[str], value: str, sums: Sequence[str], descending: bool = False
 ) -> DataFrame:
     """Adds ``cum_<s>``: the total of ``s`` over all rows up to and including this ``value``.
 
-    ``values`` holds distinct values per ``by``. Values in [0, 1] fall into ``COARSE`` intervals,
-    each split into ``FINE/COARSE`` finer ones. A row's total is the total of earlier coarse
-    intervals, plus that of earlier fine intervals of its own coarse one, plus that of earlier
-    values of its own fine interval. Every window is thus bounded by the interval counts or by
-    the doubles that fit in 1/FINE. Values outside [0, 1] use the end intervals: results stay
-    exact, only the balance changes.
+    ``values`` holds distinct values per ``by``. They are split at ``STEPS`` squared quantiles of
+    themselves, wherever they lie; a row's total is that of the parts before its own, plus that
+    of earlier values of its own part. Approximate quantiles change the balance, never a result.
     """
     by = list(by)
-    unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(value).cast("double")))
-    fine = F.floor(unit * FINE)
-    placed = values.withColumn("_fine", fine).withColumn("_coarse", F.floor(F.col("_fine") / (FINE // COARSE)))
-
-    def ordered(name: str) -> Column:
-        return F.col(name).desc() if descending else F.col(name).asc()
-
-    def before(window, total: str) -> Column:
-        rows = window.rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum(total).over(rows), F.lit(0))
-
-    fine_sums = placed.groupBy(*by, "_coarse", "_fine").agg(*[F.sum(s).alias(s) for s in sums])
-    coarse_sums = fine_sums.groupBy(*by, "_coarse").agg(*[F.sum(s).alias(s) for s in sums])
-    in_group = Window.partitionBy(*by, F.lit(0)).orderBy(ordered("_coarse"))
-    in_coarse = Window.partitionBy(*by, "_coarse").orderBy(ordered("_fine"))
-    coarse_base = coarse_sums.select(
-        *by, "_coarse", *[before(in_group, s).alias(f"_c_{s}") for s in sums]
+    levels = [i / STEPS**2 for i in range(STEPS**2)]
+    bounds = values.groupBy(*by).agg(
+        F.percentile_approx(F.col(value).cast("double"), levels, F.lit(10 * STEPS**2)).alias("_bounds")
     )
-    fine_base = fine_sums.select(
-        *by, "_coarse", "_fine", *[before(in_coarse, s).alias(f"_f_{s}") for s in sums]
+    placed = _with_totals(values, bounds, by).withColumn("_part", _part(F.col(value).cast("double"), F.col("_bounds")))
+    placed = placed.drop("_bounds")
+    part_order, value_order = (F.col(c).desc() if descending else F.col(c).asc() for c in ("_part", value))
+    earlier = Window.partitionBy(*by, F.lit(0)).orderBy(part_order).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*by, "_part").orderBy(value_order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = placed.groupBy(*by, "_part").agg(*[F.sum(s).alias(s) for s in sums])
+    base = parts.select(
+        *by, "_part", *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_base_{s}") for s in sums]
     )
-    offsets = fine_base.join(coarse_base, [*by, "_coarse"]).select(
-        *by, "_fine", *[(F.col(f"_f_{s}") + F.col(f"_c_{s}")).alias(f"_base_{s}") for s in sums]
-    )
-    in_fine = Window.partitionBy(*by, "_fine").orderBy(ordered(value))
-    upto = in_fine.rowsBetween(Window.unboundedPreceding, 0)
     own = placed.withColumns({f"_own_{s}": F.sum(s).over(upto) for s in sums})
-    return own.join(offsets, [*by, "_fine"]).select(
+    return own.join(base, [*by, "_part"]).select(
         *values.columns, *[(F.col(f"_own_{s}") + F.col(f"_base_{s}")).alias(f"cum_{s}") for s in sums]
     )
 
@@ -308,56 +301,39 @@ def bootstrap_intervals(
     return _interval(replicates.mapInPandas(draw, replicates.schema), by)
 
 
-# Cumulative probabilities of a Poisson(1) count of 0, 1, 2, ...
-POISSON_ONE_CDF = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-    0.999998874797402,
-)
-
-
-def poisson_weight(uniform: Column) -> Column:
-    """Poisson(1) count of a uniform number by inverting the distribution function."""
-    weight = F.lit(len(POISSON_ONE_CDF))
-    for count in reversed(range(len(POISSON_ONE_CDF))):
-        weight = F.when(uniform < POISSON_ONE_CDF[count], count).otherwise(weight)
-    return weight
+def hash_uniform(text: Column) -> Column:
+    """Uniform number in (0, 1) from the first 32 bits of an md5 digest."""
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") + 0.5) / F.lit(float(1 << 32))
 
 
-def hash_uniform(text: Column) -> Column:
-    """Uniform number in [0, 1) from the first 32 bits of an md5 digest."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
+def poisson_draw(mean: Column, u: Column, v: Column) -> Column:
+    """A Poisson count from two uniform numbers: a normal draw through the Wilson-Hilferty cube, rounded."""
+    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * F.lit(pi) * v)
+    cube = F.pow(1 - 1 / (9 * mean) + z / (3 * F.sqrt(mean)), 3)
+    return F.when(mean == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.round(mean * cube)))
 
 
 def poisson_bootstrap(
     rows: DataFrame,
-    row_id: str,
     label: str = "label",
     predicted: str = "predicted",
-    resamples: int = 100,
+    by: Sequence[str] = (),
+    resamples: int = 1000,
     seed: int = 42,
 ) -> DataFrame:
-    """The same interval with a reproducible weight per row and replicate.
+    """The same interval with reproducible draws in Spark's own functions.
 
-    Each row is weighted inside its own task and summed there before the shuffle, so only
-    resamples x 4 sums per task move. Work is rows x resamples; :func:`bootstrap_intervals` gives
-    the same interval at the cost of one pass and is the one to use on large hold-outs.
+    A Poisson weight for each row sums to a Poisson count for each cell, so a replicate draws four
+    numbers whatever the number of rows. Draws follow from a digest of seed, group, replicate and cell.
     """
-    seeded = F.concat_ws(":", F.lit(seed), F.col(row_id), F.col("replicate"))
-    weighted = (
-        rows.select(row_id, label, predicted)
-        .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-        .withColumn("w", poisson_weight(hash_uniform(seeded)).cast("bigint"))
-    )
-    hit, alarm = F.col(label) == 1, F.col(predicted) == 1
+    by, names = list(by), ("tp", "fp", "fn", "tn")
+    cells = confusion(rows, label, predicted, by).select(*by, *names)
+    replicates = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
 
-    def total(condition: Column) -> Column:
-        return F.sum(F.when(condition, F.col("w")).otherwise(F.lit(0)))
+    def uniform(cell: str, stream: int) -> Column:
+        return hash_uniform(F.concat_ws(":", F.lit(seed), *by, F.col("replicate"), F.lit(cell), F.lit(stream)))
 
-    replicates = weighted.groupBy("replicate").agg(
-        total(hit & alarm).alias("tp"),
-        total(~hit & alarm).alias("fp"),
-        total(hit & ~alarm).alias("fn"),
-        total(~hit & ~alarm).alias("tn"),
-    )
-    return _interval(replicates, [])
+    drawn = replicates.select(*by, *[
+        poisson_draw(F.col(c).cast("double"), uniform(c, 0), uniform(c, 1)).alias(c) for c in names
+    ])
+    return _interval(drawn, by)

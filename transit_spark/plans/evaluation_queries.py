@@ -23,7 +23,6 @@ reg = Registry()
 
 ROUTE = ["route_short"]
 CUT = 0.5
-RESAMPLES = 100
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,27 +178,32 @@ def a26(spark, sf_dir):
     return rounded(V.bootstrap_intervals(scores(spark, sf_dir), by=ROUTE))
 
 
-_WEIGHT = "CASE " + " ".join(f"WHEN u < {p!r}e0 THEN {i}" for i, p in enumerate(V.POISSON_ONE_CDF)) + " ELSE 9 END"
+def _uniform(cell: str, stream: int) -> str:
+    digest = f"substr(md5(concat_ws(':', 42, route_short, r, '{cell}', {stream})), 1, 8)"
+    return f"((CAST('0x' || {digest} AS BIGINT) + 5e-1) / 4294967296e0)"
+
+
+def _draw(cell: str) -> str:
+    z = f"sqrt(-2e0 * ln({_uniform(cell, 0)})) * cos(2e0 * pi() * {_uniform(cell, 1)})"
+    cube = f"pow(1e0 - 1e0 / (9e0 * {cell}) + ({z}) / (3e0 * sqrt({cell})), 3)"
+    return f"CASE WHEN {cell} = 0 THEN 0e0 ELSE greatest(0e0, round({cell} * {cube})) END AS {cell}"
 
 
 @reg.query(
     "a26_poisson_bootstrap",
-    f"""WITH {SCORES_CTE}, drawn AS (
-  SELECT label, alarm, r, CAST('0x' || substr(md5(concat_ws(':', 42, row_id, r)), 1, 8) AS BIGINT) / 4294967296e0 AS u
-  FROM scores, generate_series(0, {RESAMPLES - 1}) AS g(r)),
-cells AS (
-  SELECT r, sum(w) FILTER (WHERE alarm AND label = 1) AS tp, sum(w) FILTER (WHERE alarm AND label = 0) AS fp,
-         sum(w) FILTER (WHERE NOT alarm AND label = 1) AS fn, sum(w) FILTER (WHERE NOT alarm AND label = 0) AS tn
-  FROM (SELECT *, {_WEIGHT} AS w FROM drawn) GROUP BY r),
-full_cells AS (SELECT r, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, coalesce(tn, 0) AS tn FROM cells),
+    f"""WITH {SCORES_CTE}, cells AS (
+  SELECT route_short, count(*) FILTER (WHERE alarm AND label = 1)::DOUBLE AS tp, count(*) FILTER (WHERE alarm AND label = 0)::DOUBLE AS fp,
+         count(*) FILTER (WHERE NOT alarm AND label = 1)::DOUBLE AS fn, count(*) FILTER (WHERE NOT alarm AND label = 0)::DOUBLE AS tn
+  FROM scores GROUP BY route_short),
+drawn AS (SELECT route_short, {", ".join(_draw(c) for c in ("tp", "fp", "fn", "tn"))} FROM cells, generate_series(0, 999) AS g(r)),
 rates AS (
-  SELECT coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, coalesce(tp / nullif(tp + fp, 0), 0) AS pr
-  FROM full_cells WHERE tp + fn > 0 AND fp + tn > 0)
-SELECT count(*) AS replicates, round(quantile_cont(f1, 0.025), 6) AS f1_low, round(quantile_cont(f1, 0.975), 6) AS f1_high,
-  round(quantile_cont(pr, 0.025), 6) AS precision_low, round(quantile_cont(pr, 0.975), 6) AS precision_high FROM rates""",
+  SELECT route_short, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, coalesce(tp / nullif(tp + fp, 0), 0) AS pr
+  FROM drawn WHERE tp + fn > 0 AND fp + tn > 0)
+SELECT route_short, count(*) AS replicates, round(quantile_cont(f1, 0.025), 6) AS f1_low, round(quantile_cont(f1, 0.975), 6) AS f1_high,
+  round(quantile_cont(pr, 0.025), 6) AS precision_low, round(quantile_cont(pr, 0.975), 6) AS precision_high FROM rates GROUP BY route_short""",
 )
 def a26_poisson(spark, sf_dir):
-    return rounded(V.poisson_bootstrap(scores(spark, sf_dir), "row_id", resamples=RESAMPLES))
+    return rounded(V.poisson_bootstrap(scores(spark, sf_dir), by=ROUTE))
 
 
 @reg.query(
