@@ -91,9 +91,10 @@ def search(reach: int):
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_WORDS,
-                    gram: int = GRAM_WORDS) -> DataFrame:
+                    gram: int = GRAM_WORDS,
+                    block: int = repeats.BLOCK_SYMBOLS) -> DataFrame:
     """(id, n_words, n_removed, n_spans, kept, carried) of each row; kept: the words left, joined by one space."""
-    kind = repeats.Spans(False, window, gram)
+    kind = repeats.Spans(False, window, gram, block)
     rows = repeats.numbered(docs, id_col, text_col)
     result = repeats.removed(rows, kind, search(kind.reach), by_id=True)
     return result.select(F.col("id").alias(id_col), F.col("n_units").alias("n_words"), "n_removed", "n_spans", "kept", "carried")

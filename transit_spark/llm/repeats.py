@@ -11,8 +11,8 @@ An operator's shard is a set of anchors; it searches the distinct segments of it
 left of the gram, one symbol for the gram, and those right of it; a span of a text is a window of ``span - gram + 1``
 symbols there, and as it holds the gram's symbol, windows match only where they stand alike around the same gram.
 
-An anchor with more than ``HOT_SEGMENTS`` distinct segments, such as the border of a passage that a third of all texts
-hold, isn't given to one shard: its windows are hashed, and counted by a distributed aggregate with map-side sums.
+An anchor whose distinct segments are more than one block of a shard, such as the border of a passage that a third of all
+texts hold, isn't given to one task: its windows are hashed, and counted by a distributed aggregate with map-side sums.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from transit_spark.llm import text as tx
 from transit_spark.session import materialise
 
-HOT_SEGMENTS = 2048
 BLOCK_SYMBOLS = 1 << 20
 SHARD_SEGMENTS = 1 << 14
 
@@ -41,6 +40,12 @@ class Spans:
     bytewise: bool
     span: int
     gram: int
+    block: int = BLOCK_SYMBOLS
+
+    @property
+    def most_segments(self) -> int:
+        """Distinct segments of one anchor that a block can hold."""
+        return self.block // (2 * self.reach + 2)
 
     @property
     def reach(self) -> int:
@@ -191,7 +196,7 @@ def _shards(segments: DataFrame, kind: Spans, search: Search, tasks: int) -> Dat
             while held.num_rows:
                 keys = held.column("key").to_numpy()
                 size = np.cumsum(np.diff(tx.text_bytes(held.column("body").combine_chunks())[1]) // unit + 2)
-                cut = int(np.searchsorted(size, BLOCK_SYMBOLS))
+                cut = int(np.searchsorted(size, kind.block))
                 if cut >= held.num_rows:
                     break
                 same = np.flatnonzero(keys != keys[cut])
@@ -263,7 +268,7 @@ def covered(rows: DataFrame, kind: Spans, search: Search, by_id: bool) -> DataFr
     open_ = F.lit(True) if by_id else F.col("n") == 1
     groups = segments.groupBy("key").agg(
         F.count(F.lit(1)).alias("distinct"), F.min("least").alias("lowest"), F.max(open_.cast("int")).alias("any")
-    ).where("distinct > 1 AND any = 1").select("key", "lowest", (F.col("distinct") > HOT_SEGMENTS).alias("hot"))
+    ).where("distinct > 1 AND any = 1").select("key", "lowest", (F.col("distinct") > kind.most_segments).alias("hot"))
     asked = open_ & (F.col("least") > F.col("lowest")) if by_id else open_
     wanted = segments.join(groups, "key").select("place.*", "key", "seg", "least", asked.alias("asked"), "hot")
     bodies = materialise(_bodies(rows, wanted, kind), "segment-bodies")

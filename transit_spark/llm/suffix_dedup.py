@@ -66,9 +66,9 @@ def search(reach: int):
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES,
-                    gram_bytes: int = GRAM_BYTES) -> DataFrame:
+                    gram_bytes: int = GRAM_BYTES, block: int = repeats.BLOCK_SYMBOLS) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept, carried) of each row; kept: the bytes that are left; carried: its other columns."""
-    kind = repeats.Spans(True, min_bytes, gram_bytes)
+    kind = repeats.Spans(True, min_bytes, gram_bytes, block)
     rows = repeats.numbered(docs, id_col, text_col)
     result = repeats.removed(rows, kind, search(kind.reach), by_id=False)
     return result.select(F.col("id").alias(id_col), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept", "carried")
