@@ -122,15 +122,20 @@ def month_calendar(bounds: DataFrame, first: str = "first_month", last: str = "l
     )
 
 
-def month_coverage(observations: DataFrame, by: Sequence[str] = ("route_id",)) -> DataFrame:
-    """Rows held per month from the first to the last one present, empty months included."""
+def month_coverage(
+    observations: DataFrame, by: Sequence[str] = ("route_id",), first: str | None = None, last: str | None = None
+) -> DataFrame:
+    """Rows held per month, empty months included.
+
+    The calendar goes from ``first`` to ``last`` (``YYYY-MM``); by default from the first to the last month present.
+    """
     held = (
         observations.groupBy(*by, C.month_start(F.col("year"), F.col("month")).alias("period"))
         .agg(F.count("*").alias("n"))
     )
     bounds = held.groupBy(*by).agg(
-        F.date_format(F.min("period"), "yyyy-MM").alias("first_month"),
-        F.date_format(F.max("period"), "yyyy-MM").alias("last_month"),
+        (F.lit(first) if first else F.date_format(F.min("period"), "yyyy-MM")).alias("first_month"),
+        (F.lit(last) if last else F.date_format(F.max("period"), "yyyy-MM")).alias("last_month"),
     )
     return (
         month_calendar(bounds)

@@ -70,10 +70,16 @@ def sighting_gaps(sightings: DataFrame) -> DataFrame:
 
 
 def headway_deviation(
-    positions: DataFrame, updates: DataFrame, routes: str | Sequence[str] | None = None
+    positions: DataFrame, updates: DataFrame, routes: str | Sequence[str] | None = None,
+    at_stops: DataFrame | None = None,
 ) -> DataFrame:
-    """Observed headway at each stop and its deviation from the stop's median."""
-    gaps = sighting_gaps(first_sightings(positions_at_stops(positions, updates, routes)))
+    """Observed headway at each stop and its deviation from the stop's median.
+
+    ``at_stops``: the join of positions and updates, inner or left, where a caller has it already.
+    """
+    if at_stops is None:
+        at_stops = positions_at_stops(positions, updates, routes)
+    gaps = sighting_gaps(first_sightings(at_stops))
     usual = F.median("actual_headway_s").over(Window.partitionBy(*STOP))
     deviation = F.col("actual_headway_s") - F.col("median_headway_s")
     return (
@@ -137,16 +143,21 @@ def final_drift(drift: DataFrame) -> DataFrame:
 
 
 def adjacent_vehicles(
-    positions: DataFrame, updates: DataFrame, routes: str | Sequence[str] | None = None, max_stops: int = 2
+    positions: DataFrame, updates: DataFrame, routes: str | Sequence[str] | None = None, max_stops: int = 2,
+    at_stops: DataFrame | None = None,
 ) -> DataFrame:
     """Neighbouring vehicles of a direction in one snapshot, at most ``max_stops`` stops apart.
 
+    ``at_stops``: the left join of positions and updates, where a caller has it already.
+
     A group is the vehicles of one route and direction at one instant; the position key makes
     each vehicle occur once per instant, so its size is that of the fleet on the road and does
     not grow with the history.
     """
     window = Window.partitionBy("route_id", "snapshot_ts", "direction_id").orderBy("stop_sequence", "vehicle_id")
-    placed = positions_at_stops(positions, updates, routes, how="left").where(
+    if at_stops is None:
+        at_stops = positions_at_stops(positions, updates, routes, how="left")
+    placed = at_stops.where(
         F.col("direction_id").isNotNull() & F.col("stop_sequence").isNotNull()
     )
     pairs = placed.select(

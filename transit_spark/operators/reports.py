@@ -72,9 +72,9 @@ def bunching_heatmap(pairs: DataFrame, by: Sequence[str] = ROUTE) -> DataFrame:
     return grid.join(cells, [*by, "hour", "stop_sequence"], "left").fillna(0, ["events"])
 
 
-def heatmap_matrix(heatmap: DataFrame, stops: Sequence[int], by: Sequence[str] = ROUTE) -> DataFrame:
-    """The heat map as one column per stop number."""
-    return heatmap.groupBy(*by, "hour").pivot("stop_sequence", list(stops)).agg(F.sum("events")).fillna(0)
+def heatmap_matrix(heatmap: DataFrame, by: Sequence[str] = ROUTE) -> DataFrame:
+    """The heat map as one column per stop number in it."""
+    return heatmap.groupBy(*by, "hour").pivot("stop_sequence").agg(F.sum("events")).fillna(0)
 
 
 def histogram(values: DataFrame, column: str, by: Sequence[str] = ROUTE, bins: int = 50) -> DataFrame:

@@ -111,9 +111,8 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build, partition_by: tup
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         rows, path = build(spark, sf_dir), scratch_path(spark, name)
-        if len(rows.inputFiles()) < spark.sparkContext.defaultParallelism:
-            # A table of a few small files would be read by as few tasks.
-            rows = rows.repartition(spark.sparkContext.defaultParallelism)
+        # Files of even size, whatever the source's files are.
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)
         rows.write.partitionBy(*partition_by).parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
@@ -141,8 +140,14 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+# Every raw row is in both tables; where a side is to miss its partner, it has another trip.
+UPDATE_TRIP = "CASE WHEN in_updates THEN trip_id ELSE 'off-' || trip_id END"
+POSITION_TRIP = "CASE WHEN in_positions THEN trip_id ELSE 'lost-' || trip_id END"
+
+
 def incoming_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_feed(spark, sf_dir).where("in_updates").select(*UPDATE_COLUMNS, *ARRIVAL)
+    rows = raw_feed(spark, sf_dir).withColumn("trip_id", F.expr(UPDATE_TRIP))
+    return rows.select(*UPDATE_COLUMNS, *ARRIVAL)
 
 
 def trip_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,8 +163,8 @@ def vehicle_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derive_vehicle_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = raw_feed(spark, sf_dir).where("in_positions").withColumn(
-        "current_status", stop_status(F.col("status_code"))
+    rows = raw_feed(spark, sf_dir).withColumns(
+        {"trip_id": F.expr(POSITION_TRIP), "current_status": stop_status(F.col("status_code"))}
     )
     order = ("trip_id", "stop_sequence", *ARRIVAL)
     return first_per_key(rows.select(*POSITION_COLUMNS, *ARRIVAL), POSITION_KEY, order).select(*POSITION_COLUMNS)
@@ -188,7 +193,7 @@ UPDATES_CTE = (
     FEED_CTE
     + ", trip_updates AS (SELECT "
     + ", ".join(UPDATE_COLUMNS)
-    + " FROM raw_feed WHERE in_updates QUALIFY row_number() OVER (PARTITION BY "
+    + f" FROM (SELECT * REPLACE ({UPDATE_TRIP} AS trip_id) FROM raw_feed) QUALIFY row_number() OVER (PARTITION BY "
     + ", ".join(UPDATE_KEY)
     + " ORDER BY "
     + ", ".join(ARRIVAL)
@@ -202,7 +207,7 @@ STATUS_SQL = (
 POSITIONS_CTE = (
     "vehicle_positions AS (SELECT "
     + ", ".join(c for c in POSITION_COLUMNS if c != "current_status")
-    + f", {STATUS_SQL} AS current_status FROM raw_feed WHERE in_positions QUALIFY row_number() OVER (PARTITION BY "
+    + f", {STATUS_SQL} AS current_status FROM (SELECT * REPLACE ({POSITION_TRIP} AS trip_id) FROM raw_feed) QUALIFY row_number() OVER (PARTITION BY "
     + ", ".join(POSITION_KEY)
     + " ORDER BY trip_id, stop_sequence, "
     + ", ".join(ARRIVAL)

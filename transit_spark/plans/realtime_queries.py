@@ -8,6 +8,7 @@ from transit_spark.operators import realtime as R
 from transit_spark.operators import reports
 from transit_spark.plans import bridge as B
 from transit_spark.plans.registry import Registry, rounded
+from transit_spark.session import materialise
 from transit_spark.sources import append
 
 reg = Registry()
@@ -83,6 +84,16 @@ def headways(spark, sf_dir):
     return R.headway_deviation(*store(spark, sf_dir))
 
 
+def hourly_inputs(spark, sf_dir):
+    """Headways, drift and pairs from one join of positions and updates."""
+    positions, updates = store(spark, sf_dir)
+    at_stops = materialise(R.positions_at_stops(positions, updates, how="left"), "positions-at-stops")
+    return (
+        R.headway_deviation(positions, updates, at_stops=at_stops), R.delay_drift(updates),
+        R.adjacent_vehicles(positions, updates, at_stops=at_stops),
+    )
+
+
 def drift(spark, sf_dir):
     return R.delay_drift(B.trip_updates(spark, sf_dir))
 
@@ -118,7 +129,7 @@ S8_CTE = (
   SELECT {_UPDATE_LIST}, direction_id IS NOT DISTINCT FROM 1 AS early,
          row_number() OVER (PARTITION BY snapshot_ts, trip_id, stop_sequence
                             ORDER BY direction_id IS NOT DISTINCT FROM 1 DESC, {_ARRIVAL_LIST}) AS place
-  FROM raw_feed WHERE in_updates)"""
+  FROM (SELECT * REPLACE ({B.UPDATE_TRIP} AS trip_id) FROM raw_feed))"""
 )
 
 
@@ -307,7 +318,7 @@ def a12(spark, sf_dir):
     + " FROM pairs WHERE is_bunching GROUP BY ALL",
 )
 def a12_matrix(spark, sf_dir):
-    return reports.heatmap_matrix(reports.bunching_heatmap(pairs(spark, sf_dir)), range(1, 8))
+    return reports.heatmap_matrix(reports.bunching_heatmap(pairs(spark, sf_dir)))
 
 
 @reg.query(
@@ -335,7 +346,7 @@ metrics AS (SELECT * FROM hw JOIN dr USING (route_id, hour) JOIN bu USING (route
 
 
 def _metrics(spark, sf_dir):
-    return reports.hourly_metrics(headways(spark, sf_dir), drift(spark, sf_dir), pairs(spark, sf_dir))
+    return reports.hourly_metrics(*hourly_inputs(spark, sf_dir))
 
 
 @reg.query(
@@ -381,5 +392,5 @@ def a15(spark, sf_dir):
   FULL JOIN (SELECT route_id, avg(CAST(is_bunching AS INTEGER)) AS bunching_rate FROM pairs GROUP BY 1) USING (route_id)""",
 )
 def a15_scalars(spark, sf_dir):
-    args = headways(spark, sf_dir), drift(spark, sf_dir), pairs(spark, sf_dir)
+    args = hourly_inputs(spark, sf_dir)
     return rounded(reports.route_scalars(*args))
