@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from transit_spark.operators.transitions import post_filter_stats, transitions
 from transit_spark.plans import bridge as B
+from transit_spark.plans.headway_queries import reg as MONTHLY
 from transit_spark.plans.headway_queries import TRANSITIONS_CTE
 from transit_spark.plans.registry import Registry, rounded
 from transit_spark.session import scratch_path
@@ -216,6 +217,23 @@ def s11(spark, sf_dir):
     return spark.read.schema("year int, month int, n long, route string").option("header", True).csv(path)
 
 
+def _monthly_csv(source: str):
+    """A monthly table of ``headway_queries`` through the CSV sink, one folder per route, and back."""
+
+    def run(spark, sf_dir):
+        table = MONTHLY.queries[source](spark, sf_dir).withColumnRenamed("route_id", "route")
+        path = scratch_path(spark, source)
+        sinks.write_monthly_tables(table, path)
+        back = spark.read.schema(table.schema).option("header", True).csv(path)
+        return back.withColumnRenamed("route", "route_id")
+
+    return run
+
+
+for _name, _source in (("s11_monthly_bunching_csv", "a1_monthly_bunching"), ("s11_monthly_headway_csv", "a4_seasonal_stability")):
+    reg.query(_name, MONTHLY.oracle[_source])(_monthly_csv(_source))
+
+
 @reg.query(
     "e3_post_filter_after_ingest",
     f"""WITH {TRANSITIONS_CTE} SELECT count(*) AS total_transition_rows,
