@@ -356,7 +356,7 @@ def drawn(voc, texts, seeds, k):
     lat = pieces.lattice([(pieces.SPACE + c).encode() for c in known], voc)
     chunk = np.array([known[c] for c in flat], np.int64)
     paths, bar = pieces.samples_of(lat, chunk, np.cumsum([0, *map(len, split)]), np.array(seeds, np.uint64), k)
-    return [[(tuple(pieces.ids_of(lat, voc, p.edges).tolist()), p.log_p, p.value) for p in found] for found in paths], bar
+    return [[(tuple(pieces.ids_of(lat, voc, p.edges)[0].tolist()), p.log_p, p.value) for p in found] for found in paths], bar
 
 
 def test_samples_without_replacement_have_exact_probabilities():

@@ -36,7 +36,7 @@ from transit_spark.llm import text as tx
 
 SAMPLES = 2
 SEED = 42
-RUN_BYTES = 1 << 21
+RUN_BYTES = 3 << 18
 SPACE = "▁"
 SLOT_BITS = 20
 
@@ -59,21 +59,22 @@ class Vocabulary:
                 value = int(sp.id_to_piece(i)[3:5], 16)
                 self.byte_ids[value], self.raw[i], weight[i] = i, bytes([value]), -np.log(2 + len(normal))
         self.weight, self.byte_weight = weight, -np.log(2 + len(normal))
-        # pieces by hash: two slots to look at, one by the hash's upper bits, one by its lower
-        ids = np.array(normal, np.int64)
-        size = np.array([len(self.raw[i]) for i in normal], np.int64)
+        # All beginnings of pieces by hash, and the piece that each is, if it is one.
+        whole = {self.raw[i]: i for i in normal}
+        starts = list({r[:n] for r in whole for n in range(1, len(r) + 1)})
+        size = np.array([len(r) for r in starts], np.int64)
         end = np.cumsum(size)
-        flat = np.frombuffer(b"".join(self.raw[i] for i in normal), np.uint8).astype(np.uint64)
-        keys = tx.span_hashes(tx.prefix_sums(flat), end - size, end)
-        self.sizes = np.unique(size).tolist()
-        self.keys = np.zeros(len(self.raw) + 1, np.uint64)
-        self.keys[ids] = keys
-        self.slots = [np.full(1 << SLOT_BITS, len(self.raw), np.int32) for _ in range(2)]
-        self.slots[0][self._slot(keys, 0)] = ids
-        lost = self.slots[0][self._slot(keys, 0)] != ids
-        self.slots[1][self._slot(keys[lost], 1)] = ids[lost]
-        if (self.slots[1][self._slot(keys[lost], 1)] != ids[lost]).any():
-            raise ValueError("too many pieces for the slots")
+        flat = np.frombuffer(b"".join(starts), np.uint8).astype(np.uint64)
+        self.keys = np.append(tx.span_hashes(tx.prefix_sums(flat), end - size, end), np.uint64(0))
+        self.piece_at = np.array([whole.get(r, -1) for r in starts], np.int32)
+        self.longest = int(size.max())
+        self.slots, left = [], np.arange(len(starts), dtype=np.int32)
+        while len(left):  # what loses its slot to another beginning gets one in the next table
+            table = np.full(1 << SLOT_BITS, len(starts), np.int32)
+            slot = self._slot(self.keys[left], len(self.slots))
+            table[slot] = left
+            self.slots.append(table)
+            left = left[table[slot] != left]
         # decoding: pieces' bytes with spaces put back
         shown = [p.replace(SPACE.encode(), b" ") for p in self.raw]
         self.shown_sizes = np.array([len(p) for p in shown])
@@ -81,22 +82,28 @@ class Vocabulary:
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
 
     @staticmethod
-    def _slot(keys: np.ndarray, which: int) -> np.ndarray:
-        return ((keys >> np.uint64(64 - SLOT_BITS)) if which == 0 else (keys & np.uint64((1 << SLOT_BITS) - 1))).astype(np.int64)
+    def _slot(keys: np.ndarray, level: int) -> np.ndarray:
+        return ((keys >> np.uint64(64 - SLOT_BITS - 9 * level)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The piece with each hash, or -1."""
+        """The number of the beginning with each hash, or -1."""
         found = self.slots[0][self._slot(keys, 0)]
         wrong = np.flatnonzero(self.keys[found] != keys)
-        found[wrong] = other = self.slots[1][self._slot(keys[wrong], 1)]
-        found[wrong[self.keys[other] != keys[wrong]]] = -1
+        for level in range(1, len(self.slots)):
+            found[wrong] = self.slots[level][self._slot(keys[wrong], level)]
+            wrong = wrong[self.keys[found[wrong]] != keys[wrong]]
+        found[wrong] = -1
         return found
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Bytes of the pieces of texts that end at ``ends``, without the space that encoding puts before a text."""
+        sizes = self.shown_sizes[ids]
+        _, at = tx.expand(self.shown_first[ids], sizes)
+        raw, upto = self.shown[at].tobytes(), np.concatenate(([0], np.cumsum(sizes)))[ends].tolist()
+        return [raw[a + raw.startswith(b" ", a, b) : b] for a, b in zip([0, *upto[:-1]], upto)]
+
     def decode(self, ids: np.ndarray) -> bytes:
-        """Bytes of the pieces, without the space that encoding puts before the text."""
-        _, at = tx.expand(self.shown_first[ids], self.shown_sizes[ids])
-        raw = self.shown[at].tobytes()
-        return raw[1:] if raw[:1] == b" " else raw
+        return self.decode_all(ids, np.array([len(ids)]))[0]
 
 
 _VOCABULARIES: dict[str, Vocabulary] = {}
@@ -136,11 +143,11 @@ def lattice(chunks: list[bytes], voc: Vocabulary) -> Lattice:
     width = np.where(raw < 0x80, 1, np.where(raw < 0xE0, 2, np.where(raw < 0xF0, 3, 4)))
     at = np.flatnonzero(head)
     rank = left * len(raw) + np.arange(len(raw))  # nodes near their chunk's end first
-    for n in voc.sizes:
-        at = at[left[at] >= n]
-        if not len(at):
-            break
-        i = voc.find(tx.span_hashes(sums, at, at + n))
+    base, up, room = sums[at], tx.powers(len(raw))[at], left[at]
+    for n in range(1, voc.longest + 1):
+        i = voc.find(tx.mixed((sums[at + n] - base) * up + np.uint64(n)))
+        on = i >= 0
+        at, i = at[on], voc.piece_at[i[on]]
         hit = i >= 0
         s = at[hit]
         sources.append(s.astype(np.int32))
@@ -148,6 +155,11 @@ def lattice(chunks: list[bytes], voc: Vocabulary) -> Lattice:
         pieces.append(i[hit])
         keys.append(rank[s] * 64 + (63 - n))
         single[s[width[s] == n]] = True
+        base, up, room = base[on], up[on], room[on]
+        longer = room > n
+        at, base, up, room = at[longer], base[longer], up[longer], room[longer]
+        if not len(at):
+            break
     rest = np.flatnonzero(head & ~single)
     sources.append(rest.astype(np.int32))
     targets.append(np.minimum(rest + width[rest], rest + left[rest]).astype(np.int32))
@@ -309,14 +321,14 @@ def samples_of(lat: Lattice, chunk: np.ndarray, first: np.ndarray, seeds: np.nda
     return paths, threshold
 
 
-def ids_of(lat: Lattice, voc: Vocabulary, edges: np.ndarray) -> np.ndarray:
+def ids_of(lat: Lattice, voc: Vocabulary, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all edges, and how many each edge has: the bytes of a character that is no piece have one each."""
     piece, node = lat.piece[edges], lat.source[edges]
-    odd = piece < 0
-    if not odd.any():
-        return piece
-    sizes = np.where(odd, lat.target[edges] - node, 1)
+    sizes = np.where(piece < 0, lat.target[edges] - node, 1).astype(np.int64)
+    if (piece >= 0).all():
+        return piece, sizes
     owner, at = tx.expand(node.astype(np.int64), sizes)
-    return np.where(odd[owner], voc.byte_ids[lat.data[np.minimum(at, len(lat.data) - 1)]], piece[owner])
+    return np.where((piece < 0)[owner], voc.byte_ids[lat.data[np.minimum(at, len(lat.data) - 1)]], piece[owner]), sizes
 
 
 def chunks_of(text: str) -> list[str]:
@@ -364,25 +376,31 @@ def encoded(docs: DataFrame, path: str, k: int = SAMPLES, id_col: str = "doc_id"
                 chunk = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
                 lat = lattice([(SPACE + c).encode() for c in known], voc)
                 paths, threshold = samples_of(lat, chunk, first, seeds, k)
-                out: list[list] = [[] for _ in FIELDS]
-                owners = []
-                for d, found in enumerate(paths):
-                    plain = texts[d].replace(SPACE, " ").encode()
-                    for s, p in enumerate(found):
-                        ids = ids_of(lat, voc, p.edges)
-                        owners.append(i + d)
-                        over = p.log_p - threshold[d]
-                        inclusion = over if over < -30 else np.log(-np.expm1(-np.exp(min(over, 700.0))))
-                        for column, v in zip(out, (s + 1, len(ids), p.log_p, float(inclusion), ids.astype("<u4").tobytes(), voc.decode(ids) == plain)):
-                            column.append(v)
+                flat = [p for found in paths for p in found]
+                owners = np.repeat(np.arange(len(paths)), [len(found) for found in paths])
+                edges = np.concatenate([np.zeros(0, np.int64), *(p.edges for p in flat)])
+                ids, sizes = ids_of(lat, voc, edges)
+                ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([len(p.edges) for p in flat], dtype=np.int64)]
+                plain = [t.replace(SPACE, " ").encode() if SPACE in t else t.encode() for t in texts]
+                same = [raw == plain[d] for d, raw in zip(owners.tolist(), voc.decode_all(ids, ends))]
+                over = np.array([p.log_p for p in flat]) - threshold[owners]
+                with np.errstate(over="ignore", divide="ignore"):
+                    inclusion = np.where(over < -30, over, np.log(-np.expm1(-np.exp(np.clip(over, -30, 700)))))
+                coded = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), len(flat), [None, pa.py_buffer(np.concatenate(([0], ends * 4))), pa.py_buffer(ids.astype("<u4"))]
+                ).cast(pa.binary())
+                out = [
+                    np.concatenate([np.zeros(0, np.int32), *(np.arange(1, len(f) + 1, dtype=np.int32) for f in paths)]),
+                    np.diff(ends, prepend=0), np.array([p.log_p for p in flat]), inclusion, coded, same,
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(owners, pa.int64())), *(pa.array(c, t) for c, (_, t) in zip(out, FIELDS))],
+                    [batch.column("id").take(pa.array(i + owners, pa.int64())), *(pa.array(c, t) for c, (_, t) in zip(out, FIELDS))],
                     ["id", *(name for name, _ in FIELDS)],
                 )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key.alias("key"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lambda batches: tx.released(run(batches)), f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
 
 
 def decoded(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -398,7 +416,7 @@ def decoded(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             kept = [batch.column(names.index(f.name)) for f in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], [*(f.name for f in keep), "decoded"])
 
-    return rows.mapInArrow(run, StructType([*keep, StructField("decoded", StringType())]))
+    return rows.mapInArrow(lambda batches: tx.released(run(batches)), StructType([*keep, StructField("decoded", StringType())]))
 
 
 def digest(rows: DataFrame) -> DataFrame:

@@ -6,13 +6,14 @@ modulo 2^64 over prefix sums, so that the hash of any span costs one subtraction
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20  # texts are worked on in runs of about so many bytes; a longer text is a run of its own
+CHUNK_BYTES = 1 << 20  # texts are worked on in runs of about so many bytes; a longer text is a run of its own
 
 
 def byte_table(pattern_bytes: bytes) -> np.ndarray:
@@ -92,6 +93,10 @@ def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
+def powers(n: int, base: int = 0) -> np.ndarray:
+    return _powers(n, base)[0]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spreads each value over all 64 bits (a bijection)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -167,3 +172,18 @@ def expand(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at the end the worker gives memory that it has freed back to the system.
+
+    Python workers serve one operator after the other, so what one of them no longer needs would add to the next one's.
+    """
+    try:
+        trim = ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        trim = None
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if trim:
+        trim(0)
