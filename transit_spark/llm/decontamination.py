@@ -104,7 +104,7 @@ def _pass(df: DataFrame, id_col: str, text_col: str, lengths: tuple[int, ...], b
         return kept_grams(batches, lengths, shared.value if shared is not None else None, items)
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_key"))
-    return rows.mapInArrow(run, f"id {id_type}, text_key bigint, n_words bigint, spans {SPAN_DDL}")
+    return rows.mapInArrow(lambda batches: tx.released(run(batches)), f"id {id_type}, text_key bigint, n_words bigint, spans {SPAN_DDL}")
 
 
 def _bitmap(grams: DataFrame) -> np.ndarray:

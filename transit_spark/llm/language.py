@@ -120,7 +120,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         model = fit([t.encode() for _, t, _ in found], [lang for _, _, lang in found])
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
-    fitted = rows.repartition(1).mapInArrow(run, "model binary").first()
+    fitted = rows.repartition(1).mapInArrow(lambda batches: tx.released(run(batches)), "model binary").first()
     return fitted.model if fitted else pickle.dumps(fit([], []))
 
 
@@ -154,7 +154,7 @@ def predicted(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFram
             )
 
     fields = [*docs.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())]
-    return docs.mapInArrow(run, StructType(fields))
+    return docs.mapInArrow(lambda batches: tx.released(run(batches)), StructType(fields))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2):

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from transit_spark.llm import text as tx
 from transit_spark.llm.text import mixed
 from transit_spark.session import materialise
 
@@ -97,7 +98,7 @@ def _dealt(rows: DataFrame, parts: int, probes: int, asking: bool) -> DataFrame:
                         )
 
     kind = rows.schema["embedding"].dataType.simpleString()
-    return rows.select("cid", "embedding").mapInArrow(run, f"slice int, asking boolean, cid bigint, embedding {kind}, buckets array<bigint>")
+    return rows.select("cid", "embedding").mapInArrow(lambda batches: tx.released(run(batches)), f"slice int, asking boolean, cid bigint, embedding {kind}, buckets array<bigint>")
 
 
 def best_of(query: np.ndarray, entry: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -178,7 +179,7 @@ def _searched(dealt: DataFrame, tasks: int, k: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield from parts(held)
 
-    return dealt.repartition(tasks, "slice").sortWithinPartitions("slice").mapInArrow(run, "q bigint, cid bigint, score double")
+    return dealt.repartition(tasks, "slice").sortWithinPartitions("slice").mapInArrow(lambda batches: tx.released(run(batches)), "q bigint, cid bigint, score double")
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",

@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             model = fit([r[1] for r in found], label, weight)
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
-    fitted = rows.repartition(1).mapInArrow(run, "model binary").first()
+    fitted = rows.repartition(1).mapInArrow(lambda batches: tx.released(run(batches)), "model binary").first()
     return fitted.model if fitted else pickle.dumps(0.5)
 
 
@@ -191,7 +191,7 @@ def scored(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 scores[i:j] = probability(net, largest)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "quality_score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("quality_score", DoubleType())]))
+    return docs.mapInArrow(lambda batches: tx.released(run(batches)), StructType([*docs.schema.fields, StructField("quality_score", DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0):

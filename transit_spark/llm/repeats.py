@@ -97,7 +97,7 @@ def anchors(rows: DataFrame, kind: Spans) -> DataFrame:
                     ["id", "row_key", "key", "seg", "at", "left", "right"],
                 )
 
-    return rows.select("id", "row_key", "text").mapInArrow(run, ANCHOR)
+    return rows.select("id", "row_key", "text").mapInArrow(lambda batches: tx.released(run(batches)), ANCHOR)
 
 
 SEGMENT = "key bigint, seg bigint, least bigint, asked boolean, left int, hot boolean, body binary"
@@ -133,7 +133,7 @@ def _bodies(rows: DataFrame, wanted: DataFrame, kind: Spans) -> DataFrame:
                 )
 
     # A row that stands several times gives its segments as often; these aren't asked for, as they have copies.
-    return texts.select("text", "wanted").mapInArrow(run, SEGMENT)
+    return texts.select("text", "wanted").mapInArrow(lambda batches: tx.released(run(batches)), SEGMENT)
 
 
 @dataclass
@@ -216,7 +216,7 @@ def _shards(segments: DataFrame, kind: Spans, search: Search, tasks: int) -> Dat
         for table in blocks(batches):
             yield _covers(table.combine_chunks(), kind, search)
 
-    return segments.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run, COVER)
+    return segments.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(lambda batches: tx.released(run(batches)), COVER)
 
 
 def _hot(segments: DataFrame, kind: Spans, by_id: bool) -> DataFrame:
@@ -239,7 +239,7 @@ def _hot(segments: DataFrame, kind: Spans, by_id: bool) -> DataFrame:
                     ["key", "seg", "least", "asked", "shift", "h"],
                 )
 
-    windows = segments.mapInArrow(run, "key bigint, seg bigint, least bigint, asked boolean, shift int, h bigint")
+    windows = segments.mapInArrow(lambda batches: tx.released(run(batches)), "key bigint, seg bigint, least bigint, asked boolean, shift int, h bigint")
     counted = windows.groupBy("key", "shift", "h").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("lowest")).where("n > 1")
     hit = windows.where("asked").join(counted, ["key", "shift", "h"])
     hit = hit.where("lowest < least") if by_id else hit
@@ -316,4 +316,4 @@ def removed(rows: DataFrame, kind: Spans, search: Search, by_id: bool) -> DataFr
 
     numbers = [StructField(c, LongType()) for c in ("id", "n_units", "n_removed", "n_spans")]
     schema = StructType([*numbers, StructField("kept", BinaryType()), rows.schema["carried"]])
-    return marked.select("id", "text", "spans", "carried").mapInArrow(run, schema)
+    return marked.select("id", "text", "spans", "carried").mapInArrow(lambda batches: tx.released(run(batches)), schema)

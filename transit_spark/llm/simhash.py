@@ -86,7 +86,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(tx.signed(np.concatenate(parts)))], ["id", "fp"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, fp bigint")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: tx.released(run(batches)), f"id {id_type}, fp bigint")
 
 
 def flips(bits: int, most: int) -> list[int]:
@@ -178,7 +178,7 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, prefix_bits: int = PREFI
             a, b = meet(bucket, np.concatenate([r[1] for r in rows]), prefix_bits, radius)
             yield pa.RecordBatch.from_arrays([pa.array(tx.signed(a)), pa.array(tx.signed(b))], ["a", "b"])
 
-    return sent.repartition(tasks, "bucket").mapInArrow(run, "a bigint, b bigint").distinct()
+    return sent.repartition(tasks, "bucket").mapInArrow(lambda batches: tx.released(run(batches)), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS,
