@@ -257,7 +257,8 @@ def covered(rows: DataFrame, kind: Spans, search: Search, by_id: bool) -> DataFr
     if by_id:
         every = every.where("id IS NOT NULL")
     keys = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    keys = keys.where("lo < hi" if by_id else "n > 1").select("key")
+    # Stored, so that both sides of the join are dealt anew and a frequent anchor's rows can be split among tasks.
+    keys = materialise(keys.where("lo < hi" if by_id else "n > 1").select("key"), "shared-keys")
     shared = materialise(every.join(keys, "key", "left_semi"), "shared-anchors")
     place = F.struct("id", "row_key", "at", "left", "right")
     segments = materialise(
