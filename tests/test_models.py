@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from transit_spark.operators import features, models
 from transit_spark.operators.stationarity import adf, adf_lag0, adf_test, p_value
 from transit_spark.params import TemporalSplit
-from transit_spark.plans import bridge
+from transit_spark.plans import bridge, model_queries
 from transit_spark.plans.headway_queries import SPLIT, transition_frame
 
 TRANSITION = (
@@ -93,6 +93,15 @@ def test_comparison_and_ablation(rows):
     assert all(r["f1"] > 0.8 for r in table)
 
 
+def test_registered_ablation_takes_the_rounds_of_the_operator(spark, rows, monkeypatch):
+    asked, trees = [], models.boosted_trees
+    monkeypatch.setattr(models, "boosted_trees", lambda rounds=300: asked.append(rounds) or trees(1, 1))
+    monkeypatch.setattr(model_queries, "transition_frame", lambda spark, sf_dir: rows)
+    monkeypatch.setattr(model_queries, "SPLIT", TemporalSplit())
+    monkeypatch.setattr(model_queries, "_RESULTS", {})
+    assert model_queries.m7(spark, "rows").count() == 5 and asked == [300] * 5
+
+
 def test_too_little_data_gives_guarded_results(spark, rows):
     few = rows.where("service_date = '2026-02-01'")
     assert [tuple(r) for r in models.ablation(few, windows=(2,), rounds=2).collect()] == [(2, None, 18, 0, 0)]
