@@ -84,6 +84,18 @@ def test_early_warning_learns_and_transfers(spark, rows):
     assert again.tau == fitted.tau
 
 
+def test_curve_file_has_the_transfer_routes(spark, rows, monkeypatch):
+    one_class = rows.where("route_id <> '49'").unionByName(rows.where("route_id = '49' AND is_bunching = 0"))
+    frame, names = models.population(one_class, TemporalSplit(), 3)
+    fitted = models.train_early_warning(frame, names, models.boosted_trees(1, 1))
+    monkeypatch.setattr(model_queries, "_trained", lambda spark, sf_dir: (frame, fitted))
+    curves = {str(r["route"]): r for r in model_queries.s12_model(spark, "rows").groupBy("route").agg(
+        F.count("threshold").alias("points"), F.count("*").alias("n"), F.max("recall").alias("reach")).collect()}
+    assert set(curves) == {"14", "38"}
+    scores = fitted.score(frame.where("route_short = '38'"), ()).select("score").distinct().count()
+    assert (curves["38"]["points"], curves["38"]["n"], curves["38"]["reach"]) == (scores, scores + 1, 1.0)
+
+
 def test_comparison_and_ablation(rows):
     compared = {r["model"]: r["f1"] for r in models.compare_models(rows, scale=0.05, forest_depth=5).collect()}
     assert set(compared) == {"logistic_l2", "boosted_depth_4", "random_forest", "boosted_depth_6"}

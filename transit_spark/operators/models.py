@@ -149,13 +149,25 @@ def importances(spark: SparkSession, fitted: EarlyWarning) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, weight double").orderBy(F.abs("weight").desc(), "feature")
 
 
-def spatial_transfer(fitted: EarlyWarning, frame: DataFrame, routes: Sequence[str] = ("38", "49")) -> DataFrame:
-    """The model applied unchanged to other routes over the full period; one-class routes are left out."""
+TRANSFER_ROUTES = ("38", "49")
+
+
+def _transferred(fitted: EarlyWarning, frame: DataFrame, routes: Sequence[str]) -> DataFrame:
+    """Scored rows of the routes over the full period, those with both classes only."""
     others = frame.where(F.col("route_short").isin(list(routes)))
     scored = materialise(fitted.score(others, ("route_short",)), "transfer")
-    return classification_metrics(scored, ["route_short"]).where(
-        (F.col("positives") > 0) & (F.col("positives") < F.col("n"))
-    )
+    both = scored.groupBy("route_short").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return scored.join(both.select("route_short"), "route_short", "left_semi")
+
+
+def spatial_transfer(fitted: EarlyWarning, frame: DataFrame, routes: Sequence[str] = TRANSFER_ROUTES) -> DataFrame:
+    """The model applied unchanged to other routes over the full period; one-class routes are left out."""
+    return classification_metrics(_transferred(fitted, frame, routes), ["route_short"])
+
+
+def transfer_curves(fitted: EarlyWarning, frame: DataFrame, routes: Sequence[str] = TRANSFER_ROUTES) -> DataFrame:
+    """Precision-recall curve of each route of :func:`spatial_transfer`."""
+    return V.pr_curve(_transferred(fitted, frame, routes), by=["route_short"])
 
 
 def candidate_models(train_rows: int, scale: float = 1.0, forest_depth: int = 15) -> dict[str, object]:

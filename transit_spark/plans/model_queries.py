@@ -116,10 +116,12 @@ def s13(spark, sf_dir):
 
 @reg.query("s12_model_pr_curve_file")
 def s12_model(spark, sf_dir):
-    """The trained model's precision-recall curve on its hold-out days, through the CSV sink."""
+    """The trained model's precision-recall curves through the CSV sink: its hold-out days, and each transfer route."""
     frame, fitted = _trained(spark, sf_dir)
     if fitted is None:
         return _empty(spark, "route string, threshold double, precision double, recall double")
     path = scratch_path(spark, "model-pr-curve")
-    sinks.write_pr_curve(models.hold_out_report(fitted, frame)["pr_curve"].withColumn("route", F.lit("14")), path)
+    own = models.hold_out_report(fitted, frame)["pr_curve"].withColumn("route", F.lit(SPLIT.route))
+    others = models.transfer_curves(fitted, frame).withColumnRenamed("route_short", "route")
+    sinks.write_pr_curve(own.unionByName(others), path)
     return rounded(sinks.read_pr_curve(spark, path))
