@@ -254,6 +254,15 @@ def test_contamination_matches_brute_force(spark, docs, empty, texts):
     assert decontamination.contamination(empty, benchmark).count() == 0
 
 
+def test_items_with_a_null_id_are_hits(spark):
+    passage, plain = prose(301, 30), prose(302, 40)
+    benchmark = spark.createDataFrame([(None, passage), (None, "zebra"), (7, prose(303, 25))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"{plain} {passage} {plain}"), (2, f"{plain} zebra"), (3, plain)], "doc_id bigint, text string")
+    found = decontamination.digest(decontamination.contamination(docs, benchmark))
+    assert {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in found.collect()} == {1: (30, 0, True), 2: (1, 0, True), 3: (0, 0, False)}
+    assert [r["doc_id"] for r in decontamination.clean(docs, benchmark).collect()] == [3]
+
+
 # 5 token files
 
 

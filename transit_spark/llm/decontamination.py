@@ -10,7 +10,8 @@ Documents' grams meet a bitmap of the benchmark's hashes before the shuffle. It
 size; a large benchmark fills it, lets more grams pass to the join and changes no result.
 
 Defined cases: a null or empty text has no words and no hits. Rows with the same id and text get the same result, each its
-own row. Items without words match nothing; items with a null id are left out of the lists. Other columns are ignored.
+own row. Items without words match nothing; the windows of items with a null id are hits like any other, but the lists and
+their lengths leave these items out. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     """(documents with their word counts, covered spans): the parts of :func:`contamination`."""
     items = materialise(_pass(benchmark, item_col, item_text_col, tuple(range(1, WINDOW)), None, True), "benchmark-grams")
     lengths = tuple(sorted(r.n_words for r in items.where(F.col("n_words").between(1, WINDOW - 1)).select("n_words").distinct().collect()))
-    grams = items.where("id IS NOT NULL").select(F.col("id").alias("item_id"), "n_words", F.explode("spans").alias("s"))
+    grams = items.select(F.col("id").alias("item_id"), "n_words", F.explode("spans").alias("s"))
     grams = grams.select(
         F.col("s.key").alias("key"), "item_id", F.col("s.left").alias("item_left"), F.col("s.words").alias("item_words"),
         (F.col("n_words") < WINDOW).alias("whole"),
