@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -214,6 +215,51 @@ def test_ball_hashing_links_all_within_the_radius():
     assert len({(find(int(f)), want[int(f)]) for f in fps}) == len(got)
 
 
+def one_prefix(n: int) -> np.ndarray:
+    """Fingerprints around one value, all with its 16-bit prefix."""
+    rng = np.random.default_rng(8)
+    spots = rng.permuted(np.tile(np.arange(48), (n, 1)), axis=1)[:, :4].astype(np.uint64)
+    return np.unique(np.uint64(0xFACE << 48 | 0x123456789ABC) ^ np.bitwise_or.reduce(np.uint64(1) << spots, axis=1))
+
+
+def grouped(a, b) -> list[tuple]:
+    """Groups of the links' ends, as sorted tuples."""
+    low, high = simhash.forest(np.asarray(a, np.uint64), np.asarray(b, np.uint64))
+    ends, roots = np.concatenate((low, high)), np.concatenate((high, high))
+    return sorted({tuple(np.unique(ends[roots == r]).tolist()) for r in np.unique(roots)})
+
+
+def close_pairs(fps: np.ndarray):
+    x, y = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4, 1))
+    return fps[x], fps[y]
+
+
+def test_one_prefix_is_expanded_in_bounded_pieces(monkeypatch):
+    fps = one_prefix(3000)
+    monkeypatch.setattr(simhash, "VARIANTS_AT_ONCE", 1 << 15)
+    tracemalloc.start()
+    a, b = simhash.meet(np.full(len(fps), 0xFACE), fps, 16, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6 and grouped(a, b) == grouped(*close_pairs(fps))
+
+
+def test_large_prefix_is_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "VARIANTS_PER_TASK", 1 << 13)
+    monkeypatch.setattr(simhash, "ROWS_PER_TASK", 1 << 8)
+    rng = np.random.default_rng(9)
+    far = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    near = one_prefix(800)
+    near ^= rng.integers(0, 256, len(near), dtype=np.uint64) << np.uint64(20)
+    fps = np.unique(np.concatenate((near, near[:200] ^ np.uint64(3 << 47), far, far ^ np.uint64(5 << 46))))
+    frame = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp bigint").cache()
+    cut = simhash.cuts(frame)
+    assert 0xFACE in dict(cut)
+    assert max(r["count"] for r in simhash.sent_to(frame, cut).groupBy("base").count().collect()) < 500  # uncut, 1,000
+    found = np.array([(r.a, r.b) for r in simhash.links(frame, len(fps)).collect()], np.int64).view(np.uint64)
+    assert grouped(found[:, 0], found[:, 1]) == grouped(*close_pairs(fps))
+
+
 def test_one_of_each_group_stays(docs, empty, texts):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
