@@ -563,3 +563,27 @@ def test_neighbours_recall_and_order(spark, empty):
     assert near.vec_id.tolist() == [100, 101, 102, 103, 104]
     none = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert neighbours.neighbours(none, none).count() == 0
+
+
+def test_large_bucket_is_spread_and_queries_are_blocked(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    wide = rng.normal(size=24) + 0.001 * rng.normal(size=(600, 24))  # near, unequal: few buckets a table
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(wide)], "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(neighbours, "PART_ENTRIES", 100)
+    rows = frame.selectExpr("vec_id AS cid", "embedding")
+    large = neighbours._large(neighbours._dealt(rows, 6, 1, False), 6)
+    assert large
+    dealt = neighbours._dealt(rows, 6, 1, False, large)
+    assert max(r["count"] for r in dealt.groupBy("slice").count().collect()) < 250  # in one part, up to 600
+    got = neighbours.neighbours(frame, frame.where("vec_id % 60 = 0")).toPandas()
+    unit = wide / np.linalg.norm(wide, axis=1, keepdims=True)
+    for q, part in got.groupby("query_id"):
+        best = sorted((i for i in range(600) if i != q), key=lambda i: -(unit[q] @ unit[i]))[:5]
+        assert len(set(best) & set(part.vec_id)) >= 4
+    assert len(got) == 50
+    args = np.arange(600), wide, (np.arange(600), np.zeros(600, np.int64)), np.arange(600), wide, np.zeros(600, np.int64), 6
+    whole = sorted(zip(*(c.tolist() for c in neighbours.compare(*args)[:2])))
+    monkeypatch.setattr(neighbours, "QUERIES_AT_ONCE", 50)
+    monkeypatch.setattr(neighbours, "PAIRS_AT_ONCE", 1000)
+    monkeypatch.setattr(neighbours, "ENTRIES_AT_ONCE", 128)
+    assert sorted(zip(*(c.tolist() for c in neighbours.compare(*args)[:2]))) == whole

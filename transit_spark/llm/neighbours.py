@@ -8,6 +8,7 @@ each candidate's cosine is computed in double precision from the original vector
 
 Equal vectors are one entry that carries the ``k + 1`` smallest of its ids, which is all that a query can need of them. Entries
 and queries are dealt to parts by table and bucket; a query is sent once to each part with the buckets that it visits there.
+A bucket of more than ``PART_ENTRIES`` entries is spread by id over parts of its own, and its visitors go to all of these.
 Every vector is indexed; nothing is fitted to the data. All entries of a visited bucket are compared, so a bucket of many
 near, unequal vectors costs its size for each query that visits it.
 
@@ -36,6 +37,7 @@ WIDTH = 1.2
 PROBES = 400
 SEED = 42
 PART_ENTRIES = 1 << 14
+ENTRIES_AT_ONCE, QUERIES_AT_ONCE, PAIRS_AT_ONCE = 4096, 1024, 1 << 20
 MOVES = np.array(list(product((0, -1, 1), repeat=FUNCTIONS)), np.int64)
 
 
@@ -76,8 +78,34 @@ def _vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _dealt(rows: DataFrame, parts: int, probes: int, asking: bool) -> DataFrame:
+def _large(dealt: DataFrame, parts: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each table, the buckets with over PART_ENTRIES of the dealt entries: (sorted keys, first part, number of parts)."""
+    table = F.floor(F.col("slice") / parts).cast("int")
+    sizes = dealt.groupBy(table.alias("table"), F.element_at("buckets", 1).alias("key")).count().where(F.col("count") > PART_ENTRIES)
+    out, first = {}, TABLES * parts
+    rows = sorted((r["table"], r["key"], -(-r["count"] // PART_ENTRIES)) for r in sizes.collect())
+    for t in sorted({r[0] for r in rows}):
+        keys, amount = (np.array([r[i] for r in rows if r[0] == t], np.int64) for i in (1, 2))
+        out[t] = keys, first + np.cumsum(amount) - amount, amount
+        first += int(amount.sum())
+    return out
+
+
+def _spread(key: np.ndarray, where: np.ndarray, cid: np.ndarray, asking: bool, large: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in ``key``, parts): an entry of a large bucket goes to one of its parts, a visitor to all."""
+    keys, first, amount = large
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    found = keys[at] == key
+    if not asking:
+        own = first[at] + (mixed(cid.astype(np.int64).view(np.uint64)) % amount[at].astype(np.uint64)).astype(np.int64)
+        return np.arange(len(key)), np.where(found, own, where)
+    owner, part = tx.expand(np.where(found, first[at], where), np.where(found, amount[at], 1))
+    return owner, part
+
+
+def _dealt(rows: DataFrame, parts: int, probes: int, asking: bool, large: dict | None = None) -> DataFrame:
     """(slice, asking, cid, embedding, buckets) for each table and part that holds a bucket of the vector."""
+    large = large or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,8 +115,13 @@ def _dealt(rows: DataFrame, parts: int, probes: int, asking: bool) -> DataFrame:
                     for table in range(TABLES):
                         keys = hashed(matrix[i : i + 1024], table, probes)
                         where = table * parts + (mixed(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-                        order = np.lexsort((where.reshape(-1), np.repeat(np.arange(len(own)), keys.shape[1])))
-                        row, flat, key = order // keys.shape[1], where.reshape(-1)[order], keys.reshape(-1)[order]
+                        row, flat, key = np.repeat(np.arange(len(own)), keys.shape[1]), where.reshape(-1), keys.reshape(-1)
+                        if table in large:
+                            ids = batch.column("cid").to_numpy()[own[row]]
+                            at, flat = _spread(key, flat, ids, asking, large[table])
+                            row, key = row[at], key[at]
+                        order = np.lexsort((flat, row))
+                        row, flat, key = row[order], flat[order], key[order]
                         starts = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (flat[1:] != flat[:-1]))))
                         take = pa.array(own[row[starts]])
                         yield pa.RecordBatch.from_arrays(
@@ -121,30 +154,40 @@ def compare(q_ids: np.ndarray, q: np.ndarray, q_list: tuple[np.ndarray, np.ndarr
     at = np.searchsorted(visited[by_bucket], keys), np.searchsorted(visited[by_bucket], keys, side="right")
     q_norm, e_norm = np.linalg.norm(q, axis=1), np.linalg.norm(e, axis=1)
     unit_q, unit_e = q / q_norm[:, None], (e / e_norm[:, None])[order]
+    none = np.zeros(0, np.int64)
+    best = none, none, np.zeros(0)
     found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best so far and the pairs found since, the k best of each query: (query, entry, cosine)."""
+        x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        score = np.empty(len(x))
+        for i in range(0, len(x), 1 << 16):
+            s = slice(i, i + (1 << 16))
+            score[s] = np.einsum("ij,ij->i", q[x[s]], e[y[s]]) / (q_norm[x[s]] * e_norm[y[s]])
+        x, y, score = np.append(best[0], x), np.append(best[1], y), np.append(best[2], score)
+        keep = best_of(q_ids[x], e_ids[y], score, k)
+        return x[keep], y[keep], score[keep]
+
+    held = 0
     for a, b, c, d in zip(first.tolist(), last.tolist(), at[0].tolist(), at[1].tolist()):
-        if c == d:
-            continue
-        asking = owner[by_bucket[c:d]]
-        for i in range(a, b, 4096):
-            near = unit_q[asking] @ unit_e[i : min(b, i + 4096)].T
-            keep = min(k, near.shape[1])
-            if near.shape[1] > 2 * keep:  # rounding can't matter: what is within 1e-9 of the k-th stays
-                bar = np.partition(near, near.shape[1] - keep, axis=1)[:, -keep] - 1e-9
-                x, y = np.nonzero(near >= bar[:, None])
-            else:
-                x, y = (g.reshape(-1) for g in np.indices(near.shape))
-            found.append((asking[x], order[i + y]))
-    if not found:
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0)
-    x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-    score = np.empty(len(x))
-    for i in range(0, len(x), 1 << 16):
-        s = slice(i, i + (1 << 16))
-        score[s] = np.einsum("ij,ij->i", q[x[s]], e[y[s]]) / (q_norm[x[s]] * e_norm[y[s]])
-    keep = best_of(q_ids[x], e_ids[y], score, k)
-    return q_ids[x[keep]], e_ids[y[keep]], score[keep]
+        for g in range(c, d, QUERIES_AT_ONCE):
+            asking = owner[by_bucket[g : min(d, g + QUERIES_AT_ONCE)]]
+            for i in range(a, b, ENTRIES_AT_ONCE):
+                near = unit_q[asking] @ unit_e[i : min(b, i + ENTRIES_AT_ONCE)].T
+                keep = min(k, near.shape[1])
+                if near.shape[1] > 2 * keep:  # rounding can't matter: what is within 1e-9 of the k-th stays
+                    bar = np.partition(near, near.shape[1] - keep, axis=1)[:, -keep] - 1e-9
+                    x, y = np.nonzero(near >= bar[:, None])
+                else:
+                    x, y = (g.reshape(-1) for g in np.indices(near.shape))
+                found.append((asking[x], order[i + y]))
+                held += len(x)
+                if held > PAIRS_AT_ONCE:
+                    best, found, held = merged(), [], 0
+    if found:
+        best = merged()
+    return q_ids[best[0]], e_ids[best[1]], best[2]
 
 
 def _searched(dealt: DataFrame, tasks: int, k: int) -> DataFrame:
@@ -199,8 +242,9 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     asking = entries.join(asked.select("cid").distinct(), "cid", "left_semi")
     n = entries.count()
     parts = max(1, -(-n // PART_ENTRIES))
-    dealt = _dealt(entries, parts, 1, False).unionByName(_dealt(asking, parts, probes, True))
-    found = _searched(dealt, parts * TABLES, k + 1).distinct()
+    large = _large(_dealt(entries, parts, 1, False), parts) if parts > 1 else {}
+    dealt = _dealt(entries, parts, 1, False, large).unionByName(_dealt(asking, parts, probes, True, large))
+    found = _searched(dealt, parts * TABLES + sum(int(amount.sum()) for _, _, amount in large.values()), k + 1).distinct()
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), "cid")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("q", "cid", "score")
     rows = found.join(entries.select("cid", "ids"), "cid").select("q", "score", F.explode("ids").alias("vec_id"))
