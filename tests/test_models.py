@@ -105,6 +105,10 @@ def test_comparison_and_ablation(rows):
     assert all(r["f1"] > 0.8 for r in table)
 
 
+def test_compared_forest_is_as_deep_as_allowed(spark):
+    assert models.candidate_models(100)["random_forest"].getMaxDepth() == 30
+
+
 def test_registered_ablation_takes_the_rounds_of_the_operator(spark, rows, monkeypatch):
     asked, trees = [], models.boosted_trees
     monkeypatch.setattr(models, "boosted_trees", lambda rounds=300: asked.append(rounds) or trees(1, 1))

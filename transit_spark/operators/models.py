@@ -170,11 +170,11 @@ def transfer_curves(fitted: EarlyWarning, frame: DataFrame, routes: Sequence[str
     return V.pr_curve(_transferred(fitted, frame, routes), by=["route_short"])
 
 
-def candidate_models(train_rows: int, scale: float = 1.0, forest_depth: int = 15) -> dict[str, object]:
+def candidate_models(train_rows: int, scale: float = 1.0, forest_depth: int = 30) -> dict[str, object]:
     """The compared classifiers. ``scale`` shortens all of them alike.
 
     The two third-party boosters of the comparison have no Spark counterpart; one deeper GBT stands
-    in for both. The logistic penalty is the usual C = 1 expressed for an averaged loss.
+    in for both. The logistic penalty is the usual C = 1 expressed for an averaged loss. The forest's trees are as deep as Spark ML allows.
     """
     def rounds(n: int) -> int:
         return max(1, round(n * scale))
@@ -193,7 +193,7 @@ BALANCED = ("logistic_l2", "boosted_depth_4", "random_forest")
 
 
 def compare_models(transition_rows: DataFrame, split: TemporalSplit = TemporalSplit(), window: int = 3,
-                   scale: float = 1.0, forest_depth: int = 15) -> DataFrame:
+                   scale: float = 1.0, forest_depth: int = 30) -> DataFrame:
     """All rows of the model's route and month, first three weeks against the rest, at the default cut."""
     frame, names = feature_frame(with_split(transition_rows, split), window)
     frame = materialise(frame.where(F.col("split").isNotNull()), "comparison")
