@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from transit_spark.llm import decontamination, fm_index, language, neighbours, pieces, quality, sharding, simhash, suffix_dedup, token_files
+from transit_spark.llm import (
+    decontamination, filter_audit, fm_index, language, neighbours, pieces, quality, sharding, simhash, suffix_dedup, token_files,
+)
 from transit_spark.plans.registry import Registry
 
 reg = Registry()
@@ -123,6 +125,42 @@ def op7_sentencepiece(spark, sf_dir):
     return pieces.digest(pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
 
 
+FILTER_AUDIT_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first_id FROM d GROUP BY text),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+              100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text),
+              regexp_matches(text, '[#$%&*|]'), coalesce(first_id < d.doc_id, false)] AS fails
+      FROM d JOIN firsts USING (text) LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+k AS (SELECT unnest(range(1, 6)) AS v),
+o AS (SELECT [a.v, b.v, c.v, d.v, e.v] AS places FROM k a, k b, k c, k d, k e
+      WHERE len(list_distinct([a.v, b.v, c.v, d.v, e.v])) = 5),
+s AS (SELECT places, v AS step, array_to_string(list_transform(places, lambda p: chr(CAST(64 + p AS INTEGER))), '') AS filter_order FROM o, k),
+r AS (SELECT part, filter_order, step, n, good, toxic, fails[places[step]] AS fails_it,
+             list_bool_or(list_transform(places[:step - 1], lambda p: fails[p])) IS TRUE AS gone,
+             len(list_filter(fails, lambda x: x)) AS failed FROM c, s)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+       CAST(sum(CASE WHEN NOT gone AND NOT fails_it THEN n ELSE 0 END) AS BIGINT) AS kept,
+       CAST(sum(CASE WHEN NOT gone AND fails_it THEN n ELSE 0 END) AS BIGINT) AS removed,
+       CAST(sum(CASE WHEN gone AND fails_it THEN n ELSE 0 END) AS BIGINT) AS redundant,
+       CAST(sum(CASE WHEN fails_it AND failed = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+       CAST(sum(CASE WHEN NOT gone AND fails_it THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+       CAST(sum(CASE WHEN NOT gone AND fails_it THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+       CAST(sum(CASE WHEN fails_it THEN n * 120 // failed ELSE 0 END) AS BIGINT) AS shapley
+FROM r GROUP BY part, filter_order, step
+"""
+
+
+@reg.query("op12_filter_interaction_audit", FILTER_AUDIT_SQL)
+def op12_filter_interaction_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @reg.query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
