@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 
 from transit_spark.llm import (
-    decontamination, filter_audit, fm_index, language, neighbours, pieces, quality, sharding, simhash, suffix_dedup, token_files,
+    decontamination, filter_audit, fm_index, language, neighbours, pieces, quality, secrets, sharding, simhash, suffix_dedup,
+    token_files,
 )
 from transit_spark.plans.registry import Registry
 
@@ -161,6 +162,47 @@ def op12_filter_interaction_audit(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+SECRETS_SQL = r"""
+WITH names AS (SELECT '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|'
+                      || '[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?' AS lead),
+forms AS (SELECT 0 AS place, 'assign' AS kind, lead || '[A-Za-z0-9+/_.=-]+' AS pattern FROM names
+          UNION ALL SELECT 1, 'access', 'AKIA[A-Z0-9]+' UNION ALL SELECT 2, 'hex', '[0-9a-f]+'
+          UNION ALL SELECT 3, 'token', '[A-Za-z0-9+/_-]{16,}={0,2}'),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS owner, coalesce(text, '') AS text FROM documents),
+m AS (SELECT r, place, kind, regexp_extract_all(text, pattern) AS found,
+             list_transform(string_split_regex(text, pattern), lambda g: length(g)) AS gaps FROM d, forms),
+e AS (SELECT r, place, kind, unnest(found) AS value, unnest(range(1, len(found) + 1)) AS i, gaps,
+             list_transform(found, lambda f: length(f)) AS sizes FROM m WHERE len(found) > 0),
+big AS (SELECT * FROM e WHERE place <> 2 OR length(value) >= 24),
+s AS (SELECT r, place, kind, value, CAST(list_sum(gaps[1:i]) + coalesce(list_sum(sizes[1:i - 1]), 0) AS BIGINT) AS a, length(value) AS n
+      FROM big),
+v AS (SELECT r, place, kind, a, a + n AS b,
+             CASE place WHEN 0 THEN regexp_extract(value, lead || '([A-Za-z0-9+/_.=-]+)$', 1) ELSE value END AS value FROM s, names),
+base AS (SELECT * FROM v WHERE place = 0 AND length(value) >= 6 OR place = 1 AND length(value) >= 20 OR place = 2),
+token AS (SELECT * FROM v WHERE place = 3 AND len(regexp_extract_all(value, '[A-Za-z][0-9]')) >= 3
+                            AND len(list_distinct(string_split(value, ''))) >= 8
+          AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = v.r AND base.a < v.b AND v.a < base.b)),
+seen AS (SELECT * FROM base UNION ALL SELECT * FROM token),
+owned AS (SELECT value, count(DISTINCT owner) AS owners, max(place) < 4 AND min(place) < 3 AS is_base FROM seen JOIN d USING (r) GROUP BY value),
+j AS (SELECT r, place, a, b, owners, CASE WHEN place < 3 THEN kind WHEN is_base THEN 'reused' WHEN owners <= 1 THEN 'owned' END AS kind
+      FROM seen JOIN owned USING (value)),
+g AS (SELECT r, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
+             string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place) FILTER (place < 3) AS base,
+             string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place) FILTER (kind IS NOT NULL) AS spans,
+             count(*) FILTER (place < 3 AND owners <= 1) AS n_live, count(*) FILTER (place < 3 AND owners > 1) AS n_copied
+      FROM j GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
+       CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_copied, 0) AS BIGINT) AS n_copied
+FROM d LEFT JOIN g USING (r)
+"""
+
+
+@reg.query("op13_secret_scan", SECRETS_SQL)
+def op13_secret_scan(spark, sf_dir):
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 @reg.query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
