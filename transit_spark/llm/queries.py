@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from transit_spark.llm import (
-    decontamination, filter_audit, fm_index, language, neighbours, pieces, quality, secrets, sharding, simhash, suffix_dedup,
-    token_files,
+    decontamination, filter_audit, fm_index, language, negatives, neighbours, pieces, quality, secrets, sharding, simhash,
+    suffix_dedup, token_files,
 )
 from transit_spark.plans.registry import Registry
 
@@ -203,6 +204,29 @@ def op13_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+HARD_NEGATIVES_SQL = r"""
+WITH e AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+one AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, q) = 1),
+s AS (SELECT a.vec_id AS anchor_id, o.vec_id AS other_id, a.label = o.label AS same,
+             CAST(list_inner_product(a.q, o.q) AS BIGINT) AS score
+      FROM one a JOIN one o ON a.vec_id <> o.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
+@reg.query("op11_hard_negatives", HARD_NEGATIVES_SQL)
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 @reg.query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
