@@ -67,5 +67,5 @@ def test_stages_return_the_columns_of_documents(spark, planted):
 
 def test_all_queries_are_registered():
     names = contract.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {q[: q.index("_") + 1] for q in names if q.startswith("op")} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {q[: q.index("_") + 1] for q in names if q.startswith("op")} and "pipeline" in names
     assert np.all([q in names for q in contract.oracle_sql()])
