@@ -98,7 +98,7 @@ def test_curve_file_has_the_transfer_routes(spark, rows, monkeypatch):
 
 def test_comparison_and_ablation(rows):
     compared = {r["model"]: r["f1"] for r in models.compare_models(rows, scale=0.05, forest_depth=5).collect()}
-    assert set(compared) == {"logistic_l2", "boosted_depth_4", "random_forest", "boosted_depth_6"}
+    assert set(compared) == {"logistic_l2", "boosted_depth_4", "random_forest", "boosted_depth_6", "boosted_leaf_wise"}
     assert compared["boosted_depth_6"] > 0.8
     table = models.ablation(rows, windows=(1, 3), rounds=4).collect()
     assert [(r["window"], r["n_features"]) for r in table] == [(1, 12), (3, 24)]

@@ -70,7 +70,7 @@ def m3(spark, sf_dir):
 def m4(spark, sf_dir):
     _, fitted = _trained(spark, sf_dir)
     if fitted is None:
-        return _empty(spark, "feature string, weight double")
+        return _empty(spark, "feature string, weight double, splits long")
     return rounded(models.importances(spark, fitted))
 
 
