@@ -125,7 +125,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def predicted(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, lang_pred and lang_score."""
+    """All columns of ``docs``, lang_pred and lang_score, which take the place of columns of these names."""
+    docs = docs.drop("lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
 

@@ -10,7 +10,8 @@ Equal vectors are one entry that carries the ``k + 1`` smallest of its ids, whic
 and queries are dealt to parts by table and bucket; a query is sent once to each part with the buckets that it visits there.
 A bucket of more than ``PART_ENTRIES`` entries is spread by id over parts of its own, and its visitors go to all of these.
 Every vector is indexed; nothing is fitted to the data. All entries of a visited bucket are compared, so a bucket of many
-near, unequal vectors costs its size for each query that visits it.
+near, unequal vectors costs its size for each query that visits it. A query that finds fewer than it asks for, in spite of
+enough vectors, is compared with all of them, in blocks.
 
 Defined cases: a vector that is null, zero, empty, or holds a null or non-finite component, or whose id is null, takes no
 part. Vectors of different dimensions aren't compared. Of rows that share an id the smallest vector, component by component, takes
@@ -225,6 +226,32 @@ def _searched(dealt: DataFrame, tasks: int, k: int) -> DataFrame:
     return dealt.repartition(tasks, "slice").sortWithinPartitions("slice").mapInArrow(lambda batches: tx.released(run(batches)), "q bigint, cid bigint, score double")
 
 
+def _short(ranked: DataFrame, asked: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """Entries whose queries have fewer neighbours than ``k`` and than there are candidates of their dimension."""
+    dim = F.size("embedding")
+    # An entry has at most k + 1 ids, so the sums are no counts of rows, but they tell whether there are k candidates.
+    there = entries.groupBy(dim.alias("dim")).agg(F.sum(F.size("ids")).alias("there"))
+    counts = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = asked.join(counts, "query_id", "left").join(entries.select("cid", "embedding", dim.alias("dim")), "cid").join(F.broadcast(there), "dim")
+    few = F.coalesce("n", F.lit(0)) < F.least(F.lit(k), F.col("there") - 1)
+    return rows.where(few).select("cid", "embedding").dropDuplicates(["cid"])
+
+
+def _compared_with_all(short: DataFrame, entries: DataFrame, n: int, k: int) -> DataFrame:
+    """The k nearest of all entries for each of ``short``, by blocks of queries and entries."""
+    tiles, blocks = -(-short.count() // QUERIES_AT_ONCE), max(1, -(-n // PART_ENTRIES))
+
+    def dealt(rows: DataFrame, asking: bool) -> DataFrame:
+        own, other = (tiles, blocks) if asking else (blocks, tiles)
+        mine = F.pmod(F.xxhash64("cid"), F.lit(own))
+        every = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        rows = rows.select("cid", "embedding", mine.alias("mine"), every.alias("every"))
+        place = F.col("mine") * blocks + F.col("every") if asking else F.col("every") * blocks + F.col("mine")
+        return rows.select(place.cast("int").alias("slice"), F.lit(asking).alias("asking"), "cid", "embedding", F.array(F.lit(0).cast("long")).alias("buckets"))
+
+    return _searched(dealt(entries, False).unionByName(dealt(short, True)), tiles * blocks, k)
+
+
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
                probes: int = PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row of ``queries``, which are rows of ``vectors``."""
@@ -245,6 +272,17 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     large = _large(_dealt(entries, parts, 1, False), parts) if parts > 1 else {}
     dealt = _dealt(entries, parts, 1, False, large).unionByName(_dealt(asking, parts, probes, True, large))
     found = _searched(dealt, parts * TABLES + sum(int(amount.sum()) for _, _, amount in large.values()), k + 1).distinct()
+    ranked = materialise(_ranked(found, asked, entries, k), "neighbours")
+    short = materialise(_short(ranked, asked, entries, k), "short-queries")
+    if short.isEmpty():
+        return ranked
+    again = asked.join(short.select("cid"), "cid", "left_semi")
+    rest = ranked.join(again.select("query_id"), "query_id", "left_anti")
+    return rest.unionByName(_ranked(_compared_with_all(short, entries, n, k + 1), again, entries, k))
+
+
+def _ranked(found: DataFrame, asked: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """The first k rows of each query among the ids of the entries found for it."""
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), "cid")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("q", "cid", "score")
     rows = found.join(entries.select("cid", "ids"), "cid").select("q", "score", F.explode("ids").alias("vec_id"))

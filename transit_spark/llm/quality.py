@@ -176,8 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fitted.model if fitted else pickle.dumps(0.5)
 
 
-def scored(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and quality_score."""
+def scored(docs: DataFrame, model: bytes, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` and ``score_col``, which takes the place of a column of that name."""
+    docs = docs.drop(score_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -189,9 +190,9 @@ def scored(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
             for i, j in tx.runs(offsets, RUN_BYTES) if isinstance(net, Network) else ():
                 largest, _ = pooled(net, *blocks_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 scores[i:j] = probability(net, largest)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, score_col])
 
-    return docs.mapInArrow(lambda batches: tx.released(run(batches)), StructType([*docs.schema.fields, StructField("quality_score", DoubleType())]))
+    return docs.mapInArrow(lambda batches: tx.released(run(batches)), StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0):
@@ -209,5 +210,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` whose score reaches the threshold."""
-    return scored(docs, train(docs, labels.where(~held_out()))).where(F.col("quality_score") >= threshold).drop("quality_score")
+    """``docs`` whose score reaches the threshold, with the columns they have."""
+    score = tx.unused(docs.columns, "quality_score")
+    return scored(docs, train(docs, labels.where(~held_out())), score_col=score).where(F.col(score) >= threshold).drop(score)

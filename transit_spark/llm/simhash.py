@@ -331,7 +331,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = decided.where("near_least = near_id").select(F.col("near_id").alias("kept_id"))  # the first row of an id that repeats
     again = docs.join(kept, docs[id_col] == kept["kept_id"], "left_semi")
     place = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    again = again.withColumn("near_place", F.row_number().over(place)).where("near_place = 1").drop("near_place")
+    number = tx.unused(docs.columns, "near_place")
+    again = again.withColumn(number, F.row_number().over(place)).where(F.col(number) == 1).drop(number)
     return rest.unionByName(again)
 
 

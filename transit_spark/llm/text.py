@@ -170,6 +170,14 @@ def expand(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return owner, base + np.arange(len(owner))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it; names are compared like Spark does, without case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

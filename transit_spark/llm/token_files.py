@@ -123,7 +123,10 @@ class FrameReader:
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    """File system and path of a URI, of a plain path, or of ``file:/path`` as Spark writes it."""
+    if "://" not in uri:
+        uri = f"file://{uri.removeprefix('file:')}"
+    return pafs.FileSystem.from_uri(uri)
 
 
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, id_col: str = "doc_id",
