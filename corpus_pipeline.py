@@ -14,6 +14,10 @@ from transit_spark.llm import decontamination, pieces, quality, simhash, suffix_
 from transit_spark.session import materialise
 
 
+#: Fifty words are 250 to 400 bytes of the languages at hand, so that a passage of more than fifty holds such a string.
+PASSAGE_BYTES, PASSAGE_GRAM = 256, 128
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,8 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings that occur more than once are cut out of the texts."""
-    return suffix_dedup.cleaned(docs)
+    """Bytes of passages that occur more than once are cut out of the texts."""
+    return suffix_dedup.cleaned(docs, min_bytes=PASSAGE_BYTES, gram_bytes=PASSAGE_GRAM)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
