@@ -291,3 +291,101 @@ def test_metrics_table(spark, folder):
     ]
     sinks.write_metrics(table, f"{folder}/m")
     assert spark.read.option("header", True).csv(f"{folder}/m").count() == 3
+
+
+# One pass over raw files, stored layout, commits
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_byte_ranges_give_each_line_once(spark, folder):
+    from transit_spark.sources import month_files
+
+    lines = [f'{i},"a, ""{i}""",x{i}' for i in range(400)]
+    write(f"{folder}/2026/01/a.csv", "\n \nn,text,extra\n" + "\n".join(lines))
+    write(f"{folder}/2026/01/b.txt", "﻿extra,n\r\n,1000\r\n\"\",1001\r\n\r\nbad\r\n")
+    write(f"{folder}/2026/01/empty.csv", "")
+    write(f"{folder}/2026/01/head.csv", "n,other")
+    write(f"{folder}/2026/01/_hidden.csv", "n\n1")
+    reader = month_files._reader(spark, [f"{folder}/2026/01/"], range_bytes="97")
+    rows = reader.schema("n string, text string, extra string, filename string, _rejected boolean").load().collect()
+    good = [r for r in rows if not r["_rejected"]]
+    assert len(rows) == len(good) + 1 and sorted(int(r["n"]) for r in good) == [*range(400), 1000, 1001]
+    by = {r["n"]: r for r in good}
+    assert (by["7"]["text"], by["7"]["extra"], by["1000"]["extra"], by["1001"]["extra"], by["1001"]["text"]) == ('a, "7"', "x7", None, "", None)
+    assert by["7"]["filename"].startswith("file:/") and by["7"]["filename"].endswith("/2026/01/a.csv")
+    assert len(month_files.MonthFilesReader({"paths": json.dumps([folder]), "range_bytes": "97"}, None, False).partitions()) > 50
+    heads = {r["path"].rsplit("/", 1)[1]: r["line"] for r in month_files.heads(spark, [folder], "csv,txt").collect()}
+    assert heads == {"a.csv": "n,text,extra", "b.txt": "extra,n", "head.csv": "n,other"}
+
+
+def test_line_breaks_in_quotes(spark, folder):
+    write(f"{folder}/2026/01/a.csv", 'a,b\n1,"x\ny"\n2,z\n')
+    rows = ingest.read_csv_files(spark, [folder + "/2026/01/"], multi_line=True).orderBy("a").collect()
+    assert [(r["a"], r["b"], r["year"], r["month"]) for r in rows] == [("1", "x\ny", "2026", "01"), ("2", "z", "2026", "01")]
+
+
+def test_csv_is_read_once_and_by_no_text_scan(spark, folder):
+    write(f"{folder}/2026/01/a.csv", "a,b\n1,2\n")
+    plan = plan_of(ingest.read_csv_files(spark, [folder + "/2026/01/"]))
+    assert "Scan text" not in plan and "Scan csv" not in plan and plan.count("BatchScan month_files") <= 1
+
+
+def test_counts_of_a_month(spark, months):
+    raw, tree = months
+    counts = {(r["month"], r["kind"]): (r["rows"], r["dropped"]) for r in ingest.ingest(spark, raw, tree).collect()}
+    assert counts == {("01", "csv"): (3, 1), ("02", "json"): (4, 0)}
+    again = {(r["month"], r["kind"]): (r["status"], r["rows"], r["dropped"]) for r in ingest.ingest(spark, raw, tree).collect()}
+    assert again == {("01", "csv"): ("skipped", 3, 1), ("02", "json"): ("skipped", 4, 0)}
+
+
+def test_a_write_without_its_record_changes_nothing(spark, months, monkeypatch):
+    raw, tree = months
+    ingest.ingest(spark, raw, tree)
+    before = sorted(map(str, ingest.read_observations(spark, tree).collect()))
+    write(f"{raw}/2026/01/a.csv", "route_id,stop\n14,99\n")
+    written = ingest.write_months
+
+    def killed(*args):
+        written(*args)
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(ingest, "write_months", killed)
+    with pytest.raises(KeyboardInterrupt):
+        ingest.ingest(spark, raw, tree, overwrite=True)
+    assert len(list(Path(tree).glob("source_kind=csv/year=2026/month=01/version=*"))) == 2
+    assert sorted(map(str, ingest.read_observations(spark, tree).collect())) == before
+    monkeypatch.undo()
+    ingest.ingest(spark, raw, tree, overwrite=True)
+    assert ingest.read_observations(spark, tree).where("stop = '99'").count() == 1
+
+
+def test_routes_skip_row_groups(spark, folder):
+    import pyarrow.parquet as pq
+
+    from transit_spark.functions import columns as C
+
+    raw, tree = f"{folder}/raw", f"{folder}/tree"
+    body = "\n".join(f"{'SF:' if i % 2 else ''}{i % 60},2026-01-{i % 28 + 1:02d},{i}" for i in range(6000))
+    write(f"{raw}/2026/01/a.csv", f"route_id,service_date,n\n{body}\n")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a file per range, though the rows are few
+    try:
+        ingest.ingest(spark, raw, tree)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stored = ingest.read_observations(spark, tree)
+    few = stored.where(C.on_stored_routes(stored, ["14", "38", "SF:49"]))
+    wide = stored.drop(C.ROUTE_KEY)
+    assert sorted(r["n"] for r in few.collect()) == sorted(r["n"] for r in wide.where(C.on_stored_routes(wide, ["14", "38", "SF:49"])).collect())
+    assert "In(route_key, [14,38,49])" in plan_of(few)
+    files = list(Path(tree).rglob("source_kind=csv/**/*.parquet"))
+    bounds = []
+    for file in files:
+        meta = pq.ParquetFile(file).metadata
+        place = meta.schema.names.index(C.ROUTE_KEY)
+        for g in range(meta.num_row_groups):
+            column = meta.row_group(g).column(place)
+            bounds.append((column.statistics.min, column.statistics.max))
+    hit = [b for b in bounds if any(b[0] <= r <= b[1] for r in ("14", "38", "49"))]
+    assert len(bounds) >= 4 and len(hit) < len(bounds)

@@ -96,6 +96,24 @@ def on_routes(column: Column, routes: str | Iterable[str]) -> Column:
     return tests[0]
 
 
+ROUTE_KEY = "route_key"
+
+
+def route_key(column: Column) -> Column:
+    """The last ``:``-separated part of a route, by which stored months are clustered."""
+    return F.element_at(F.split(column, ":"), -1)
+
+
+def on_stored_routes(df: DataFrame, routes: str | Iterable[str], column: str = "route_id") -> Column:
+    """The test of :func:`on_routes`, as equality with the stored key where ``df`` has one, so that row groups are skipped."""
+    if ROUTE_KEY not in df.columns:
+        return on_routes(F.col(column), routes)
+    wanted = [routes] if isinstance(routes, str) else list(routes)
+    parts = sorted({route.rsplit(":", 1)[-1] for route in wanted})
+    test = F.col(ROUTE_KEY).isin(parts)
+    return test & on_routes(F.col(column), wanted) if any(":" in route for route in wanted) else test
+
+
 def short_route(column: Column) -> Column:
     """Trailing digits of the route, or the whole id where it does not end in digits."""
     return F.coalesce(F.nullif(F.regexp_extract(column, r"(\d+)$", 1), F.lit("")), column)

@@ -47,7 +47,7 @@ def observations_base(
     if scheduled_only:
         rows = rows.where(C.has_clock(*SCHEDULED))
     if routes:
-        rows = rows.where(C.on_routes(F.col("route_id"), routes))
+        rows = rows.where(C.on_stored_routes(df, routes))
     return rows.select(
         F.col("year").cast("int").alias("year"),
         F.col("month").cast("int").alias("month"),

@@ -89,11 +89,24 @@ def a19(spark, sf_dir):
     f"WITH {B.FEED_CTE} SELECT DISTINCT snapshot_ts, 'trip_updates' AS label FROM raw_feed",
 )
 def s1(spark, sf_dir):
+    """A file for each snapshot, written by tasks, then listed."""
+    root = scratch_path(spark, "snapshot-files")
+
+    def write(batches):
+        from transit_spark.sources.month_files import open_path
+
+        filesystem, base, _ = open_path(root)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                filesystem.create_dir(f"{base}/{name.split('/')[0]}", recursive=True)
+                with filesystem.open_output_stream(f"{base}/{name}") as file:
+                    file.write(name.encode())
+            yield batch
+
     stamps = B.raw_feed(spark, sf_dir).select("snapshot_ts").distinct()
-    path = F.date_format("snapshot_ts", "'/raw/'yyyy-MM-dd'/'HH-mm-ss'_trip_updates.bin'")
-    return stamps.select(path.alias("path")).select(
-        *[c.alias(n) for n, c in snapshots.path_columns(F.col("path")).items()]
-    )
+    names = stamps.select(F.date_format("snapshot_ts", "yyyy-MM-dd'/'HH-mm-ss'_trip_updates.bin'").alias("name"))
+    names.mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+    return snapshots.scan_snapshots(spark, root).select("snapshot_ts", "label")
 
 
 # --- streaming --------------------------------------------------------------------------------------
@@ -177,7 +190,9 @@ def s4(spark, sf_dir):
 @reg.query(
     "s6_ingest_status",
     f"""WITH {B.OBSERVATIONS_CTE}, months AS (SELECT DISTINCT lpad(CAST(month AS VARCHAR), 2, '0') AS month FROM observations)
-SELECT '2024' AS year, month, kind, status FROM months, (VALUES ('csv'), ('json')) k(kind), (VALUES ('written'), ('skipped')) s(status)""",
+SELECT '2024' AS year, month, kind, status, (SELECT count(*) FROM observations o WHERE lpad(CAST(o.month AS VARCHAR), 2, '0') = months.month
+    AND CASE kind WHEN 'csv' THEN route_id = '49' OR route_id LIKE 'SF:%' ELSE route_id = '14' END) AS rows, CAST(0 AS BIGINT) AS dropped
+FROM months, (VALUES ('csv'), ('json')) k(kind), (VALUES ('written'), ('skipped')) s(status)""",
 )
 def s6(spark, sf_dir):
     raw, tree, first = _tree(spark, sf_dir)
@@ -185,10 +200,22 @@ def s6(spark, sf_dir):
     return first.unionByName(again).drop("files")
 
 
-@reg.query("s3_ingest_manifest")
+@reg.query(
+    "s3_ingest_manifest",
+    f"""WITH {B.OBSERVATIONS_CTE} SELECT '2024' AS year, lpad(CAST(month AS VARCHAR), 2, '0') AS month,
+  count(DISTINCT CASE WHEN route_id <> '14' THEN route_id END) AS csv_files, count(DISTINCT CASE WHEN route_id = '14' THEN route_id END) AS json_files
+FROM observations GROUP BY ALL""",
+)
 def s3(spark, sf_dir):
-    """File counts depend on the writer's partitions, so this is checked on rows only."""
-    return ingest.ingest_manifest(ingest.raw_files(spark, _raw_tree(spark, sf_dir)))
+    """One raw file per month and route, so that their number follows from the rows."""
+    root = scratch_path(spark, "raw-routes")
+    rows = B.observations(spark, sf_dir).select(*[F.col(c).cast("string").alias(c) for c in TREE_COLUMNS], "month")
+    rows = rows.withColumn("route", F.regexp_replace("route_id", "[^A-Za-z0-9]", "-"))
+    for month in (1, 2, 3):
+        part = rows.where(F.col("month") == month).drop("month").repartition("route")
+        part.where("route_id <> '14'").write.partitionBy("route").option("header", True).csv(f"{root}/2024/{month:02d}/csv")
+        part.where("route_id = '14'").write.partitionBy("route").json(f"{root}/2024/{month:02d}/json")
+    return ingest.ingest_manifest(ingest.raw_files(spark, root))
 
 
 @reg.query(
