@@ -143,7 +143,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1,
         for batch in batches:
             for i in range(0, len(batch), BATCH_TEXTS):
                 piece = batch.slice(i, BATCH_TEXTS)
-                ids, sizes = encode(piece.column("text").to_pylist())
+                ids, sizes = encode(piece.column("text"))
                 if writer is None:
                     part = piece.column("part")[0].as_py()
                     filesystem.create_dir(base, recursive=True)
