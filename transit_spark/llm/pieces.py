@@ -36,7 +36,7 @@ from transit_spark.llm import text as tx
 
 SAMPLES = 2
 SEED = 42
-RUN_BYTES = 3 << 18
+RUN_BYTES = 3 << 17
 SPACE = "▁"
 SLOT_BITS = 20
 
