@@ -389,3 +389,30 @@ def test_routes_skip_row_groups(spark, folder):
             bounds.append((column.statistics.min, column.statistics.max))
     hit = [b for b in bounds if any(b[0] <= r <= b[1] for r in ("14", "38", "49"))]
     assert len(bounds) >= 4 and len(hit) < len(bounds)
+
+
+def test_store_is_not_shuffled_for_an_append(spark, folder):
+    from transit_spark.sources import append
+
+    keys = ("k", "s")
+    name = f"keyed_{folder[-8:].replace('-', '_').replace('.', '_')}"
+    append.create_keyed_table(spark, name, "k bigint, s string, v double", keys, f"{folder}/keyed", 8)
+    assert append.table_keys(spark, name) == list(keys)
+    first = spark.createDataFrame([(i, "a", float(i)) for i in range(50)] + [(1, "a", -1.0), (None, "a", 0.0)], "k bigint, s string, v double")
+    second = spark.createDataFrame([(i, "a", 99.0) for i in range(40, 60)], "k bigint, s string, v double")
+    for rows in (first, second, second, first):
+        append.append_to_table(spark, name, rows, ["v"])
+    got = {r["k"]: r["v"] for r in spark.table(name).collect()}
+    assert got == {i: -1.0 if i == 1 else float(i) if i < 50 else 99.0 for i in range(60)} and spark.table(name).count() == 60
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fresh = append.new_rows(spark.table(name), second, keys, ["v"])
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    again = f"{name}_again"  # another session finds the stored buckets
+    append.create_keyed_table(spark, again, "k bigint, s string, v double", keys, f"{folder}/keyed", 8)
+    append.append_to_table(spark, again, second, ["v"])
+    assert spark.table(again).count() == 60

@@ -8,7 +8,7 @@ from transit_spark.operators import realtime as R
 from transit_spark.operators import reports
 from transit_spark.plans import bridge as B
 from transit_spark.plans.registry import Registry, rounded
-from transit_spark.session import materialise
+from transit_spark.session import materialise, scratch_path
 from transit_spark.sources import append
 
 reg = Registry()
@@ -147,6 +147,18 @@ def s8(spark, sf_dir):
     return merged.select(*B.UPDATE_COLUMNS)
 
 
+@reg.query("s8_append_to_keyed_table", f"WITH {S8_CTE} SELECT {_UPDATE_LIST} FROM ranked WHERE place = 1")
+def s8_table(spark, sf_dir):
+    """Both deliveries, the second one twice, into a table that is bucketed by the key."""
+    location = scratch_path(spark, "updates")
+    name = f"updates_{location[-12:]}"
+    existing, incoming = _two_deliveries(spark, sf_dir)
+    append.create_keyed_table(spark, name, existing.schema.simpleString()[7:-1].replace(":", " "), B.UPDATE_KEY, location)
+    for delivery in (existing, incoming, incoming):
+        append.append_to_table(spark, name, delivery, B.ARRIVAL)
+    return spark.table(name).select(*B.UPDATE_COLUMNS)
+
+
 @reg.query("j5_new_keys_only", f"WITH {S8_CTE} SELECT {_UPDATE_LIST} FROM ranked WHERE place = 1 AND NOT early")
 def j5(spark, sf_dir):
     existing, incoming = _two_deliveries(spark, sf_dir)
