@@ -158,3 +158,15 @@ def test_adf_per_series(spark):
     beta, rss, *_ = np.linalg.lstsq(x, dy, rcond=None)
     t = beta[0] / np.sqrt(rss[0] / 27 * np.linalg.inv(x.T @ x)[0, 0])
     assert adf_lag0(daily.where("route = 'a'"), ["route"]).first()["statistic"] == pytest.approx(t)
+
+
+def test_adf_from_moments_is_that_of_least_squares(spark):
+    rng = np.random.default_rng(8)
+    series = {"noise": rng.normal(size=60), "walk": np.cumsum(rng.normal(size=90)), "short": rng.normal(size=4), "five": rng.normal(size=5) * 1e-3,
+              "far": 1e3 + np.cumsum(rng.normal(size=45)), "waves": np.sin(np.arange(80)) + 0.3 * rng.normal(size=80), "long": rng.random(400)}
+    days = [(name, f"20{20 + d // 336}-{d // 28 % 12 + 1:02d}-{d % 28 + 1:02d}", float(v)) for name, y in series.items() for d, v in enumerate(y)]
+    got = {r["route"]: r for r in adf_test(spark.createDataFrame(days, "route string, service_date string, daily_bunching_index double"), ["route"]).collect()}
+    for name, y in series.items():
+        statistic, p, lags = adf(y)
+        assert (got[name]["days"], got[name]["lags"]) == (len(y), lags), name
+        assert got[name]["statistic"] == pytest.approx(statistic, rel=1e-6) and got[name]["p_value"] == pytest.approx(p, abs=1e-9), name

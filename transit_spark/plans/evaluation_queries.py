@@ -238,8 +238,62 @@ def m9_lag0(spark, sf_dir):
     return rounded(adf_lag0(daily, ["route_id"]), 5)
 
 
-@reg.query("m9_adf_test")
+def _adf_moments_sql(source: str, size: str) -> str:
+    """Moments of the vectors ``z`` in ``source``, as a list of lists per route; ``size`` is the vectors' length."""
+    return f"""SELECT route_id, days, deepest, lags, list(line ORDER BY i) AS m FROM (
+  SELECT route_id, days, deepest, lags, i, list(v ORDER BY j) AS line FROM (
+    SELECT route_id, days, deepest, lags, i, j, sum(z[i] * z[j]) AS v
+    FROM (SELECT *, unnest(range(1, {size} + 1)) AS i FROM {source}) a, LATERAL (SELECT unnest(range(1, {size} + 1)) AS j) b GROUP BY ALL)
+  GROUP BY ALL) GROUP BY ALL"""
+
+
+_ADF_STEP = (
+    "list_transform(m, lambda line, i: CASE WHEN i = k THEN line ELSE "
+    "list_transform(line, lambda v, j: v - line[k] * m[k][j] / m[k][k]) END)"
+)
+
+ADF_CTE = f"""{TRANSITIONS_CTE}, daily AS (
+  SELECT route_id, CAST(service_date AS DATE) AS day, avg(is_bunching) AS y FROM tr GROUP BY ALL),
+series AS (SELECT route_id, count(*) AS days, max(y) - min(y) AS spread FROM daily GROUP BY ALL),
+lagged AS (
+  SELECT route_id, y, lead(y) OVER s - y AS dy, row_number() OVER s - 1 AS place FROM daily WINDOW s AS (PARTITION BY route_id ORDER BY day)),
+steps AS (
+  SELECT route_id, y, dy, place, days, CAST(least(ceil(12 * pow(days / 100.0, 0.25)), days // 2 - 2) AS INTEGER) AS deepest,
+         list_reverse(list(dy) OVER (PARTITION BY route_id ORDER BY place ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING)) AS earlier
+  FROM lagged JOIN series USING (route_id) WHERE days >= 4 AND spread > 0 QUALIFY dy IS NOT NULL),
+wide AS (SELECT *, 0 AS lags, list_concat([1.0::DOUBLE, y], list_concat(earlier[:deepest], [dy])) AS z FROM steps WHERE deepest >= 0 AND place >= deepest),
+whole AS ({_adf_moments_sql("wide", "(deepest + 3)")}),
+swept AS (
+  SELECT route_id, days, deepest, m, 1 AS k FROM whole UNION ALL
+  SELECT route_id, days, deepest, {_ADF_STEP}, k + 1 FROM swept WHERE k <= deepest + 2),
+chosen AS (
+  SELECT route_id, k - 3 AS lags FROM swept WHERE k >= 3
+  QUALIFY row_number() OVER (PARTITION BY route_id ORDER BY
+    2 * (k - 1) + (days - 1 - deepest) * (ln(2 * pi()) + ln(greatest(m[deepest + 3][deepest + 3], 1e-300) / (days - 1 - deepest)) + 1), k) = 1),
+narrow AS (
+  SELECT steps.* EXCLUDE (deepest), deepest, CAST(lags AS INTEGER) AS lags, list_concat(list_concat([1.0::DOUBLE], earlier[:lags]), [y, dy]) AS z
+  FROM steps JOIN chosen USING (route_id) WHERE place >= lags),
+own AS ({_adf_moments_sql("narrow", "(lags + 3)")}),
+solved AS (
+  SELECT route_id, days, lags, m, 1 AS k FROM own UNION ALL SELECT route_id, days, lags, {_ADF_STEP}, k + 1 FROM solved WHERE k <= lags + 1),
+ends AS (
+  SELECT route_id, days, lags, m[lags + 2][lags + 2] AS xx, m[lags + 2][lags + 3] AS xy, m[lags + 3][lags + 3] AS yy FROM solved WHERE k = lags + 2),
+tau AS (SELECT route_id, lags, xy / xx / sqrt((yy - xy * xy / xx) / (days - 1 - lags - (lags + 2)) / xx) AS t FROM ends WHERE xx > 0 AND yy - xy * xy / xx > 0),
+z AS (
+  SELECT *, CASE WHEN t <= -1.61 THEN 2.1659 + 1.4412 * t + 0.038269 * t * t
+                 ELSE 1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t * t * t END AS z FROM tau),
+p AS (
+  SELECT *, CASE WHEN t > 2.74 THEN 1 WHEN t < -18.83 THEN 0 WHEN z < -6 THEN 0 WHEN z > 6 THEN 1 ELSE 0.5 + list_sum(list_transform(range(0, 120),
+    lambda n: CAST(pow(-1, n) * exp((2 * n + 1) * ln(greatest(abs(z), 1e-300)) - n * ln(2) - lgamma(n + 1)) / (2 * n + 1) AS DOUBLE))) * sign(z) / sqrt(2 * pi()) END AS share
+  FROM z)"""
+
+
+@reg.query(
+    "m9_adf_test",
+    f"WITH RECURSIVE {ADF_CTE} SELECT route_id, days, CAST(coalesce(lags, 0) AS BIGINT) AS lags, round(t, 6) AS statistic, "
+    "round(CAST(share AS DOUBLE), 6) AS p_value FROM series LEFT JOIN p USING (route_id)",
+)
 def m9(spark, sf_dir):
-    """Augmented form with lag choice by AIC and a p-value: no SQL equivalent."""
+    """Augmented form, with the number of lags chosen by AIC and a p-value."""
     daily = daily_bunching(transition_frame(spark, sf_dir), by=["route_id"])
     return rounded(adf_test(daily, ["route_id"]))
