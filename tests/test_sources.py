@@ -416,3 +416,24 @@ def test_store_is_not_shuffled_for_an_append(spark, folder):
     append.create_keyed_table(spark, again, "k bigint, s string, v double", keys, f"{folder}/keyed", 8)
     append.append_to_table(spark, again, second, ["v"])
     assert spark.table(again).count() == 60
+
+
+def test_a_batch_is_compared_with_its_own_hours(spark, folder):
+    store = f"{folder}/store"
+    schema, _ = collect.TABLES["vehicle_positions"]
+
+    def rows(hours):
+        stamps = [(f"2025-01-0{1 + h // 24} {h % 24:02d}:10:00", f"v{h}") for h in hours]
+        frame = spark.createDataFrame(stamps, "at string, vehicle_id string").withColumn("snapshot_ts", F.col("at").cast("timestamp_ntz"))
+        for field in spark.createDataFrame([], schema).schema.fields:
+            if field.name not in frame.columns:
+                frame = frame.withColumn(field.name, F.lit(None).cast(field.dataType))
+        return frame.drop("at")
+
+    for hours in (range(20), range(18, 30), range(30)):
+        collect.append_rows(store, "vehicle_positions", rows(hours), ["trip_id"])
+    table = collect.read_table(spark, store, "vehicle_positions")
+    assert table.count() == 30 and "snapshot_hour" not in table.columns
+    some = collect.comparable(collect._stored(spark, store, "vehicle_positions"), [(dt.date(2025, 1, 1), 5), (None, None)])
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert some.count() == 1 and len(some.inputFiles()) >= 1 and "snapshot_hour" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
