@@ -74,3 +74,15 @@ def test_very_long_texts(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id bigint, quality int")
     assert all(0 <= r.score <= 1 for r in quality.classify(frame, labels).collect())
     assert {r.doc_id for r in language.identify(frame).collect()} == {1, 2, 3}
+
+
+def test_a_template_of_many_items_and_documents_makes_no_pairs(spark):
+    from transit_spark.llm import decontamination
+
+    template = prose(700, 14)
+    items = spark.createDataFrame([(i, f"{template} {prose(8000 + i, 12)}") for i in range(300)], "item_id bigint, text string")
+    frame = spark.createDataFrame([(i, f"{prose(9000 + i, 12)} {template} {prose(9500 + i, 12)}") for i in range(300)], "doc_id bigint, text string")
+    found = decontamination.contamination(frame, items)
+    # a neighbouring word may be an item's by chance
+    assert all(14 <= r.n_hit <= 17 and r.items == 300 for r in found.select("n_hit", F.size("items").alias("items")).collect())
+    assert decontamination.hits(frame, items)[1].count() < 300 * 300 / 10  # pairs of a document and an item

@@ -3,8 +3,9 @@
 Words are runs of digits, a-z (A-Z are lower-cased) and characters beyond ASCII. A window is ``WINDOW`` consecutive words
 of a benchmark item, or a whole shorter item. Of the word 5-grams of documents and items, the smallest hash of each 6
 consecutive ones is kept; any 10 words that both sides share hold such a gram on both sides, at the same place. Kept
-grams are joined by hash, and each pair of occurrences is extended word by word to the left and right. A shorter item has
-too few words for that; all grams of its length are kept instead, which is winnowing with a window of one.
+grams are joined by hash; a hit is extended to the windows of 10 words that hold the gram, which must be the same on both
+sides. A shorter item has too few words for that; all grams of its length are kept instead, which is winnowing with a window
+of one.
 
 Documents' grams meet a bitmap of the benchmark's hashes before the shuffle. It has 2^24 bits whatever the benchmark's
 size; a large benchmark fills it, lets more grams pass to the join and changes no result.
@@ -19,9 +20,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transit_spark.llm import text as tx
@@ -124,42 +124,38 @@ def _bitmap(grams: DataFrame) -> np.ndarray:
     return bits
 
 
-def _extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of gram occurrences to covered words [start, end) of the document; pairs that share too little go."""
-    for pdf in frames:
-        out = []
-        for row in pdf.itertuples(index=False):
-            mine, theirs, k = row.words.split(" "), row.item_words.split(" "), row.gram
-            if mine[row.left : row.left + k] != theirs[row.item_left : row.item_left + k]:
-                continue
-            x = y = 0
-            while x < min(row.left, row.item_left) and mine[row.left - x - 1] == theirs[row.item_left - x - 1]:
-                x += 1
-            a, b = row.left + k, row.item_left + k
-            while a + y < len(mine) and b + y < len(theirs) and mine[a + y] == theirs[b + y]:
-                y += 1
-            if k < GRAM or row.whole or x + k + y >= WINDOW:
-                out.append((row.id, row.text_key, row.item_id, row.at - x, row.at + k + y))
-        yield pd.DataFrame(out, columns=["id", "text_key", "item_id", "start", "end"])
+def _windows(spans: DataFrame, whole: Column) -> DataFrame:
+    """Each span of a kept gram with the windows around it: adds (shift, size, window).
+
+    ``whole`` says for which spans the gram itself is the window, that of an item of so many words; for the others it is
+    each ``WINDOW`` consecutive words that hold the gram.
+    """
+    own = F.array(F.struct(F.lit(0).alias("shift"), F.col("gram").alias("size"), F.array_join(F.slice("parts", F.col("left") + 1, F.col("gram")), " ").alias("window")))
+    begins = F.expr(
+        f"filter(sequence(greatest(left - {WINDOW - GRAM}, 0), left), s -> s + {WINDOW} <= size(parts) AND gram = {GRAM})"
+    )
+    longer = F.transform(begins, lambda s: F.struct(
+        (s - F.col("left")).alias("shift"), F.lit(WINDOW).alias("size"), F.array_join(F.slice("parts", s + 1, F.lit(WINDOW)), " ").alias("window")))
+    both = F.concat(F.when(whole, own).otherwise(F.slice(own, 1, 0)), longer)
+    return spans.withColumn("parts", F.split("words", " ")).withColumn("w", F.explode(both)).select(*spans.columns, "w.*")
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents with their word counts, covered spans): the parts of :func:`contamination`."""
+    """(documents with their word counts, covered spans with their items): the parts of :func:`contamination`.
+
+    Spans of kept grams are joined by the gram's hash and a window around it. A window that many documents share with many
+    items is one row of items, so the join has a row for each occurrence in a document, not for each item there.
+    """
     items = materialise(_pass(benchmark, item_col, item_text_col, tuple(range(1, WINDOW)), None, True), "benchmark-grams")
     lengths = tuple(sorted(r.n_words for r in items.where(F.col("n_words").between(1, WINDOW - 1)).select("n_words").distinct().collect()))
-    grams = items.select(F.col("id").alias("item_id"), "n_words", F.explode("spans").alias("s"))
-    grams = grams.select(
-        F.col("s.key").alias("key"), "item_id", F.col("s.left").alias("item_left"), F.col("s.words").alias("item_words"),
-        (F.col("n_words") < WINDOW).alias("whole"),
-    )
+    grams = items.select(F.col("id").cast("string").alias("item_id"), "n_words", F.explode("spans").alias("s")).select("item_id", "n_words", "s.*")
     docs = materialise(_pass(documents, id_col, text_col, lengths, _bitmap(grams), False), "document-grams")
     found = docs.where(F.size("spans") > 0).select("id", "text_key", F.explode("spans").alias("s")).select("id", "text_key", "s.*").distinct()
-    id_type, item_type = docs.schema["id"].dataType.simpleString(), items.schema["id"].dataType.simpleString()
-    covered = found.join(grams, "key").mapInPandas(
-        _extend, f"id {id_type}, text_key bigint, item_id {item_type}, start int, end int"
-    )
-    return docs.select("id", "text_key", "n_words"), covered
+    theirs = _windows(grams, F.col("n_words") < WINDOW).groupBy("key", "window").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    met = _windows(found, F.lit(True)).join(theirs, ["key", "window"])
+    start = F.col("at") + F.col("shift")
+    return docs.select("id", "text_key", "n_words"), met.select("id", "text_key", start.alias("start"), (start + F.col("size")).alias("end"), "item_ids")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -176,7 +172,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     )
     per_doc = covered.groupBy("id", "text_key").agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"),
-        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items"),
     ).withColumn("n_hit", union)
     h = per_doc.select(F.col("id").alias("hit_id"), F.col("text_key").alias("hit_key"), "spans", "items", "n_hit")
     joined = docs.join(h, docs["id"].eqNullSafe(h["hit_id"]) & (docs["text_key"] == h["hit_key"]), "left")
