@@ -115,7 +115,7 @@ def test_a_worker_without_state_adds_all_trees(spark, cases, monkeypatch):
     def sums(run, upto):
         plan = boosting._Plan(run, 2, {"m": (np.array([0, 1]), (1.0, 1.0), 0.0, boosting._Growing(booster.growth, 2, upto).partial(),
                                              np.array([0]), np.array([0, 1]))}, [], recent[:upto])
-        return list(boosting._level_sums(plan)([("0", label.tobytes(), codes.tobytes())]))[0]["m"]
+        return boosting._cells_of(plan, [("0", label.tobytes(), codes.tobytes())])["m"]
 
     steps = [sums("kept", n) for n in range(len(recent) + 1)]
     at, fresh = sums("fresh", len(recent))

@@ -1,8 +1,8 @@
 """Gradient-boosted trees over a stored matrix of byte codes, several models in the same Spark jobs.
 
 Feature values are replaced once by the number of the quantile bin they lie in and stored as blocks of bytes. A tree level is
-one Spark job: each task sums gradients, curvatures and rows of its blocks per open node, feature and bin, the sums are
-reduced in a tree, and the driver picks the splits from them. What reaches the driver is bounded by nodes, features and
+one Spark job: each task sums gradients, curvatures and rows of its blocks per open node, feature and bin, the sums of equal
+cells are added in a shuffle, and the driver picks the splits from them. What reaches the driver is bounded by nodes, features and
 bins, never by rows. All models of a call take part in the same jobs, each with its own columns, rows, weights and growth,
 so nested models cost one another no jobs. Rows that are one task's are not worth a job per level; see :func:`train`.
 
@@ -20,16 +20,16 @@ from __future__ import annotations
 
 import heapq
 import math
+import pickle
 import uuid
 from collections import OrderedDict
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import RDD, StorageLevel
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
@@ -252,44 +252,49 @@ def _gradients(plan: _Plan, name: str, block: str, label: np.ndarray, codes: np.
 
 #: Cells (node, feature, bin) that hold rows, in order, and their gradients, curvatures and rows.
 _Cells = tuple[np.ndarray, np.ndarray]
-
-
-def _level_sums(plan: _Plan):
-    def run(blocks) -> Iterator[dict[str, _Cells]]:
-        total: dict[str, np.ndarray] = {}
-        for block, labels, codes in blocks:
-            label = np.frombuffer(labels, np.int8)
-            codes = np.frombuffer(codes, np.uint8).reshape(plan.width, len(label))
-            for name, (_, _, _, tree, open_, used) in plan.models.items():
-                own, g, h = _gradients(plan, name, block, label, codes)
-                slot = np.full(len(tree.feature), -1)
-                slot[open_] = np.arange(len(open_))
-                at = slot[tree.leaves_of(own)]
-                inside = np.flatnonzero(at >= 0)
-                size = len(open_) * len(used) * (BINS + 1)
-                first = (at[inside] * len(used) + np.arange(len(used))[:, None]) * (BINS + 1)
-                cell = (first + own[used][:, inside]).reshape(-1)
-                sums = total.setdefault(name, np.zeros((3, size)))
-                sums[0] += np.bincount(cell, np.tile(g[inside], len(used)), size)
-                sums[1] += np.bincount(cell, np.tile(h[inside], len(used)), size)
-                sums[2] += np.bincount(cell, minlength=size)
-        if total:
-            cells = {name: np.flatnonzero(sums[2]) for name, sums in total.items()}
-            yield {name: (at, total[name][:, at]) for name, at in cells.items()}
+#: Number of a block, its labels and its codes.
+_Block = tuple[str, bytes, bytes]
+
+
+def _cells_of(plan: _Plan, blocks: Iterable[_Block]) -> dict[str, _Cells]:
+    """A level's sums over blocks, per model."""
+    total: dict[str, np.ndarray] = {}
+    for block, labels, codes in blocks:
+        label = np.frombuffer(labels, np.int8)
+        codes = np.frombuffer(codes, np.uint8).reshape(plan.width, len(label))
+        for name, (_, _, _, tree, open_, used) in plan.models.items():
+            own, g, h = _gradients(plan, name, block, label, codes)
+            slot = np.full(len(tree.feature), -1)
+            slot[open_] = np.arange(len(open_))
+            at = slot[tree.leaves_of(own)]
+            inside = np.flatnonzero(at >= 0)
+            size = len(open_) * len(used) * (BINS + 1)
+            first = (at[inside] * len(used) + np.arange(len(used))[:, None]) * (BINS + 1)
+            cell = (first + own[used][:, inside]).reshape(-1)
+            sums = total.setdefault(name, np.zeros((3, size)))
+            sums[0] += np.bincount(cell, np.tile(g[inside], len(used)), size)
+            sums[1] += np.bincount(cell, np.tile(h[inside], len(used)), size)
+            sums[2] += np.bincount(cell, minlength=size)
+    cells = {name: np.flatnonzero(sums[2]) for name, sums in total.items()}
+    return {name: (at, total[name][:, at]) for name, at in cells.items()}
+
+
+def _blocks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[_Block]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in ("block", "labels", "codes")))
+
+
+CELLS = "model string, cell long, g double, h double, n double"
+
+
+def _level_cells(plan: _Plan):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, (at, sums) in _cells_of(plan, _blocks_of(batches)).items():
+            yield pa.RecordBatch.from_pydict({"model": [name] * len(at), "cell": at, "g": sums[0], "h": sums[1], "n": sums[2]})
 
     return run
 
 
-def _merged(a: _Cells, b: _Cells) -> _Cells:
-    at, place = np.unique(np.concatenate((a[0], b[0])), return_inverse=True)
-    sums = np.concatenate((a[1], b[1]), axis=1)
-    return at, np.stack([np.bincount(place, row, len(at)) for row in sums])
-
-
-def _added(a: dict, b: dict, both=lambda x, y: x + y) -> dict:
-    return {name: both(a[name], b[name]) if name in a and name in b else a.get(name, b.get(name)) for name in {*a, *b}}
-
-
 # Driver: splits of a level, and the tree they make.
 
 
@@ -369,15 +374,16 @@ class _Growing:
         return Tree(*(np.array(x, np.int16) for x in (feature, cut, child)), np.array(value), np.array(gain))
 
 
-def _class_rows(width: int, places: dict[str, np.ndarray]):
-    def run(blocks) -> Iterator[dict[str, np.ndarray]]:
-        for _, labels, codes in blocks:
-            y = np.frombuffer(labels, np.int8)
-            known = np.frombuffer(codes, np.uint8).reshape(width, len(y)) != MISSING
-            whole = {n: y[known[p].all(axis=0)] for n, p in places.items()}
-            yield {n: np.array([(own != 1).sum(), (own == 1).sum()]) for n, own in whole.items()}
-
-    return run
+def _classes(blocks: Iterable[_Block], width: int, places: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Negative and positive rows that take part, per model."""
+    out = {name: np.zeros(2, np.int64) for name in places}
+    for _, labels, codes in blocks:
+        y = np.frombuffer(labels, np.int8)
+        known = np.frombuffer(codes, np.uint8).reshape(width, len(y)) != MISSING
+        for name, place in places.items():
+            own = y[known[place].all(axis=0)]
+            out[name] += (own != 1).sum(), (own == 1).sum()
+    return out
 
 
 def _grown(boosters: dict[str, Booster], width: int, places: dict[str, np.ndarray], rows: dict[str, np.ndarray],
@@ -413,38 +419,59 @@ class _Kept:
     value: list
 
 
-def _grown_by_tasks(matrix: RDD, boosters: dict[str, Booster], width: int, places: dict[str, np.ndarray]):
-    """A job per level of all models; its tasks hold the blocks."""
-    context = matrix.context
-    matrix = matrix.persist(StorageLevel.MEMORY_AND_DISK)
+def _grown_by_tasks(stored: DataFrame, boosters: dict[str, Booster], width: int, places: dict[str, np.ndarray]):
+    """A job per level of all models: tasks sum over their blocks, and the sums of a cell are added on the way to the driver."""
+    context = stored.sparkSession.sparkContext
+    blocks = stored.persist(StorageLevel.MEMORY_AND_DISK)
     chunks = []
 
-    def stored(trees: list):
+    def put_away(trees: list):
         chunks.append(context.broadcast(trees))
         return chunks[-1]
 
+    def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _classes(_blocks_of(batches), width, places)
+        yield pa.RecordBatch.from_pydict({"model": list(found), "negatives": [int(n[0]) for n in found.values()], "positives": [int(n[1]) for n in found.values()]})
+
+    def level_sums(plan: _Plan) -> dict[str, _Cells]:
+        cells = blocks.mapInArrow(_level_cells(plan), CELLS).groupBy("model", "cell").agg(*[F.sum(c).alias(c) for c in "ghn"])
+        table = cells.toArrow()
+        names, at = np.asarray(table["model"].to_pylist(), object), np.asarray(table["cell"])
+        sums = np.stack([np.asarray(table[c]) for c in "ghn"])
+        out = {}
+        for name in plan.models:
+            mine = np.flatnonzero(names == name)
+            mine = mine[np.argsort(at[mine])]
+            out[name] = at[mine], sums[:, mine]
+        return out
+
     try:
-        rows = matrix.mapPartitions(_class_rows(width, places)).fold({}, _added)
-        return _grown(boosters, width, places, rows, lambda plan: matrix.mapPartitions(_level_sums(plan)).treeReduce(
-            lambda a, b: _added(a, b, _merged)), stored)
+        counts = blocks.mapInArrow(class_rows, "model string, negatives long, positives long").groupBy("model").agg(F.sum("negatives"), F.sum("positives"))
+        rows = {r[0]: np.array(r[1:]) for r in counts.collect()}
+        return _grown(boosters, width, places, rows, level_sums, put_away)
     finally:
-        matrix.unpersist()
+        blocks.unpersist()
         for chunk in chunks:
             chunk.unpersist()
 
 
-def _grown_by_models(matrix: RDD, boosters: dict[str, Booster], width: int, places: dict[str, np.ndarray]):
+def _grown_by_models(stored: DataFrame, boosters: dict[str, Booster], width: int, places: dict[str, np.ndarray]):
     """One job with a task per model, each with the blocks of what is one task's rows."""
-    context = matrix.context
-    blocks = context.broadcast(matrix.collect())
+    spark, names = stored.sparkSession, list(boosters)
+    blocks = spark.sparkContext.broadcast([(r["block"], bytes(r["labels"]), bytes(r["codes"])) for r in stored.collect()])
 
-    def grow(name: str):
-        own, at = {name: boosters[name]}, {name: places[name]}
-        rows = reduce(_added, _class_rows(width, at)(blocks.value), {})
-        return name, _grown(own, width, at, rows, lambda plan: next(_level_sums(plan)(blocks.value)), _Kept)[name]
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                name = names[number]
+                own, at = {name: boosters[name]}, {name: places[name]}
+                rows = _classes(blocks.value, width, at) if blocks.value else {}
+                fitted = _grown(own, width, at, rows, lambda plan: _cells_of(plan, blocks.value), _Kept)[name]
+                yield pa.RecordBatch.from_pydict({"model": [name], "fitted": pa.array([pickle.dumps(fitted)], pa.binary())})
 
     try:
-        return dict(context.parallelize(list(boosters), len(boosters)).map(grow).collect())
+        models = spark.range(0, len(names), 1, len(names)).mapInArrow(grow, "model string, fitted binary")
+        return {r["model"]: pickle.loads(r["fitted"]) for r in models.collect()}
     finally:
         blocks.unpersist()
 
@@ -462,8 +489,7 @@ def train(frame: DataFrame, label: str, boosters: dict[str, Booster]) -> dict[st
     edges = bin_edges(frame, names)
     places = {name: np.array([names.index(n) for n in b.names]) for name, b in boosters.items()}
     stored = code_blocks(frame, label, names, edges)
-    matrix = stored.rdd.map(lambda r: (r[0], bytes(r[1]), bytes(r[2])))
     rows = stored.agg(F.sum(F.octet_length("labels"))).first()[0] or 0
     grow = _grown_by_models if rows <= ROWS_PER_TASK else _grown_by_tasks
-    grown = grow(matrix, boosters, len(names), places)
+    grown = grow(stored, boosters, len(names), places)
     return {n: Ensemble(b.names, [edges[c] for c in b.names], *grown[n]) for n, b in boosters.items()}
