@@ -284,13 +284,16 @@ def _blocks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[_Block]:
         yield from zip(*(batch.column(c).to_pylist() for c in ("block", "labels", "codes")))
 
 
-CELLS = "model string, cell long, g double, h double, n double"
+CELLS = "model int, cell long, g double, h double, n double"  # the model's place among the plan's
 
 
 def _level_cells(plan: _Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, (at, sums) in _cells_of(plan, _blocks_of(batches)).items():
-            yield pa.RecordBatch.from_pydict({"model": [name] * len(at), "cell": at, "g": sums[0], "h": sums[1], "n": sums[2]})
+        found = _cells_of(plan, _blocks_of(batches))
+        for number, name in enumerate(plan.models):
+            if name in found:
+                at, sums = found[name]
+                yield pa.RecordBatch.from_pydict({"model": np.full(len(at), number, np.int32), "cell": at, "g": sums[0], "h": sums[1], "n": sums[2]})
 
     return run
 
@@ -431,23 +434,24 @@ def _grown_by_tasks(stored: DataFrame, boosters: dict[str, Booster], width: int,
 
     def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _classes(_blocks_of(batches), width, places)
-        yield pa.RecordBatch.from_pydict({"model": list(found), "negatives": [int(n[0]) for n in found.values()], "positives": [int(n[1]) for n in found.values()]})
+        both = np.array(list(found.values()), np.int64)
+        yield pa.RecordBatch.from_pydict({"model": np.arange(len(found), dtype=np.int32), "negatives": both[:, 0], "positives": both[:, 1]})
 
     def level_sums(plan: _Plan) -> dict[str, _Cells]:
         cells = blocks.mapInArrow(_level_cells(plan), CELLS).groupBy("model", "cell").agg(*[F.sum(c).alias(c) for c in "ghn"])
         table = cells.toArrow()
-        names, at = np.asarray(table["model"].to_pylist(), object), np.asarray(table["cell"])
+        numbers, at = np.asarray(table["model"]), np.asarray(table["cell"])
         sums = np.stack([np.asarray(table[c]) for c in "ghn"])
         out = {}
-        for name in plan.models:
-            mine = np.flatnonzero(names == name)
+        for number, name in enumerate(plan.models):
+            mine = np.flatnonzero(numbers == number)
             mine = mine[np.argsort(at[mine])]
             out[name] = at[mine], sums[:, mine]
         return out
 
     try:
-        counts = blocks.mapInArrow(class_rows, "model string, negatives long, positives long").groupBy("model").agg(F.sum("negatives"), F.sum("positives"))
-        rows = {r[0]: np.array(r[1:]) for r in counts.collect()}
+        counts = blocks.mapInArrow(class_rows, "model int, negatives long, positives long").groupBy("model").agg(F.sum("negatives"), F.sum("positives"))
+        rows = {list(places)[r[0]]: np.array(r[1:]) for r in counts.collect()}
         return _grown(boosters, width, places, rows, level_sums, put_away)
     finally:
         blocks.unpersist()
@@ -467,11 +471,11 @@ def _grown_by_models(stored: DataFrame, boosters: dict[str, Booster], width: int
                 own, at = {name: boosters[name]}, {name: places[name]}
                 rows = _classes(blocks.value, width, at) if blocks.value else {}
                 fitted = _grown(own, width, at, rows, lambda plan: _cells_of(plan, blocks.value), _Kept)[name]
-                yield pa.RecordBatch.from_pydict({"model": [name], "fitted": pa.array([pickle.dumps(fitted)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"number": pa.array([number], pa.int64()), "fitted": pa.array([pickle.dumps(fitted)], pa.binary())})
 
     try:
-        models = spark.range(0, len(names), 1, len(names)).mapInArrow(grow, "model string, fitted binary")
-        return {r["model"]: pickle.loads(r["fitted"]) for r in models.collect()}
+        models = spark.range(0, len(names), 1, len(names)).mapInArrow(grow, "number long, fitted binary")
+        return {names[r["number"]]: pickle.loads(r["fitted"]) for r in models.collect()}
     finally:
         blocks.unpersist()
 
