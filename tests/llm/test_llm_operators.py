@@ -509,6 +509,52 @@ def test_repeated_passages_match_brute_force(docs, texts, block):
     assert rows_of(suffix_dedup.digest(suffix_dedup.without_repeats(docs, block=block))) == sorted(suffix_rows(texts), key=repr)
 
 
+def test_nothing_is_removed_that_no_search_has_found(docs, monkeypatch):
+    def none(reach):
+        return lambda block: [(later, np.ones(len(block.count)), np.zeros(len(block.count))) for later in (False, True)]
+
+    for op in (fm_index, suffix_dedup):
+        assert op.without_repeats(docs).agg({"n_removed": "sum"}).collect()[0][0] > 0
+        monkeypatch.setattr(op, "search", none)
+        assert op.without_repeats(docs).agg({"n_removed": "sum"}).collect()[0][0] == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_searches_of_a_block_match_brute_force(seed):
+    from transit_spark.llm import repeats
+
+    rng = np.random.default_rng(seed)
+    reach, m = 5, 40
+    texts = [(rng.integers(0, 2, a), rng.integers(0, 2, b), int(g)) for a, b, g in rng.integers(0, [reach + 1, reach + 1, 3], (m, 3))]
+    texts = list({(tuple(a), tuple(b), g): (a, b, g) for a, b, g in texts}.values())
+    symbols = [np.concatenate((a, [2 + g], b)) for a, b, g in texts]
+    n, least = rng.integers(1, 3, len(texts)), rng.permutation(len(texts)) // 2
+    copied, asked = n > 1, rng.random(len(texts)) < 0.8
+    block = repeats.Block(np.concatenate(symbols), np.cumsum([0, *map(len, symbols)]), n, least, asked, copied, 5)
+    places = {}
+    for s, x in enumerate(symbols):
+        for at in range(len(x) - reach):
+            places.setdefault(tuple(x[at : at + reach + 1]), []).append((s, at))
+
+    def spans(wanted, ok):
+        out = {}
+        for where in places.values():
+            for s, at in where:
+                if wanted[s] and ok(s, where):
+                    low, high = out.get(s, (at, at))
+                    out[s] = min(low, at), max(high, at)
+        return out
+
+    def got(low, high):
+        return {s: (int(low[s]), int(high[s])) for s in range(len(symbols)) if low[s] <= high[s]}
+
+    (_, *all_), = suffix_dedup.search(reach)(block)
+    assert got(*all_) == spans([True] * len(symbols), lambda s, where: sum(n[x] for x, _ in where) > 1)
+    (_, *own), (_, *others) = fm_index.search(reach)(block)
+    assert got(*own) == spans(asked, lambda s, where: min(least[x] for x, _ in where) < least[s])
+    assert got(*others) == spans(copied, lambda s, where: True)
+
+
 def test_cleaned_documents_keep_their_columns(docs, empty, texts):
     got = suffix_dedup.cleaned(docs)
     assert got.columns == docs.columns and got.dtypes == docs.dtypes

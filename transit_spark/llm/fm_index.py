@@ -3,8 +3,10 @@
 Segments around equal anchors (see ``repeats``) meet in shards. A shard builds an FM-index of its distinct segments: the
 suffix order of the block, a wavelet matrix over the Burrows-Wheeler transform, stored as bit vectors with sampled counts, and
 the smallest id of the segment at each suffix with a table for range minima. Every segment is then streamed through
-the index: from each place a backward search extends a match word by word, as long as the match's occurrences include one
-of a smaller id. The lengths reached are the matching statistics; where they reach the threshold, the interval is reported.
+the index, for its smallest id and for any greater one: from a place a backward search extends a match word by word, as long
+as the match's occurrences include one of a smaller id. The lengths reached are the matching statistics; where they reach the
+threshold, the interval is reported. A match that ends early rules out all windows that hold it and the word it stopped at, so
+the next place is the first one beyond these.
 
 Windows are judged on the input. Defined cases: a null or empty text has no words; texts of fewer than 50 words lose
 nothing. A row with a null id takes no part: it loses nothing and is no other's earlier text. Rows that share an id are not
@@ -19,7 +21,6 @@ from pyspark.sql import functions as F
 
 from transit_spark.llm import repeats
 from transit_spark.llm.bwt import Transform
-from transit_spark.llm.text import expand
 
 WINDOW_WORDS = 50
 GRAM_WORDS = 20
@@ -69,23 +70,46 @@ class FMIndex:
         return length
 
 
+def _first_and_last(index: FMIndex, block: repeats.Block, window: int, some: np.ndarray, below: np.ndarray):
+    """Of each segment in ``some``, the first and last window that stands in a segment of an id smaller than ``below``."""
+    low, high = np.full(len(block.first) - 1, np.iinfo(np.int64).max), np.full(len(block.first) - 1, -1)
+    begin, last = block.first[some], block.first[some + 1]
+
+    def lengths(who: np.ndarray, end: np.ndarray) -> np.ndarray:
+        parts = [np.zeros(0, np.int64)]
+        for i in range(0, len(who), QUERIES_AT_ONCE):
+            w, e = who[i : i + QUERIES_AT_ONCE], end[i : i + QUERIES_AT_ONCE]
+            parts.append(index.matching_lengths(block.symbols, e, window, below[w]))
+        return np.concatenate(parts)
+
+    who = np.flatnonzero(last - begin >= window)
+    whole = np.zeros(len(some), bool)  # whether the last window matches
+    whole[who] = lengths(who, last[who]) >= window
+    high[some[whole]] = (last - begin)[whole] - window
+    end = begin[who] + window
+    while len(who):
+        reached = lengths(who, end)
+        hit = reached >= window
+        at, which = end[hit] - window - begin[who[hit]], some[who[hit]]
+        low[which], high[which] = np.minimum(low[which], at), np.maximum(high[which], at)
+        end = np.where(hit, end + 1, end - reached + window)
+        # what is known: the last window, and with it and a first one all
+        go = np.where(whole[who], ~hit & (end <= last[who]), end < last[who])
+        who, end = who[go], end[go]
+    return low, high
+
+
 def search(reach: int):
-    """Of each segment asked for, the first and last window that a segment of a smaller id holds too."""
-
-    def run(block: repeats.Block) -> tuple[np.ndarray, np.ndarray]:
-        window = reach + 1
-        index = FMIndex(block, window)
-        size = np.diff(block.first)
-        counts = np.where(block.asked, size - window + 1, 0)
-        low, high = np.full(len(size), np.iinfo(np.int64).max), np.full(len(size), -1)
-        segment, start = expand(block.first[:-1], counts)
-        for i in range(0, len(segment), QUERIES_AT_ONCE):
-            s, a = segment[i : i + QUERIES_AT_ONCE], start[i : i + QUERIES_AT_ONCE]
-            reached = index.matching_lengths(block.symbols, a + window, window, block.least[s]) >= window
-            s, at = s[reached], (a - block.first[s])[reached]
-            np.minimum.at(low, s, at)
-            np.maximum.at(high, s, at)
-        return low, high
+    """Of each segment, the first and last window that a segment of a smaller id holds too: for its smallest id, if that is asked
+    for, and for its other ids, to which the segment itself is one of a smaller id."""
+
+    def run(block: repeats.Block) -> list[tuple[bool, np.ndarray, np.ndarray]]:
+        index = FMIndex(block, reach + 1)
+        asked, copied = np.flatnonzero(block.asked), np.flatnonzero(block.copied)
+        return [
+            (False, *_first_and_last(index, block, reach + 1, asked, block.least[asked])),
+            (True, *_first_and_last(index, block, reach + 1, copied, block.least[copied] + 1)),
+        ]
 
     return run
 

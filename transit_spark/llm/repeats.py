@@ -5,9 +5,10 @@ searched by all texts, as that work grows with the square of the corpus. Instead
 units whose hash is the smallest of ``span - gram + 1`` consecutive ones. Every span holds an anchor at a place that follows
 from the span's content alone, so equal spans hold equal anchors at equal places. An anchor's segment is the stretch of
 text that all spans around it can reach. Only segments of equal anchors have to meet, and only anchors that occur more
-than once have segments at all. Segments that read the same are one row with a count and the smallest id.
+than once have segments at all. Segments that read the same are one row with a count and the smallest id before they are sent.
 
-An operator's shard is a set of anchors; it searches the distinct segments of its anchors. A segment is given as its units
+An operator's shard is a set of anchors; it holds all distinct segments of its anchors, with their counts and ids, and searches
+each of them, so that nothing is covered but what a search has found. A segment is given as its units
 left of the gram, one symbol for the gram, and those right of it; a span of a text is a window of ``span - gram + 1``
 symbols there, and as it holds the gram's symbol, windows match only where they stand alike around the same gram.
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from transit_spark.llm import text as tx
+from transit_spark.llm.skew import spread
 from transit_spark.session import materialise
 
 BLOCK_SYMBOLS = 1 << 20
@@ -100,13 +102,16 @@ def anchors(rows: DataFrame, kind: Spans) -> DataFrame:
     return rows.select("id", "row_key", "text").mapInArrow(lambda batches: tx.released(run(batches)), ANCHOR)
 
 
-SEGMENT = "key bigint, seg bigint, least bigint, asked boolean, left int, hot boolean, body binary"
+SEGMENT = "key bigint, seg bigint, n bigint, least bigint, asked boolean, copied boolean, left int, hot boolean, body binary"
+
+
+SEGMENT_COLUMNS = ["key", "seg", "n", "least", "asked", "copied", "left", "hot"]
 
 
 def _bodies(rows: DataFrame, wanted: DataFrame, kind: Spans) -> DataFrame:
     """The units of each wanted segment (id, row_key, at, left, right, ...), as codes of 8 bytes or plain bytes."""
     per_doc = wanted.groupBy(F.col("id").alias("w_id"), F.col("row_key").alias("w_key")).agg(
-        F.collect_list(F.struct("key", "seg", "least", "asked", "at", "left", "right", "hot")).alias("wanted")
+        F.collect_list(F.struct("key", "seg", "n", "least", "asked", "copied", "at", "left", "right", "hot")).alias("wanted")
     ).hint("shuffle_hash")
     rows = rows.select("id", "row_key", "text")
     texts = rows.join(per_doc, rows["id"].eqNullSafe(per_doc["w_id"]) & (rows["row_key"] == per_doc["w_key"]))
@@ -128,11 +133,9 @@ def _bodies(rows: DataFrame, wanted: DataFrame, kind: Spans) -> DataFrame:
                     for p, a, b in zip(at.tolist(), left.tolist(), right.tolist())
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [get["key"], get["seg"], get["least"], get["asked"], get["left"], get["hot"], pa.array(body, pa.binary())],
-                    ["key", "seg", "least", "asked", "left", "hot", "body"],
+                    [*(get[c] for c in SEGMENT_COLUMNS), pa.array(body, pa.binary())], [*SEGMENT_COLUMNS, "body"],
                 )
 
-    # A row that stands several times gives its segments as often; these aren't asked for, as they have copies.
     return texts.select("text", "wanted").mapInArrow(lambda batches: tx.released(run(batches)), SEGMENT)
 
 
@@ -142,13 +145,16 @@ class Block:
 
     symbols: np.ndarray
     first: np.ndarray
-    group: np.ndarray
-    least: np.ndarray
-    asked: np.ndarray
+    count: np.ndarray  # how many texts' segments read like this one
+    least: np.ndarray  # the smallest id of these
+    asked: np.ndarray  # whether its row of the smallest id is searched for
+    copied: np.ndarray  # whether there are rows of other ids
     alphabet: int
 
 
-Search = Callable[[Block], tuple[np.ndarray, np.ndarray]]
+#: Of each segment, the first and last window that match; with the rows that this holds for: those of the segment's
+#: smallest id (or all, where ids don't matter), or, marked True, those of its other ids.
+Search = Callable[[Block], list[tuple[bool, np.ndarray, np.ndarray]]]
 
 
 def _codes(body: pa.Array, kind: Spans) -> tuple[np.ndarray, np.ndarray]:
@@ -166,22 +172,23 @@ def _block(table: pa.Table, kind: Spans) -> Block:
     at = offsets[:-1] + table.column("left").to_numpy()
     symbols = np.insert(dense.astype(np.int64), at, size + group)
     least = table.column("least").fill_null(np.iinfo(np.int64).max).to_numpy()
-    return Block(symbols, offsets + np.arange(len(offsets)), group, least, table.column("asked").to_numpy(), size + len(keys))
+    counts, asked, copied = (table.column(c).to_numpy() for c in ("n", "asked", "copied"))
+    return Block(symbols, offsets + np.arange(len(offsets)), counts, least, asked, copied, size + len(keys))
 
 
-COVER = "key bigint, seg bigint, begin int, finish int"
+COVER = "key bigint, seg bigint, least bigint, later boolean, begin int, finish int"
 
 
-def _covers(table: pa.Table, kind: Spans, search: Search) -> pa.RecordBatch:
-    """Of each asked segment of a block, the first and last window that match, as units around the anchor."""
-    low, high = search(_block(table, kind))
-    found = low <= high
-    left = table.column("left").to_numpy()[found]
-    return pa.RecordBatch.from_arrays(
-        [table.column("key").combine_chunks().filter(pa.array(found)), table.column("seg").combine_chunks().filter(pa.array(found)),
-         pa.array((low[found] - left).astype(np.int32)), pa.array((high[found] - left + kind.span).astype(np.int32))],
-        ["key", "seg", "begin", "finish"],
-    )
+def _covers(table: pa.Table, kind: Spans, search: Search) -> Iterator[pa.RecordBatch]:
+    """Of each segment of a block, the first and last window that match, as units around the anchor."""
+    for later, low, high in search(_block(table, kind)):
+        found = low <= high
+        left = table.column("left").to_numpy()[found]
+        yield pa.RecordBatch.from_arrays(
+            [*(table.column(c).combine_chunks().filter(pa.array(found)) for c in ("key", "seg", "least")), pa.array(np.full(len(left), later)),
+             pa.array((low[found] - left).astype(np.int32)), pa.array((high[found] - left + kind.span).astype(np.int32))],
+            ["key", "seg", "least", "later", "begin", "finish"],
+        )
 
 
 def _shards(segments: DataFrame, kind: Spans, search: Search, tasks: int) -> DataFrame:
@@ -214,7 +221,7 @@ def _shards(segments: DataFrame, kind: Spans, search: Search, tasks: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches):
-            yield _covers(table.combine_chunks(), kind, search)
+            yield from _covers(table.combine_chunks(), kind, search)
 
     return segments.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(lambda batches: tx.released(run(batches)), COVER)
 
@@ -235,15 +242,20 @@ def _hot(segments: DataFrame, kind: Spans, by_id: bool) -> DataFrame:
                 h = tx.span_hashes(sums, start, start + kind.reach, 1)
                 where = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c).take(where) for c in ("key", "seg", "least", "asked")] + [pa.array(shift), pa.array(tx.signed(h))],
-                    ["key", "seg", "least", "asked", "shift", "h"],
+                    [part.column(c).take(where) for c in names] + [pa.array(shift), pa.array(tx.signed(h))], [*names, "shift", "h"]
                 )
 
-    windows = segments.mapInArrow(lambda batches: tx.released(run(batches)), "key bigint, seg bigint, least bigint, asked boolean, shift int, h bigint")
-    counted = windows.groupBy("key", "shift", "h").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("lowest")).where("n > 1")
-    hit = windows.where("asked").join(counted, ["key", "shift", "h"])
-    hit = hit.where("lowest < least") if by_id else hit
-    return hit.groupBy("key", "seg").agg(
+    names = ["key", "seg", "n", "least", "copied"]
+    schema = "key bigint, seg bigint, n bigint, least bigint, copied boolean, shift int, h bigint"
+    windows = segments.mapInArrow(lambda batches: tx.released(run(batches)), schema)
+    counted = windows.groupBy("key", "shift", "h").agg(F.sum("n").alias("all"), F.min("least").alias("lowest")).where("all > 1")
+    hit = windows.join(counted, ["key", "shift", "h"])
+    if by_id:
+        own, others = F.when(F.col("lowest") < F.col("least"), False), F.when(F.col("copied"), True)
+        hit = hit.withColumn("later", F.explode(F.array_compact(F.array(own, others))))
+    else:
+        hit = hit.withColumn("later", F.lit(False))
+    return hit.groupBy("key", "seg", "least", "later").agg(
         F.min("shift").cast("int").alias("begin"), (F.max("shift") + kind.span).cast("int").alias("finish")
     )
 
@@ -262,27 +274,25 @@ def covered(rows: DataFrame, kind: Spans, search: Search, by_id: bool) -> DataFr
     shared = materialise(every.join(keys, "key", "left_semi"), "shared-anchors")
     place = F.struct("id", "row_key", "at", "left", "right")
     segments = materialise(
-        shared.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.min(place).alias("place")),
+        shared.groupBy("key", "seg").agg(
+            F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), (F.max("id") > F.min("id")).alias("copied"), F.min(place).alias("place")
+        ),
         "segments",
     )
-    # A segment that reads the same elsewhere is covered as a whole; others are searched for among their anchor's.
-    open_ = F.lit(True) if by_id else F.col("n") == 1
-    groups = segments.groupBy("key").agg(
-        F.count(F.lit(1)).alias("distinct"), F.min("least").alias("lowest"), F.max(open_.cast("int")).alias("any")
-    ).where("distinct > 1 AND any = 1").select("key", "lowest", (F.col("distinct") > kind.most_segments).alias("hot"))
-    asked = open_ & (F.col("least") > F.col("lowest")) if by_id else open_
-    wanted = segments.join(groups, "key").select("place.*", "key", "seg", "least", asked.alias("asked"), "hot")
-    bodies = materialise(_bodies(rows, wanted, kind), "segment-bodies")
+    groups = segments.groupBy("key").agg(F.min("least").alias("lowest"), (F.count(F.lit(1)) > kind.most_segments).alias("hot"))
+    asked = F.col("least") > F.col("lowest") if by_id else F.lit(True)
+    wanted = segments.join(groups, "key").select("place.*", "key", "seg", "n", "least", asked.alias("asked"), "copied", "hot")
+    bodies = materialise(_bodies(rows, wanted.withColumn("copied", F.coalesce("copied", F.lit(False))), kind), "segment-bodies")
     cold = bodies.where("NOT hot").drop("hot")
     found = _shards(cold, kind, search, max(1, -(-bodies.count() // SHARD_SEGMENTS)))
-    found = found.unionByName(_hot(bodies.where("hot"), kind, by_id))
-    found = segments.select("key", "seg", "n", "least").join(found, ["key", "seg"], "left")
-    found = found.where("n > 1 OR begin IS NOT NULL").select("key", "seg", F.col("n").alias("copies"), "least", "begin", "finish")
-    whole = F.struct((F.col("at") - F.col("left")).alias("a"), (F.col("at") + kind.gram + F.col("right")).alias("b"))
-    part = F.when(F.col("begin").isNotNull(), F.struct((F.col("at") + F.col("begin")).alias("a"), (F.col("at") + F.col("finish")).alias("b")))
-    first = F.col("id") == F.col("least") if by_id else F.col("copies") == 1
-    spans = shared.join(found, ["key", "seg"]).select("id", "row_key", F.when(first, part).otherwise(whole).alias("s"))
-    return spans.where("s IS NOT NULL").groupBy("id", "row_key").agg(F.collect_set("s").alias("spans"))
+    found = materialise(found.unionByName(_hot(bodies.where("hot"), kind, by_id)), "found")
+    # A segment's hash covers its gram, so it names the anchor too. Rows of a common segment are dealt to several tasks.
+    dealt, covers = spread(shared, found, segments.select("seg", "n"), "seg", "id")
+    role = (F.col("id") > F.col("least")) == F.col("later") if by_id else F.lit(True)
+    spans = dealt.join(covers, ["key", "seg", "salt"]).where(role).select(
+        "id", "row_key", F.struct((F.col("at") + F.col("begin")).alias("a"), (F.col("at") + F.col("finish")).alias("b")).alias("s")
+    )
+    return spans.groupBy("id", "row_key").agg(F.collect_set("s").alias("spans"))
 
 
 def removed(rows: DataFrame, kind: Spans, search: Search, by_id: bool) -> DataFrame:

@@ -4,7 +4,7 @@ Segments around equal anchors (see ``repeats``) meet in shards. A shard sorts th
 Burrows-Wheeler transform and derives common prefixes by increasing value: intervals of suffixes that share a prefix
 are extended backward by one symbol, breadth first. An interval's upper border that is met for the first time from prefixes of
 length l has a common prefix of l. The search stops at the minimum length; borders that no interval has reached by then
-join suffixes that share at least that much.
+join suffixes that share at least that much. A string occurs as often as the segments of its suffixes do, copies included.
 
 All occurrences are removed, also the first, and strings are judged on the input. Defined cases: a null text is an empty one;
 texts shorter than 400 bytes lose nothing; a string may repeat within its own text, overlapping itself; equal rows are
@@ -47,20 +47,24 @@ def long_prefix_borders(t: Transform, length: int) -> np.ndarray:
 
 
 def search(reach: int):
-    """Of each segment of a block, the first and last window that occur more than once."""
+    """Of each segment of a block, the first and last window that occur more than once.
 
-    def run(block: repeats.Block) -> tuple[np.ndarray, np.ndarray]:
+    The suffixes between two borders that are not joined share a window; it occurs as often as their segments together.
+    """
+
+    def run(block: repeats.Block) -> list[tuple[bool, np.ndarray, np.ndarray]]:
         window = reach + 1
         t = Transform(block.symbols, block.first, block.alphabet, window)
-        joined = np.flatnonzero(long_prefix_borders(t, window))
-        rows = np.concatenate((joined - 1, joined))
-        segment = t.segment[rows]
-        at = t.order[rows] - t.begin[segment]
+        interval = np.cumsum(~long_prefix_borders(t, window)) - 1
+        at = t.order - t.begin[t.segment]
+        full = np.diff(block.first)[t.segment] - at >= window
+        occurs = np.bincount(interval, np.where(full, block.count[t.segment], 0))
+        rows = np.flatnonzero(full & (occurs[interval] > 1))
         low = np.full(t.segments, np.iinfo(np.int64).max)
         high = np.full(t.segments, -1)
-        np.minimum.at(low, segment, at)
-        np.maximum.at(high, segment, at)
-        return np.where(block.asked, low, 1), np.where(block.asked, high, 0)
+        np.minimum.at(low, t.segment[rows], at[rows])
+        np.maximum.at(high, t.segment[rows], at[rows])
+        return [(False, low, high)]
 
     return run
 
