@@ -138,11 +138,11 @@ def lattice(chunks: list[bytes], voc: Vocabulary) -> Lattice:
     left = np.repeat(start + sizes, sizes + 1) - np.arange(len(raw))  # bytes up to the chunk's end
     head = (raw & 0xC0 != 0x80) & (left > 0)
     sums = tx.prefix_sums(raw.astype(np.uint64))
-    sources, targets, pieces, keys = [], [], [], []
+    lengths, sources, pieces = [], [], []
+    degree = np.zeros(len(raw), np.int32)
     single = np.zeros(len(raw), bool)
     width = np.where(raw < 0x80, 1, np.where(raw < 0xE0, 2, np.where(raw < 0xF0, 3, 4)))
     at = np.flatnonzero(head)
-    rank = left * len(raw) + np.arange(len(raw))  # nodes near their chunk's end first
     base, up, room = sums[at], tx.powers(len(raw))[at], left[at]
     for n in range(1, voc.longest + 1):
         i = voc.find(tx.mixed((sums[at + n] - base) * up + np.uint64(n)))
@@ -150,30 +150,39 @@ def lattice(chunks: list[bytes], voc: Vocabulary) -> Lattice:
         at, i = at[on], voc.piece_at[i[on]]
         hit = i >= 0
         s = at[hit]
-        sources.append(s.astype(np.int32))
-        targets.append((s + n).astype(np.int32))
+        lengths.append(n)
+        sources.append(s)
         pieces.append(i[hit])
-        keys.append(rank[s] * 64 + (63 - n))
-        single[s[width[s] == n]] = True
+        degree[s] += 1
+        if n <= 4:
+            single[s[width[s] == n]] = True
         base, up, room = base[on], up[on], room[on]
         longer = room > n
         at, base, up, room = at[longer], base[longer], up[longer], room[longer]
         if not len(at):
             break
     rest = np.flatnonzero(head & ~single)
-    sources.append(rest.astype(np.int32))
-    targets.append(np.minimum(rest + width[rest], rest + left[rest]).astype(np.int32))
-    pieces.append(np.full(len(rest), -1, np.int32))
-    keys.append(rank[rest] * 64 + 63)
-    order = np.argsort(np.concatenate(keys))
-    source, target = np.concatenate(sources)[order], np.concatenate(targets)[order]
-    piece = np.concatenate(pieces)[order]
+    degree[rest] += 1
+    # Nodes near their chunk's end first; each one's edges by falling length, then the bytes of a character that is no piece.
+    nodes = np.flatnonzero(head)
+    distance = left[nodes]
+    order = np.argsort(distance.astype(np.min_scalar_type(int(distance.max(initial=0)))), kind="stable")
+    nodes, distance = nodes[order], distance[order]
+    counts = degree[nodes].astype(np.int64)
+    bounds = np.concatenate(([0], np.cumsum(counts)))
+    starts = bounds[:-1]
+    source, target, piece = (np.empty(bounds[-1], np.int32) for _ in range(3))
+    slot = np.zeros(len(raw), np.int64)
+    slot[nodes] = starts
+    for n, s, i in zip(lengths[::-1], sources[::-1], pieces[::-1]):
+        to = slot[s]
+        slot[s] += 1
+        source[to], target[to], piece[to] = s, s + n, i
+    to = slot[rest]
+    source[to], target[to], piece[to] = rest, np.minimum(rest + width[rest], rest + left[rest]), -1
     weight = np.where(piece < 0, voc.byte_weight * (target - source), voc.weight[piece])
     # log of the summed weights from each node to its chunk's end
     beta = np.where(left == 0, 0.0, -np.inf)
-    starts = np.flatnonzero(np.concatenate(([True], source[1:] != source[:-1]))) if len(source) else np.zeros(0, np.int64)
-    nodes, bounds = source[starts], np.append(starts, len(source))
-    counts, distance = np.diff(bounds), left[nodes]
     levels = np.flatnonzero(np.concatenate(([True], distance[1:] != distance[:-1]))) if len(nodes) else nodes
     for a, b in zip(levels.tolist(), [*levels[1:].tolist(), len(starts)]):
         x, y = bounds[a], bounds[b]
