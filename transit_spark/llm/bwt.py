@@ -6,7 +6,10 @@ import numpy as np
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` symbols at least, by prefix doubling. Symbols are not negative."""
+    """Suffixes in the order of their first ``depth`` symbols at least, by prefix doubling. Symbols are not negative.
+
+    Each round sorts only the suffixes that equal another one so far, in the places that these have.
+    """
     n = len(symbols)
     rank = symbols.astype(np.int64) + 1
     bits = int(rank.max()).bit_length() if n else 1
@@ -16,17 +19,24 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         ahead[: n - step] = rank[step:]
         rank = (rank << (bits * step)) | ahead
         step *= 2
-    while True:
-        order = np.argsort(rank)
-        ordered = rank[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([1], 1 + np.cumsum(ordered[1:] != ordered[:-1]))) if n else new
-        if step >= depth or not n or new[order[-1]] == n:
-            return order
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - step] = new[step:]
-        rank = new * (n + 1) + ahead
+    order = np.argsort(rank)
+    place = np.arange(n)  # places in the order whose suffixes aren't told apart yet
+    ordered = rank[order]
+    rank = np.empty(n, np.int64)
+    while len(place):
+        # a suffix ranks with the first place of those that equal it so far; what lies beyond the end comes before all
+        fresh = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        rank[order[place]] = np.maximum.accumulate(np.where(fresh, place, 0))
+        if step >= depth:
+            break
+        place = place[~(fresh & np.append(fresh[1:], True))]
+        those = order[place]
+        ahead = those + step
+        key = rank[those] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        order[place], ordered = those[by], key[by]
         step *= 2
+    return order
 
 
 class WaveletMatrix:

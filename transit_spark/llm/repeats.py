@@ -166,7 +166,10 @@ def _codes(body: pa.Array, kind: Spans) -> tuple[np.ndarray, np.ndarray]:
 
 def _block(table: pa.Table, kind: Spans) -> Block:
     codes, offsets = _codes(table.column("body").combine_chunks(), kind)
-    _, dense = np.unique(codes, return_inverse=True)
+    if kind.bytewise:
+        dense = (np.cumsum(np.bincount(codes, minlength=256) > 0) - 1)[codes]
+    else:
+        _, dense = np.unique(codes, return_inverse=True)
     keys, group = np.unique(table.column("key").to_numpy(), return_inverse=True)
     size = int(dense.max()) + 1 if len(dense) else 0
     at = offsets[:-1] + table.column("left").to_numpy()
