@@ -143,3 +143,37 @@ def test_one_class_and_no_rows(spark, cases):
     for part in (frame.where("false"), frame.where("y = 1"), frame.withColumn("a", F.lit(None).cast("double"))):
         fitted = train(part, "y", {"m": Booster(("a",), GROWTHS[1])})["m"]
         assert fitted.start == 0.0 and fitted.margins(np.array([[1.0]])).shape == (1,)
+
+
+@pytest.mark.parametrize("most", [0, 32])
+def test_a_level_sums_one_child_of_two_and_few_tasks_are_not_shuffled(spark, cases, monkeypatch, most):
+    rows, labels = cases
+    frame = frame_of(spark, rows, labels)
+    booster = {"m": Booster(("a", "b", "c", "d"), GROWTHS[1])}
+    whole = train(frame, "y", booster)["m"]
+    asked, sum_of_level = [], boosting._Growing.split
+
+    def counted(growing, cells):
+        asked.append((len(growing.asked), len(growing.open), cells[1][2].sum() / len(growing.used)))
+        return sum_of_level(growing, cells)
+
+    monkeypatch.setattr(boosting, "ROWS_PER_TASK", 150)
+    monkeypatch.setattr(boosting, "LEAST_ROWS", 50)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(boosting, "TASKS_TO_DRIVER", most)
+    monkeypatch.setattr(boosting._Growing, "split", counted)
+    dealt = train(frame, "y", booster)["m"]
+    assert (dealt.margins(np.array(rows)) == whole.margins(np.array(rows))).all()
+    for nodes, open_, summed in asked:
+        assert nodes == max(1, open_ // 2) and (open_ == 1 or summed <= len(rows) / 2)
+
+
+def test_a_block_is_many_batches(spark, cases):
+    rows, labels = cases
+    frame = frame_of(spark, rows, labels, 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        blocks = boosting.code_blocks(frame, "y", ["a", "b"], boosting.bin_edges(frame, ["a", "b"])).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [len(b["labels"]) for b in blocks] == [len(rows)] and len(blocks[0]["codes"]) == 2 * len(rows)

@@ -2,8 +2,9 @@
 
 Feature values are replaced once by the number of the quantile bin they lie in and stored as blocks of bytes. A tree level is
 one Spark job: each task sums gradients, curvatures and rows of its blocks per open node, feature and bin, the sums of equal
-cells are added in a shuffle, and the driver picks the splits from them. What reaches the driver is bounded by nodes, features and
-bins, never by rows. All models of a call take part in the same jobs, each with its own columns, rows, weights and growth,
+cells are added, and the driver picks the splits from them. Up to ``TASKS_TO_DRIVER`` tasks send it their sums as they are, more
+add them in a shuffle first, so what reaches the driver is bounded by nodes, features and bins, never by rows. Of two children
+only the one of fewer rows is summed; the other has what is left of its parent. All models of a call take part in the same jobs, each with its own columns, rows, weights and growth,
 so nested models cost one another no jobs. Rows that are one task's are not worth a job per level; see :func:`train`.
 
 Trees grow best first up to a number of leaves. As a node's sums don't depend on the order of splitting, all nodes of a level are
@@ -19,6 +20,7 @@ A row takes part in a model if none of the model's features is null or NaN there
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import pickle
 import uuid
@@ -38,6 +40,8 @@ from transit_spark.session import materialise
 
 BINS, MISSING = 255, 255
 ROWS_PER_TASK, BLOCK_ROWS = 1 << 18, 1 << 16
+LEAST_ROWS = 1 << 15  # rows for which a task of its own is worth it
+TASKS_TO_DRIVER = 32
 UNIT = float(1 << 24)
 TREES_IN_CLOSURE = 20
 LEAST_GAIN = 1e-12
@@ -174,18 +178,23 @@ def _coded(edges: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        for number, batch in enumerate(batches):
-            label = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int8)
-            codes = np.empty((len(edges), len(label)), np.uint8)
-            for i, e in enumerate(edges):
-                values = batch.column(i + 1).to_numpy(zero_copy_only=False).astype(np.float64)
-                codes[i] = np.where(np.isnan(values), MISSING, np.searchsorted(e, values, side="left"))
-            for at in range(0, len(label), BLOCK_ROWS):
-                part = slice(at, at + BLOCK_ROWS)
+        labels, parts, size, number = [], [], 0, 0
+        for batch in itertools.chain(batches, (None,)):
+            if batch is not None:
+                label = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int8)
+                codes = np.empty((len(edges), len(label)), np.uint8)
+                for i, e in enumerate(edges):
+                    values = batch.column(i + 1).to_numpy(zero_copy_only=False).astype(np.float64)
+                    codes[i] = np.where(np.isnan(values), MISSING, np.searchsorted(e, values, side="left"))
+                labels, parts, size = [*labels, label], [*parts, codes], size + len(label)
+            # Batches are small; a block is as many of them as fit, so that its sums are added once.
+            while size >= BLOCK_ROWS or (batch is None and size):
+                label, codes = np.concatenate(labels), np.concatenate(parts, axis=1)
                 yield pa.RecordBatch.from_pydict({
-                    "block": [f"{TaskContext.get().partitionId()}-{number}-{at}"],
-                    "labels": [label[part].tobytes()], "codes": [codes[:, part].tobytes()],
+                    "block": [f"{TaskContext.get().partitionId()}-{number}"],
+                    "labels": [label[:BLOCK_ROWS].tobytes()], "codes": [codes[:, :BLOCK_ROWS].tobytes()],
                 })
+                labels, parts, size, number = [label[BLOCK_ROWS:]], [codes[:, BLOCK_ROWS:]], max(0, size - BLOCK_ROWS), number + 1
 
     return run
 
@@ -193,7 +202,10 @@ def _coded(edges: list[np.ndarray]):
 def code_blocks(frame: DataFrame, label: str, names: Sequence[str], edges: dict[str, np.ndarray]) -> DataFrame:
     """The frame as stored blocks (block, labels, codes); codes are bytes, feature after feature."""
     rows = frame.where(F.col(label).isNotNull()).select(F.col(label).cast("int"), *[F.col(n).cast("double").alias(f"x_{n}") for n in names])
-    tasks = max(1, math.ceil(rows.count() / ROWS_PER_TASK))
+    count = rows.count()
+    tasks = max(1, math.ceil(count / ROWS_PER_TASK))
+    if tasks > 1:  # as many as work at once, as a level is waited for by the driver
+        tasks = max(tasks, min(frame.sparkSession.sparkContext.defaultParallelism, math.ceil(count / LEAST_ROWS)))
     blocks = rows.repartition(tasks).mapInArrow(_coded([edges[n] for n in names]), "block string, labels binary, codes binary")
     return materialise(blocks, "code-blocks")
 
@@ -231,23 +243,22 @@ class _Plan:
 
 
 def _gradients(plan: _Plan, name: str, block: str, label: np.ndarray, codes: np.ndarray):
-    """Rows that take part and their gradients and curvatures, in units, at the state of all finished trees."""
+    """The model's codes, which rows take part, and gradients and curvatures, in units, at the state of all finished trees."""
     features, weights, start, *_ = plan.models[name]
     state = _state(plan.run, block, len(label))
     kept = state.get(name)
     rounds = len(plan.stored) * TREES_IN_CLOSURE + len(plan.recent)
+    own = codes[features]
     if kept is None:
-        rows = np.flatnonzero((codes[features] != MISSING).all(axis=0))
-        kept = state[name] = {"rows": rows, "done": 0, "score": np.full(len(rows), start), "round": -1}
-    own = codes[features][:, kept["rows"]]
+        kept = state[name] = {"known": (own != MISSING).all(axis=0), "done": 0, "score": np.full(len(label), start), "round": -1}
     if kept["round"] != rounds:
         for tree in plan.trees_from(name, kept["done"]):
             kept["score"] += tree.value[tree.leaves_of(own)]
-        y = label[kept["rows"]].astype(np.float64)
+        y = label.astype(np.float64)
         weight = np.where(y == 1, weights[1], weights[0])
         p = 1 / (1 + np.exp(-kept["score"]))
         kept.update(done=rounds, round=rounds, g=np.rint(weight * (p - y) * UNIT), h=np.rint(weight * p * (1 - p) * UNIT))
-    return own, kept["g"], kept["h"]
+    return own, kept["known"], kept["g"], kept["h"]
 
 
 #: Cells (node, feature, bin) that hold rows, in order, and their gradients, curvatures and rows.
@@ -263,20 +274,23 @@ def _cells_of(plan: _Plan, blocks: Iterable[_Block]) -> dict[str, _Cells]:
         label = np.frombuffer(labels, np.int8)
         codes = np.frombuffer(codes, np.uint8).reshape(plan.width, len(label))
         for name, (_, _, _, tree, open_, used) in plan.models.items():
-            own, g, h = _gradients(plan, name, block, label, codes)
+            own, known, g, h = _gradients(plan, name, block, label, codes)
             slot = np.full(len(tree.feature), -1)
             slot[open_] = np.arange(len(open_))
             at = slot[tree.leaves_of(own)]
-            inside = np.flatnonzero(at >= 0)
-            size = len(open_) * len(used) * (BINS + 1)
-            first = (at[inside] * len(used) + np.arange(len(used))[:, None]) * (BINS + 1)
-            cell = (first + own[used][:, inside]).reshape(-1)
-            sums = total.setdefault(name, np.zeros((3, size)))
-            sums[0] += np.bincount(cell, np.tile(g[inside], len(used)), size)
-            sums[1] += np.bincount(cell, np.tile(h[inside], len(used)), size)
-            sums[2] += np.bincount(cell, minlength=size)
-    cells = {name: np.flatnonzero(sums[2]) for name, sums in total.items()}
-    return {name: (at, total[name][:, at]) for name, at in cells.items()}
+            inside = np.flatnonzero((at >= 0) & known)
+            first, g, h = at[inside] * (BINS + 1), g[inside], h[inside]
+            sums = total.setdefault(name, np.zeros((3, len(open_), len(used), BINS + 1)))
+            for i, feature in enumerate(used):
+                cell = first + own[feature, inside]
+                for k, weight in enumerate((g, h, None)):
+                    sums[k, :, i] += np.bincount(cell, weight, len(open_) * (BINS + 1)).reshape(len(open_), -1)
+    return {name: _filled(sums.reshape(3, -1)) for name, sums in total.items()}
+
+
+def _filled(sums: np.ndarray) -> _Cells:
+    at = np.flatnonzero(sums[2])
+    return at, sums[:, at]
 
 
 def _blocks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[_Block]:
@@ -298,6 +312,19 @@ def _level_cells(plan: _Plan):
     return run
 
 
+def _level_arrays(plan: _Plan):
+    """The same, a row per model."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _cells_of(plan, _blocks_of(batches))
+        rows = [(number, *found[name]) for number, name in enumerate(plan.models) if name in found]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([number for number, *_ in rows], pa.int32()), pa.array([at.astype(np.int64).tobytes() for _, at, _ in rows], pa.binary()),
+            pa.array([sums.tobytes() for *_, sums in rows], pa.binary()),
+        ], names=["model", "cells", "sums"])
+
+    return run
+
+
 # Driver: splits of a level, and the tree they make.
 
 
@@ -310,15 +337,32 @@ class _Growing:
         self.growth, self.used = growth, np.sort(rng.choice(n_features, count, replace=False))
         self.feature, self.cut, self.child, self.gain = [-1], [0], [0], [0.0]
         self.sums = [None]
-        self.open = [0]
+        self.open, self.asked = [0], np.zeros(1, np.int64)
+        self.parents, self.level = [], None  # of pairs of open nodes, their parents' places in the level before; its sums
 
     def partial(self) -> Tree:
         none = np.zeros(len(self.feature))
         return Tree(*(np.array(x, np.int16) for x in (self.feature, self.cut, self.child)), none, none)
 
+    def nodes_asked(self) -> np.ndarray:
+        """The open nodes whose sums are asked for."""
+        return np.array(self.open)[self.asked]
+
+    def _whole_level(self, cells: _Cells) -> _Cells:
+        """Sums of all open nodes. They are whole numbers, so what is left of a parent is exact."""
+        own = np.zeros((3, len(self.asked) * len(self.used) * (BINS + 1)))
+        own[:, cells[0]] = cells[1]
+        own = level = own.reshape(3, len(self.asked), -1)
+        if self.level is not None:
+            level = np.empty((3, len(self.open), own.shape[2]))
+            level[:, self.asked] = own
+            level[:, self.asked ^ 1] = self.level[:, self.parents] - own
+        self.level = level
+        return _filled(level.reshape(3, -1))
+
     def split(self, cells: _Cells) -> None:
         """Splits the open nodes where that gains. Of equal gains, the first feature's lowest cut is taken."""
-        q, (at, sums) = self.growth, cells
+        q, (at, sums) = self.growth, self._whole_level(cells)
         group, cut = at // (BINS + 1), at % (BINS + 1)
         begins = np.flatnonzero(np.diff(group, prepend=-1))
         owner = np.repeat(np.arange(len(begins)), np.diff(begins, append=len(at)))
@@ -334,8 +378,8 @@ class _Growing:
         allowed = (np.minimum(left[2], right[2]) >= max(q.least_rows, 1)) & (np.minimum(left[1], right[1]) / UNIT >= q.least_curvature)
         gain = np.where(allowed, score(left) + score(right) - score(whole), 0.0)
         bounds = np.searchsorted(group, np.arange(len(self.open) + 1) * len(self.used))
-        made = []
-        for node, i, j in zip(self.open, bounds, bounds[1:]):
+        made, self.parents = [], []
+        for place, (node, i, j) in enumerate(zip(self.open, bounds, bounds[1:])):
             if i == j:
                 continue
             best = i + int(np.argmax(gain[i:j]))
@@ -344,6 +388,7 @@ class _Growing:
                 continue
             self.feature[node], self.cut[node], self.gain[node] = int(self.used[group[best] % len(self.used)]), int(cut[best]), float(gain[best])
             self.child[node] = len(self.feature)
+            self.parents.append(place)
             for part in (left, right):
                 made.append(len(self.feature))
                 self.feature.append(-1)
@@ -352,6 +397,8 @@ class _Growing:
                 self.gain.append(0.0)
                 self.sums.append(part[:, best])
         self.open = made
+        rows = np.array([self.sums[node][2] for node in made]).reshape(-1, 2)
+        self.asked = 2 * np.arange(len(rows)) + (rows[:, 1] < rows[:, 0])
 
     def finished(self) -> Tree:
         """The tree of the best splits, taken one at a time up to the number of leaves."""
@@ -405,7 +452,7 @@ def _grown(boosters: dict[str, Booster], width: int, places: dict[str, np.ndarra
             open_ = {n: g for n, g in growing.items() if g.open and level < g.growth.depth}
             if not open_:
                 break
-            models = {n: (places[n], boosters[n].weights, start[n], g.partial(), np.array(g.open), g.used) for n, g in open_.items()}
+            models = {n: (places[n], boosters[n].weights, start[n], g.partial(), g.nodes_asked(), g.used) for n, g in open_.items()}
             sums = level_sums(_Plan(run, width, models, chunks, recent))
             for n, g in open_.items():
                 g.split(sums[n])
@@ -426,7 +473,7 @@ def _grown_by_tasks(stored: DataFrame, boosters: dict[str, Booster], width: int,
     """A job per level of all models: tasks sum over their blocks, and the sums of a cell are added on the way to the driver."""
     context = stored.sparkSession.sparkContext
     blocks = stored.persist(StorageLevel.MEMORY_AND_DISK)
-    chunks = []
+    few, chunks = blocks.count() <= TASKS_TO_DRIVER, []  # a block is of one task
 
     def put_away(trees: list):
         chunks.append(context.broadcast(trees))
@@ -437,6 +484,13 @@ def _grown_by_tasks(stored: DataFrame, boosters: dict[str, Booster], width: int,
         both = np.array(list(found.values()), np.int64)
         yield pa.RecordBatch.from_pydict({"model": np.arange(len(found), dtype=np.int32), "negatives": both[:, 0], "positives": both[:, 1]})
 
+    def few_sums(plan: _Plan) -> dict[str, _Cells]:
+        sums = {n: np.zeros((3, len(open_) * len(used) * (BINS + 1))) for n, (*_, open_, used) in plan.models.items()}
+        names = list(plan.models)
+        for row in blocks.mapInArrow(_level_arrays(plan), "model int, cells binary, sums binary").toArrow().to_pylist():
+            sums[names[row["model"]]][:, np.frombuffer(row["cells"], np.int64)] += np.frombuffer(row["sums"]).reshape(3, -1)
+        return {name: _filled(s) for name, s in sums.items()}
+
     def level_sums(plan: _Plan) -> dict[str, _Cells]:
         cells = blocks.mapInArrow(_level_cells(plan), CELLS).groupBy("model", "cell").agg(*[F.sum(c).alias(c) for c in "ghn"])
         table = cells.toArrow()
@@ -452,7 +506,7 @@ def _grown_by_tasks(stored: DataFrame, boosters: dict[str, Booster], width: int,
     try:
         counts = blocks.mapInArrow(class_rows, "model int, negatives long, positives long").groupBy("model").agg(F.sum("negatives"), F.sum("positives"))
         rows = {list(places)[r[0]]: np.array(r[1:]) for r in counts.collect()}
-        return _grown(boosters, width, places, rows, level_sums, put_away)
+        return _grown(boosters, width, places, rows, few_sums if few else level_sums, put_away)
     finally:
         blocks.unpersist()
         for chunk in chunks:
