@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from transit_spark.operators import realtime as R
@@ -104,6 +105,14 @@ def test_undefined_correlation_is_missing(spark):
     assert {r["correlation"] for r in reports.correlations(metrics, ["a", "b"]).collect()} == {None}
 
 
+def test_a_constant_metric_has_no_correlation(spark):
+    rows = [("r", 0.5, 1.0, 2.0), ("r", 0.5, 2.0, None), ("r", 0.5, 4.0, 3.0), ("r", 0.5, None, 9.0), ("s", 1.0, 1.0, 4.0), ("s", 2.0, 2.0, 1.0)]
+    metrics = spark.createDataFrame(rows, "route_id string, a double, b double, c double")
+    got = {(r["route_id"], r["metric_1"], r["metric_2"]): r["correlation"] for r in reports.correlations(metrics, ["a", "b", "c"]).collect()}
+    assert got["r", "a", "a"] is None and got["r", "a", "b"] is None and got["r", "c", "a"] is None
+    assert got["r", "b", "c"] == pytest.approx(1) and got["r", "b", "b"] == pytest.approx(1) and got["s", "a", "c"] == pytest.approx(-1)
+
+
 def test_hours_keep_the_stored_clock(spark):
     zone = spark.conf.get("spark.sql.session.timeZone")
     try:

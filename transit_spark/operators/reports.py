@@ -114,10 +114,16 @@ def hourly_metrics(headways: DataFrame, drift: DataFrame, pairs: DataFrame, by:
 HOURLY = ("hw_mean_dev", "hw_std", "drift_mean", "bunching_rate")
 
 
+def _correlation(a: str, b: str) -> Column:
+    """Pearson correlation, NULL where a column is constant (``F.corr`` divides by zero there, an error in ANSI mode)."""
+    own = F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a))) * F.stddev_pop(F.when(F.col(a).isNotNull(), F.col(b)))
+    return F.try_divide(F.covar_pop(a, b), own)
+
+
 def correlations(metrics: DataFrame, columns: Sequence[str] = HOURLY, by: Sequence[str] = ROUTE) -> DataFrame:
     """Pearson correlation of every pair of columns in long form; undefined ones are NULL."""
     pairs = [(a, b) for a in columns for b in columns]
-    wide = metrics.groupBy(*by).agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
+    wide = metrics.groupBy(*by).agg(*[_correlation(a, b).alias(f"{a}__{b}") for a, b in pairs])
     cells = F.array(*[
         F.struct(F.lit(a).alias("metric_1"), F.lit(b).alias("metric_2"), F.col(f"{a}__{b}").alias("correlation"))
         for a, b in pairs
