@@ -437,3 +437,51 @@ def test_a_batch_is_compared_with_its_own_hours(spark, folder):
     some = collect.comparable(collect._stored(spark, store, "vehicle_positions"), [(dt.date(2025, 1, 1), 5), (None, None)])
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert some.count() == 1 and len(some.inputFiles()) >= 1 and "snapshot_hour" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+
+
+def test_encoded_messages_are_those_of_the_message_class():
+    import pyarrow as pa
+
+    from transit_spark.plans.bridge import encoded_messages
+    from transit_spark.sources import decode
+
+    update = {"trip": {"trip_id": "t", "route_id": "é" * 90, "direction_id": 0}, "stop_time_update": [
+        {"stop_sequence": 300, "stop_id": "", "arrival": {"delay": -20}, "departure": {"delay": None}},
+        {"stop_sequence": None, "stop_id": None, "arrival": None, "departure": {"delay": 0}},
+    ]}
+    vehicle = {"trip": None, "vehicle": {"id": "", "label": "x"}, "position": {"latitude": 37.5, "longitude": -122.5, "bearing": 0.0, "speed": None},
+               "current_stop_sequence": 0, "current_status": 2}
+    feeds = [
+        {"header": {"timestamp": 1704067200}, "entity": [{"id": "a", "trip_update": update, "vehicle": None}, {"id": "b", "trip_update": None, "vehicle": vehicle}]},
+        {"header": {"timestamp": 1}, "entity": []}, None, {"header": {"timestamp": 2}, "entity": [{"id": "c", "trip_update": {"trip": None, "stop_time_update": []}, "vehicle": vehicle}]},
+    ]
+    kind = pa.struct([("header", pa.struct([("timestamp", pa.int64())])), ("entity", pa.list_(decode._ENTITY))])
+
+    def put(target, values):
+        for name, value in values.items():
+            if isinstance(value, dict):
+                getattr(target, name).SetInParent()
+                put(getattr(target, name), value)
+            elif isinstance(value, list):
+                for item in value:
+                    put(getattr(target, name).add(), item)
+            elif value is not None:
+                setattr(target, name, value)
+        return target
+
+    wanted = [None if f is None else put(decode.feed_message_class()(), f).SerializeToString() for f in feeds]
+    assert encoded_messages("FeedMessage", pa.array(feeds, kind)) == wanted
+    assert encoded_messages("FeedMessage", pa.array(feeds, kind).slice(1, 3)) == wanted[1:]
+    stamps, entities, errors = decode._decode([*wanted, b"\xff\xff"])
+    assert stamps.to_pylist() == [1704067200, 1, None, 2, None] and entities[1].as_py() == [] and not entities[2].is_valid
+    assert entities[0].as_py()[0]["trip_update"]["stop_time_update"][1] == {"stop_sequence": 0, "stop_id": "", "arrival": None, "departure": {"delay": 0}}
+    assert entities[3].as_py()[0]["trip_update"]["stop_time_update"] == [] and [e.is_valid for e in errors] == [False, False, True, False, True]
+
+
+def test_source_rows_are_dealt_by_their_number_without_a_sort(spark, monkeypatch):
+    from transit_spark.plans import bridge
+
+    monkeypatch.setattr(bridge, "ROWS_A_PART", 100)
+    rows = bridge.dealt(spark.range(2000))
+    assert rows.rdd.getNumPartitions() == 20 and sorted(r["id"] for r in rows.collect()) == list(range(2000))
+    assert "RoundRobin" not in rows._jdf.queryExecution().executedPlan().toString()
