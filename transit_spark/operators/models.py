@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Model
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +27,7 @@ from transit_spark.operators.features import (
     scaling_table,
     with_split,
 )
+from transit_spark.operators.forest import Bagged, Forest, train_forest
 from transit_spark.params import TemporalSplit
 from transit_spark.session import ensure_checkpoint_dir, materialise
 
@@ -46,7 +47,7 @@ def boosted_trees(rounds: int = 300, depth: int = 6, rate: float = 0.05, columns
 class EarlyWarning:
     """A fitted classifier with its threshold, and the scaling it was fitted with where it needs one."""
 
-    model: Model | Ensemble
+    model: Model | Ensemble | Bagged
     names: tuple[str, ...]
     scaling: dict[str, tuple[float, float]]
     tau: float = 0.5
@@ -57,6 +58,11 @@ class EarlyWarning:
         if isinstance(self.model, Ensemble):
             out = frame.select(*kept, F.col(LABEL).alias("label"), self.model.probability().alias("score"))
             out = out.withColumn("voted", C.alert(F.col("score"), 0.5))
+        elif isinstance(self.model, Bagged):
+            inputs = frame.select(*kept, F.col(LABEL).alias("label"), *[F.col(n).alias(f"x_{n}") for n in self.names])
+            out = self.model.scored(inputs, [f"x_{n}" for n in self.names]).select(*kept, "label", "score")
+            # A tie is no alert, as in Spark ML.
+            out = out.withColumn("voted", F.when(F.col("score") > 0.5, 1).otherwise(0))
         else:
             out = self.model.transform(_vectors(frame, self.names, self.scaling, kept))
             probability = vector_to_array("probability")[1]
@@ -85,7 +91,7 @@ def fit(train_rows: DataFrame, names: Sequence[str], classifiers: dict[str, obje
         balanced: Sequence[str] = ()) -> dict[str, EarlyWarning] | None:
     """Fits classifiers to the same rows; None if these hold one class only.
 
-    Boosted trees are grown together. For the others, two numbers per feature come to the driver for scaling.
+    Boosted trees are grown together, forests each by itself. For the others, two numbers per feature come to the driver for scaling.
     """
     ensure_checkpoint_dir(train_rows.sparkSession)
     counts = class_balance(train_rows).first()
@@ -94,7 +100,9 @@ def fit(train_rows: DataFrame, names: Sequence[str], classifiers: dict[str, obje
     weights = {name: class_weights(counts["negatives"], counts["positives"], name in balanced) for name in classifiers}
     grown = {n: Booster(tuple(names), g, weights[n]) for n, g in classifiers.items() if isinstance(g, Growth)}
     fitted = {n: EarlyWarning(m, tuple(names), {}) for n, m in train(train_rows, LABEL, grown).items()} if grown else {}
-    others = {n: c for n, c in classifiers.items() if n not in grown}
+    fitted |= {n: EarlyWarning(train_forest(train_rows, LABEL, names, c, weights[n]), tuple(names), {})
+               for n, c in classifiers.items() if isinstance(c, Forest)}
+    others = {n: c for n, c in classifiers.items() if n not in fitted}
     if others:
         scaling = {r["feature"]: (r["mean"], r["std"]) for r in scaling_table(train_rows, names).collect()}
         vectors = materialise(_vectors(train_rows, names, scaling, []), "vectors")
@@ -161,6 +169,8 @@ def importances(spark: SparkSession, fitted: EarlyWarning) -> DataFrame:
     splits = [None] * len(fitted.names)
     if isinstance(model, Ensemble):
         weights, splits = model.gain_shares(), model.split_counts().tolist()
+    elif isinstance(model, Bagged):
+        weights = model.gain_shares()
     else:
         weights = (model.coefficients if hasattr(model, "coefficients") else model.featureImportances).toArray()
     rows = [(n, float(w), s) for n, w, s in zip(fitted.names, weights, splits, strict=True)]
@@ -193,7 +203,7 @@ def candidate_models(train_rows: int, scale: float = 1.0, forest_depth: int = 30
 
     Boosted trees of three kinds: up to depth 4; up to depth 6 with penalised leaves and all splits of a level; and best first
     up to 31 leaves. The logistic penalty is the usual C = 1 expressed for an averaged loss. The forest's trees are as
-    deep as Spark ML allows.
+    deep as Spark ML allows, of nodes down to one row.
     """
     def rounds(n: int) -> int:
         return max(1, round(n * scale))
@@ -202,8 +212,7 @@ def candidate_models(train_rows: int, scale: float = 1.0, forest_depth: int = 30
         "logistic_l2": LogisticRegression(labelCol=LABEL, weightCol="weight", maxIter=rounds(500),
                                           regParam=1.0 / max(train_rows, 1), standardization=False),
         "boosted_depth_4": boosted_trees(rounds(100), 4, 0.1, 1.0),
-        "random_forest": RandomForestClassifier(labelCol=LABEL, weightCol="weight", numTrees=rounds(100),
-                                                maxDepth=forest_depth, seed=42),
+        "random_forest": Forest(rounds(100), forest_depth),
         "boosted_depth_6": boosted_trees(rounds(200), 6, 0.1, 1.0, leaves=0, least_rows=1, ridge=1.0),
         "boosted_leaf_wise": boosted_trees(rounds(200), 6, 0.1, 1.0),
     }
