@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transit_spark.operators.realtime import final_drift, hour_start
+from transit_spark.session import materialise
 
 ROUTE = ("route_id",)
 
@@ -56,13 +57,15 @@ def drift_profile(drift: DataFrame, by: Sequence[str] = ROUTE) -> DataFrame:
 def bunching_heatmap(pairs: DataFrame, by: Sequence[str] = ROUTE) -> DataFrame:
     """Bunching events per hour of day and stop number; combinations without events are zero.
 
-    The grid is spanned from the hours and stop numbers seen, at most 24 times the stops.
+    The grid is spanned from the hours and stop numbers seen, at most 24 times the stops. The counts are stored: the grid
+    and whatever looks for its stop numbers read them again, which would otherwise find all pairs anew each time.
     """
     cells = (
         pairs.where("is_bunching")
         .groupBy(*by, F.hour("snapshot_ts").alias("hour"), F.col("stop_sequence_1").alias("stop_sequence"))
         .agg(F.count("*").alias("events"))
     )
+    cells = materialise(cells, "heatmap-cells")
     grid = (
         cells.groupBy(*by)
         .agg(F.collect_set("hour").alias("hours"), F.collect_set("stop_sequence").alias("stops"))
