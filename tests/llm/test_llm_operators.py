@@ -555,6 +555,44 @@ def test_searches_of_a_block_match_brute_force(seed):
     assert got(*others) == spans(copied, lambda s, where: True)
 
 
+@pytest.mark.parametrize("narrow", [0, 3, 64])
+def test_borders_match_brute_force_and_narrow_intervals_need_no_wavelet_matrix(monkeypatch, narrow):
+    from transit_spark.llm.bwt import Transform, WaveletMatrix
+
+    rng = np.random.default_rng(narrow)
+    segments = [rng.integers(0, 3, size) for size in rng.integers(1, 30, 60)]
+    segments += segments[:20]
+    t = Transform(np.concatenate(segments), np.cumsum([0, *map(len, segments)]), 3, 9)
+    tails = [t.joined[i : i + 9].tolist() for i in t.order]
+    want = [False] + [a == b and len(a) == 9 for a, b in zip(tails, tails[1:])]
+    monkeypatch.setattr(suffix_dedup, "NARROW", narrow)
+    widths, distinct = [], WaveletMatrix.distinct
+
+    def seen(self, low, high):
+        widths.extend((high - low).tolist())
+        return distinct(self, low, high)
+
+    monkeypatch.setattr(WaveletMatrix, "distinct", seen)
+    assert suffix_dedup.long_prefix_borders(t, 9).tolist() == want and any(want)
+    assert len(widths) > 0 and min(widths) > narrow
+
+
+@pytest.mark.parametrize("size", [1, 5, 1000, 1 << 21])  # three ranks of the last don't fit in 63 bits
+def test_suffixes_are_ordered_by_their_first_symbols(size):
+    from transit_spark.llm.bwt import suffix_order
+
+    symbols = np.random.default_rng(size).integers(0, 1 << 20, size) >> 14
+    symbols[size // 2 :] = symbols[: size - size // 2]
+    order = suffix_order(symbols, 12)
+    assert np.array_equal(np.sort(order), np.arange(size))
+    padded = np.concatenate((symbols, np.full(12, -1)))
+    undecided = np.arange(size - 1)
+    for k in range(12):
+        a, b = padded[np.minimum(order[undecided] + k, size)], padded[np.minimum(order[undecided + 1] + k, size)]
+        assert (a <= b).all()
+        undecided = undecided[a == b]
+
+
 def test_cleaned_documents_keep_their_columns(docs, empty, texts):
     got = suffix_dedup.cleaned(docs)
     assert got.columns == docs.columns and got.dtypes == docs.dtypes
