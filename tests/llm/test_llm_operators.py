@@ -466,6 +466,17 @@ def test_pieces_decode_as_the_library_does():
             assert sp.decode(list(ids)) == voc.decode(np.array(ids)).decode() == text
 
 
+def test_branches_of_all_texts_are_drawn_together(monkeypatch):
+    voc = pieces.vocabulary(PIECES)
+    texts, seeds = [prose(i, 6) for i in range(12)], list(range(1, 13))
+    alone = [drawn(voc, [t], [s], 3) for t, s in zip(texts, seeds)]
+    streams, uniform = [], pieces.uniform
+    monkeypatch.setattr(pieces, "uniform", lambda seed, place, stream: (streams.append(stream), uniform(seed, place, stream))[1])
+    samples, _ = drawn(voc, texts, seeds, 3)
+    assert [[ids for ids, _, _ in found] for found in samples] == [[ids for ids, _, _ in found] for (found,), _ in alone]
+    assert sorted(s for s in streams if s >= 1000) == [1000, 1001, 1003, 1004]  # not once more for each text
+
+
 # 8 and 10 repeated passages
 
 

@@ -39,6 +39,7 @@ SEED = 42
 RUN_BYTES = 3 << 17
 SPACE = "▁"
 SLOT_BITS = 20
+WIDTHS = np.repeat([1, 2, 3, 4], [0x80, 0x60, 0x10, 0x10])  # bytes of a character, by its first one
 
 
 class Vocabulary:
@@ -141,7 +142,7 @@ def lattice(chunks: list[bytes], voc: Vocabulary) -> Lattice:
     lengths, sources, pieces = [], [], []
     degree = np.zeros(len(raw), np.int32)
     single = np.zeros(len(raw), bool)
-    width = np.where(raw < 0x80, 1, np.where(raw < 0xE0, 2, np.where(raw < 0xF0, 3, 4)))
+    width = WIDTHS[raw]
     at = np.flatnonzero(head)
     base, up, room = sums[at], tx.powers(len(raw))[at], left[at]
     for n in range(1, voc.longest + 1):
@@ -180,7 +181,8 @@ def lattice(chunks: list[bytes], voc: Vocabulary) -> Lattice:
         source[to], target[to], piece[to] = s, s + n, i
     to = slot[rest]
     source[to], target[to], piece[to] = rest, np.minimum(rest + width[rest], rest + left[rest]), -1
-    weight = np.where(piece < 0, voc.byte_weight * (target - source), voc.weight[piece])
+    weight = voc.weight[piece]
+    weight[to] = voc.byte_weight * (target[to] - source[to])
     # log of the summed weights from each node to its chunk's end
     beta = np.where(left == 0, 0.0, -np.inf)
     levels = np.flatnonzero(np.concatenate(([True], distance[1:] != distance[:-1]))) if len(nodes) else nodes
@@ -304,22 +306,24 @@ def samples_of(lat: Lattice, chunk: np.ndarray, first: np.ndarray, seeds: np.nda
                 threshold[d] = max(agenda[d])[0]
             break
         begin_node = np.zeros(n, np.int64)
+        taken_up = []
         for d in on:
             agenda[d].sort(reverse=True)
-            top, source, step, taken = agenda[d].pop(0)
+            taken_up.append(agenda[d].pop(0))
+        steps = np.array([step for _, _, step, _ in taken_up], np.int64)
+        drawn, others = (uniform(seeds[on], steps, stream + 3 * r).tolist() if on else [] for stream in (1000, 1001))
+        for d, (top, source, step, taken), u, v in zip(on, taken_up, drawn, others):
             parent = paths[d][source]
             node_ = int(lat.source[parent.edges[step]])
             options = [e for e in range(int(lat.first[node_]), int(lat.last[node_])) if e not in taken]
             phi = float(lat.log_p[parent.edges[:step]].sum())
             p = np.exp(lat.log_p[options])
-            u = uniform(seeds[d : d + 1], np.array([step]), 1000 + 3 * r)
-            pick = options[min(int(np.searchsorted(np.cumsum(p), float(u[0]) * p.sum())), len(options) - 1)]
+            pick = options[min(int(np.searchsorted(np.cumsum(p), u * p.sum())), len(options) - 1)]
             left = [e for e in options if e != pick]
             if left:
                 mass = float(np.exp(lat.log_p[left]).sum())
-                v = uniform(seeds[d : d + 1], np.array([step]), 1001 + 3 * r)
                 if mass > 0:
-                    agenda[d].append((float(truncated(phi + np.log(mass), top, v[0])), source, step, (*taken, pick)))
+                    agenda[d].append((float(truncated(phi + np.log(mass), top, v)), source, step, (*taken, pick)))
             value[d] = top
             inside = int(parent.occurrence[step])
             prefix[d] = (np.append(parent.edges[:step], pick), parent.occurrence[: step + 1], phi + float(lat.log_p[pick]))
