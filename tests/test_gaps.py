@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from transit_spark.functions import columns as C
 from transit_spark.operators import monthly
 from transit_spark.operators.gaps import observations_base, stop_gaps
 from transit_spark.operators.transitions import passage_gaps, post_filter_stats, transitions
@@ -199,3 +200,26 @@ def test_hot_group_is_reduced_before_the_shuffle(spark):
     for first in (True, False):
         got = passage_gaps(rows, None, ("vehicle_id", "id"), reduce_first=first)
         assert [r["gap_seconds"] for r in got.collect()] == [300]
+
+
+def test_clocks_of_transitions_are_compiled_to_machine_code(spark, capsys):
+    """The JVM leaves methods of over 8,000 bytes to its interpreter."""
+    texts = ["22:10:05", None, "22:10", " 2:10:05", "-1:10:05", "22.0:1e1:7.7", "2147483648:0:0", "12\x7f:00:01", "xx:10:05", "", "26:00:00.5"]
+    rows = spark.createDataFrame([(t, texts[-i]) for i, t in enumerate(texts)], "a string, b string")
+    clocks = C.with_clock_seconds(rows.withColumns({"x": F.col("a"), "y": F.col("b")}), "x", "y")
+    assert clocks.columns == ["a", "b", "x", "y"]
+    got = clocks.select("a", "x", C.clock_seconds(F.col("a")), "y", C.clock_seconds(F.col("b"))).collect()
+    assert all(r[1] == r[2] and r[3] == r[4] for r in got)
+    assert [r["x"] for r in got] == [79805, None, 79800, 7805, -2995, 79808, 0, 43201, 605, 0, 93601]
+
+    schema = ", ".join(f"{c} string" for c in (
+        "route_id", "service_date", "vehicle_id", "direction_id", "from_stop_id", "stop_sequence", "observed_departure_time",
+        "observed_arrival_time", "scheduled_departure_time", "scheduled_arrival_time"))
+    observations = spark.createDataFrame([], f"event_id long, year int, month int, {schema}")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan has no code before it runs
+    try:
+        transitions(observations, None, ("vehicle_id", "event_id")).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
