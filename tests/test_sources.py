@@ -485,3 +485,52 @@ def test_source_rows_are_dealt_by_their_number_without_a_sort(spark, monkeypatch
     rows = bridge.dealt(spark.range(2000))
     assert rows.rdd.getNumPartitions() == 20 and sorted(r["id"] for r in rows.collect()) == list(range(2000))
     assert "RoundRobin" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def events(spark, folder):
+    """Passages of five routes on days of all four thirds of a month."""
+    kinds = ("view", "click", "purchase", "signup", "error")
+    rows = [(i, dt.datetime(2024, 1, (1, 12, 23, 31)[i % 4], 8, i % 60, i % 7), i % 12, kinds[i % 5], 50.0, f'{{"k": {i % 3}}}') for i in range(1, 401)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def test_statistics_are_not_those_of_what_a_failed_month_left(spark, events, monkeypatch):
+    from pyspark.errors import PySparkException
+    from transit_spark.plans import source_queries
+
+    assert source_queries.e3(spark, events).first()["total_transition_rows"] > 0
+    real = ingest.read_json_files
+
+    def fails_in_february(session, paths):
+        if any("/2024/02/" in p for p in paths):
+            raise PySparkException("unreadable")
+        return real(session, paths)
+
+    monkeypatch.setitem(ingest.READERS, "json", fails_in_february)
+    assert {r["status"] for r in source_queries.s6(spark, events).collect()} == {"written", "skipped", "failed"}
+    for query in (source_queries.e3, source_queries.s4):
+        with pytest.raises(RuntimeError, match="json 2024-02 failed"):
+            query(spark, events)
+
+
+def test_dropped_rows_are_not_passed_over(spark, events, monkeypatch):
+    from transit_spark.plans import source_queries
+
+    real = source_queries._raw_tree
+
+    def with_a_bad_line(session, sf_dir):
+        root = real(session, sf_dir)
+        write(f"{root}/2024/01/full/bad.csv", "route_id,service_date\n14\n")
+        return root
+
+    monkeypatch.setattr(source_queries, "_raw_tree", with_a_bad_line)
+    with pytest.raises(RuntimeError, match="csv 2024-01 written, 1 rows dropped"):
+        source_queries.e3(spark, events)
+
+
+def test_days_after_the_thirtieth_are_ingested(spark, events):
+    from transit_spark.plans import source_queries
+
+    assert {r["month"]: r["count"] for r in source_queries.s4(spark, events).groupBy("month").count().collect()} == {1: 100, 2: 100, 3: 100, 4: 100}
