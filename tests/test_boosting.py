@@ -177,3 +177,33 @@ def test_a_block_is_many_batches(spark, cases):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert [len(b["labels"]) for b in blocks] == [len(rows)] and len(blocks[0]["codes"]) == 2 * len(rows)
+
+
+def test_tasks_that_share_the_features_grow_the_same_trees(spark, cases, monkeypatch):
+    rows, labels = cases
+    data = [(*r, y) for r, y in zip(rows, labels)] + [(None, 1.0, 1.0, 1.0, 1), (0.5, 1.0, None, 1.0, 0)]
+    frame = spark.createDataFrame(data, "a double, b double, c double, d double, y int").repartition(3)
+    boosters = {i: Booster(("a", "b", "c", "d")[: 4 - i], g, (1.0, 2.5)) for i, g in enumerate(GROWTHS)}
+    ready = boosting.coded(frame, "y", ["a", "b", "c", "d"])
+    wanted = train(frame, "y", boosters, ready)
+    asked, shares = [], boosting._grown_by_shares
+    monkeypatch.setattr(boosting, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(boosting, "SHARED_ROWS", 100)
+    monkeypatch.setattr(boosting, "_grown_by_shares", lambda *a: asked.append(1) or shares(*a))
+    for some in (boosters, {0: boosters[0]}):  # more and fewer models than tasks
+        for name, model in train(frame, "y", some, ready).items():
+            assert model.start == wanted[name].start and len(model.trees) == len(wanted[name].trees)
+            for tree, other in zip(model.trees, wanted[name].trees):
+                assert all((getattr(tree, f) == getattr(other, f)).all() for f in ("feature", "cut", "child", "value", "gain"))
+    assert asked == [1, 1]
+    monkeypatch.setattr(boosting, "SHARED_BYTES", 100)  # codes that a task shall not hold
+    assert [t.value.tolist() for t in train(frame, "y", boosters, ready)[2].trees] == [t.value.tolist() for t in wanted[2].trees] and len(asked) == 2
+
+
+def test_shares_are_whole_and_even():
+    boosters = {n: Booster(tuple(map(str, range(width))), Growth(rounds=10)) for n, width in (("a", 10), ("b", 24), ("c", 34))}
+    for tasks in (1, 2, 3, 8):
+        shares = boosting._shares(boosters, tasks)
+        for name in boosters:
+            parts = sorted(s[name] for s in shares if name in s)
+            assert parts[0][0] == 0 and parts[-1][1] == pytest.approx(1) and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))

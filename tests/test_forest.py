@@ -77,3 +77,28 @@ def test_a_full_comparison_forest_takes_few_jobs(spark, rows):
     scored = fitted.score(rows, ("id",))
     assert scored.columns == ["id", "label", "score", "voted", "predicted"] and scored.count() == 2000
     assert models.importances(spark, fitted).count() == 4
+
+
+def test_cells_are_the_same_sorted_and_counted():
+    rng = np.random.default_rng(2)
+    codes, positive, times = rng.integers(0, 256, (6, 9000)).astype(np.uint8), rng.random(9000) < 0.3, rng.integers(1, 255, 9000)
+    rows = np.sort(rng.choice(9000, 6000, replace=False))
+    for nodes in (2, 400):  # few cells are counted, many are sorted
+        slot, used = rng.integers(0, nodes, len(rows)), np.sort(rng.permuted(np.tile(np.arange(6), (nodes, 1)), axis=1)[:, :3], axis=1)
+        wanted = {}
+        for s, r in zip(slot.tolist(), rows.tolist()):
+            for place, feature in enumerate(used[s].tolist()):
+                cell = wanted.setdefault((s * 3 + place) * forest.CODES + int(codes[feature, r]), [0, 0])
+                cell[int(positive[r])] += int(times[r])
+        at, sums = forest._cells(slot, codes, rows, used, positive[rows], times[rows])
+        assert at.tolist() == sorted(wanted) and sums.T.tolist() == [wanted[c] for c in sorted(wanted)]
+
+
+def test_boosters_and_forests_share_codes(spark, monkeypatch):
+    from transit_spark.operators import boosting, models
+
+    made, real = [], boosting.code_blocks
+    monkeypatch.setattr(boosting, "code_blocks", lambda *a: made.append(1) or real(*a))
+    frame = spark.range(300).selectExpr("CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 11 AS DOUBLE) AS b", "CAST(id % 7 > 3 AS INT) AS is_bunching")
+    fitted = models.fit(frame, ["a", "b"], {"boosted": models.boosted_trees(2, 2), "forest": forest.Forest(3, 4)})
+    assert set(fitted) == {"boosted", "forest"} and made == [1]

@@ -5,7 +5,8 @@ one Spark job: each task sums gradients, curvatures and rows of its blocks per o
 cells are added, and the driver picks the splits from them. Up to ``TASKS_TO_DRIVER`` tasks send it their sums as they are, more
 add them in a shuffle first, so what reaches the driver is bounded by nodes, features and bins, never by rows. Of two children
 only the one of fewer rows is summed; the other has what is left of its parent. All models of a call take part in the same jobs, each with its own columns, rows, weights and growth,
-so nested models cost one another no jobs. Rows that are one task's are not worth a job per level; see :func:`train`.
+so nested models cost one another no jobs. Rows whose codes a task can hold
+are not worth a job per level; see :func:`train`.
 
 Trees grow best first up to a number of leaves. As a node's sums don't depend on the order of splitting, all nodes of a level are
 summed in one job, and the best-first order is applied to the finished level sums: the tree is that of one split at a time.
@@ -23,6 +24,7 @@ import heapq
 import itertools
 import math
 import pickle
+import time
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -36,7 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from transit_spark.session import materialise
+from transit_spark.session import materialise, scratch_path
+from transit_spark.sources.month_files import open_path
 
 BINS, MISSING = 255, 255
 ROWS_PER_TASK, BLOCK_ROWS = 1 << 18, 1 << 16
@@ -45,6 +48,8 @@ TASKS_TO_DRIVER = 32
 UNIT = float(1 << 24)
 TREES_IN_CLOSURE = 20
 LEAST_GAIN = 1e-12
+SHARED_ROWS, SHARED_BYTES = 1 << 18, 1 << 28  # rows from which tasks may hold all codes, and bytes of codes up to which they do
+LONGEST_WAIT_S = 1800
 CACHED_ROWS = 1 << 22  # rows whose scores a worker keeps, over all blocks and models
 
 
@@ -62,6 +67,16 @@ class Growth:
     columns: float = 0.8
     seed: int = 42
 
+    def gains(self, left: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """What splits gain, by gradients, curvatures and rows of the left side and of the node; 0 where one isn't allowed."""
+        right = whole - left
+
+        def score(part: np.ndarray) -> np.ndarray:
+            return (part[0] / UNIT) ** 2 / np.maximum(part[1] / UNIT + self.ridge, 1e-30)
+
+        allowed = (np.minimum(left[2], right[2]) >= max(self.least_rows, 1)) & (np.minimum(left[1], right[1]) / UNIT >= self.least_curvature)
+        return np.where(allowed, score(left) + score(right) - score(whole), 0.0)
+
 
 @dataclass(frozen=True)
 class Booster:
@@ -210,6 +225,23 @@ def code_blocks(frame: DataFrame, label: str, names: Sequence[str], edges: dict[
     return materialise(blocks, "code-blocks")
 
 
+@dataclass
+class Coded:
+    """A frame as stored codes, with the bins' edges per feature and the number of rows; what is fitted to the same rows can share it."""
+
+    edges: dict[str, np.ndarray]
+    blocks: DataFrame
+    rows: int
+
+
+def coded(frame: DataFrame, label: str, names: Sequence[str]) -> Coded:
+    # Stored first, under the names they have: new names over a filter on many columns multiply its inferred constraints.
+    frame = materialise(frame.select(label, *names), "training-rows")
+    edges = bin_edges(frame, names)
+    blocks = code_blocks(frame, label, names, edges)
+    return Coded(edges, blocks, blocks.agg(F.sum(F.octet_length("labels"))).first()[0] or 0)
+
+
 # Tasks: sums of a level over blocks of codes.
 
 _SEEN: OrderedDict[tuple[str, str], dict] = OrderedDict()
@@ -327,6 +359,9 @@ def _level_arrays(plan: _Plan):
 
 # Driver: splits of a level, and the tree they make.
 
+#: Gain, feature, cut, and the sums left of it and of the whole node.
+_Split = tuple[float, int, int, np.ndarray, np.ndarray]
+
 
 class _Growing:
     """One tree in growth: nodes with their sums and best splits, in the order in which they were made."""
@@ -370,32 +405,33 @@ class _Growing:
         before = (upto - sums)[:, begins]
         left = upto - before[:, owner]
         whole = np.add.reduceat(sums, begins, axis=1)[:, owner] if len(at) else sums
-        right = whole - left
-
-        def score(part: np.ndarray) -> np.ndarray:
-            return (part[0] / UNIT) ** 2 / np.maximum(part[1] / UNIT + q.ridge, 1e-30)
-
-        allowed = (np.minimum(left[2], right[2]) >= max(q.least_rows, 1)) & (np.minimum(left[1], right[1]) / UNIT >= q.least_curvature)
-        gain = np.where(allowed, score(left) + score(right) - score(whole), 0.0)
+        gain = q.gains(left, whole)
         bounds = np.searchsorted(group, np.arange(len(self.open) + 1) * len(self.used))
+        found = []
+        for i, j in zip(bounds, bounds[1:]):
+            best = i + int(np.argmax(gain[i:j])) if i < j else 0
+            found.append((float(gain[best]), int(self.used[group[best] % len(self.used)]), int(cut[best]), left[:, best], whole[:, best]) if i < j else None)
+        self.take(found)
+
+    def take(self, found: list[_Split | None]) -> None:
+        """Splits each open node at what was found for it, where that gains."""
         made, self.parents = [], []
-        for place, (node, i, j) in enumerate(zip(self.open, bounds, bounds[1:])):
-            if i == j:
+        for place, (node, split) in enumerate(zip(self.open, found, strict=True)):
+            if split is None:
                 continue
-            best = i + int(np.argmax(gain[i:j]))
-            self.sums[node] = whole[:, i]
-            if not gain[best] > LEAST_GAIN:
+            gain, feature, cut, left, whole = split
+            self.sums[node] = whole
+            if not gain > LEAST_GAIN:
                 continue
-            self.feature[node], self.cut[node], self.gain[node] = int(self.used[group[best] % len(self.used)]), int(cut[best]), float(gain[best])
-            self.child[node] = len(self.feature)
+            self.feature[node], self.cut[node], self.gain[node], self.child[node] = feature, cut, gain, len(self.feature)
             self.parents.append(place)
-            for part in (left, right):
+            for part in (left, whole - left):
                 made.append(len(self.feature))
                 self.feature.append(-1)
                 self.cut.append(0)
                 self.child.append(0)
                 self.gain.append(0.0)
-                self.sums.append(part[:, best])
+                self.sums.append(part)
         self.open = made
         rows = np.array([self.sums[node][2] for node in made]).reshape(-1, 2)
         self.asked = 2 * np.arange(len(rows)) + (rows[:, 1] < rows[:, 0])
@@ -436,14 +472,16 @@ def _classes(blocks: Iterable[_Block], width: int, places: dict[str, np.ndarray]
     return out
 
 
+def _start(booster: Booster, rows: Sequence[int]) -> float:
+    negative, positive = (float(n * w) for n, w in zip(rows, booster.weights))
+    return math.log(positive / negative) if positive and negative else 0.0
+
+
 def _grown(boosters: dict[str, Booster], width: int, places: dict[str, np.ndarray], rows: dict[str, np.ndarray],
            level_sums: Callable[[_Plan], dict[str, _Cells]], stored: Callable[[list], object]) -> dict[str, tuple[float, list[Tree]]]:
     """Start and trees of each model. ``level_sums`` carries out a level's plan over all blocks, ``stored`` puts older rounds away."""
     run = uuid.uuid4().hex
-    start = {}
-    for name, b in boosters.items():
-        negative, positive = (float(n * w) for n, w in zip(rows.get(name, (0, 0)), b.weights))
-        start[name] = math.log(positive / negative) if positive and negative else 0.0
+    start = {name: _start(b, rows.get(name, (0, 0))) for name, b in boosters.items()}
     trees: dict[str, list[Tree]] = {name: [] for name in boosters}
     chunks, recent = [], []
     for round_ in range(max(b.growth.rounds for b in boosters.values()) if rows else 0):
@@ -534,20 +572,222 @@ def _grown_by_models(stored: DataFrame, boosters: dict[str, Booster], width: int
         blocks.unpersist()
 
 
-def train(frame: DataFrame, label: str, boosters: dict[str, Booster]) -> dict[str, Ensemble]:
-    """Fits all models to the rows of ``frame``.
+# Tasks that have all codes: each finds the splits of its share of the features.
+
+class _Own:
+    """One model in a task that has all codes, and sums a share of each tree's features, from ``low`` to ``high``."""
+
+    def __init__(self, booster: Booster, place: np.ndarray, label: np.ndarray, codes: np.ndarray, low: float, high: float):
+        known = (codes[place] != MISSING).all(axis=0)
+        rows = np.flatnonzero(known)
+        self.booster, self.low, self.high = booster, low, high
+        self.codes = [codes[i] if len(rows) == len(label) else codes[i, rows] for i in place]
+        self.positive = label[rows] == 1
+        self.start = _start(booster, (len(rows) - self.positive.sum(), self.positive.sum())) if len(label) else 0.0
+        self.score, self.trees = np.full(len(rows), self.start), []
+
+    def begin(self, round_: int) -> None:
+        self.growing = tree = _Growing(self.booster.growth, len(self.codes), round_)
+        first, last = (round(x * len(tree.used)) for x in (self.low, self.high))
+        self.used = tree.used[first:last]
+        # In place, as each of these arrays is as long as the table.
+        p = np.negative(self.score)
+        np.exp(p, out=p)
+        p += 1
+        np.reciprocal(p, out=p)
+        weight = np.where(self.positive, self.booster.weights[1], self.booster.weights[0])
+        self.h = 1 - p
+        self.h *= p * weight
+        p -= self.positive
+        p *= weight
+        self.g, self.h = np.rint(np.multiply(p, UNIT, out=p), out=p), np.rint(np.multiply(self.h, UNIT, out=self.h), out=self.h)
+        self.parts, self.level = {0: None}, None  # rows of each node without children; None are all
+
+    def found(self) -> list[_Split | None]:
+        """The best split of each open node among the features that are summed here."""
+        tree, width = self.growing, BINS + 1
+        own = np.zeros((3, len(tree.asked), len(self.used), width))
+        for k, node in enumerate(tree.nodes_asked()):
+            rows = self.parts[node]
+            g, h = (self.g, self.h) if rows is None else (self.g[rows], self.h[rows])
+            for i, feature in enumerate(self.used):
+                cell = (self.codes[feature] if rows is None else self.codes[feature][rows]).astype(np.intp)
+                own[0, k, i], own[1, k, i], own[2, k, i] = (np.bincount(cell, w, width) for w in (g, h, None))
+        level = own
+        if self.level is not None:
+            level = np.empty((3, len(tree.open), len(self.used), width))
+            level[:, tree.asked] = own
+            level[:, tree.asked ^ 1] = self.level[:, tree.parents] - own
+        self.level = level
+        if not len(self.used):
+            return [None] * len(tree.open)
+        left = np.cumsum(level, axis=3)
+        gain = self.booster.growth.gains(left, left[..., -1:]).reshape(len(tree.open), -1)
+        out = []
+        for k, best in enumerate(np.argmax(gain, axis=1).tolist()):
+            i, cut = divmod(best, width)
+            whole = left[:, k, i, -1].copy()
+            out.append((float(gain[k, best]), int(self.used[i]), cut, left[:, k, i, cut].copy(), whole) if whole[2] else None)
+        return out
+
+    def take(self, found: list[list[_Split | None]]) -> None:
+        """Takes the best split of each node among those of all shares; of equal gains, the first feature's."""
+        tree = self.growing
+        best = [max((s for s in splits if s is not None), key=lambda s: (s[0], -s[1]), default=None) for splits in zip(*found, strict=True)]
+        nodes = tree.open
+        tree.take(best)
+        for node in nodes:
+            if tree.feature[node] >= 0:
+                rows, codes = self.parts.pop(node), self.codes[tree.feature[node]]
+                right = (codes if rows is None else codes[rows]) > tree.cut[node]
+                for side, child in ((~right, tree.child[node]), (right, tree.child[node] + 1)):
+                    self.parts[child] = np.flatnonzero(side) if rows is None else rows[side]
+
+    def end(self) -> None:
+        """Adds the finished tree. It may be a smaller one than was grown: a leaf then has the rows of all that was below it."""
+        tree, kept = self.growing, self.growing.finished()
+        pairs = [(0, 0)]
+        for node, to in pairs:
+            if kept.feature[to] >= 0:
+                pairs += [(tree.child[node] + side, kept.child[to] + side) for side in (0, 1)]
+                continue
+            below = [node]
+            for n in below:
+                if n in self.parts:
+                    rows = slice(None) if self.parts[n] is None else self.parts[n]
+                    self.score[rows] += kept.value[to]
+                else:
+                    below += [tree.child[n], tree.child[n] + 1]
+        self.trees.append(kept)
+
+
+def _shares(boosters: dict[str, Booster], tasks: int) -> list[dict[str, tuple[float, float]]]:
+    """For each task its models, and from where to where in their features; all tasks have about the same work."""
+    # Rows are scored and parted once a task, which costs about as much as the sums of five features.
+    work = np.array([round(b.growth.columns * len(b.names)) + 5 for b in boosters.values()], float) * [b.growth.rounds for b in boosters.values()]
+    ends = np.cumsum(work) / work.sum() * tasks
+    out: list[dict[str, tuple[float, float]]] = [{} for _ in range(tasks)]
+    for name, low, high in zip(boosters, ends - work / work.sum() * tasks, ends):
+        for task in range(tasks):
+            a, b = max(low, task), min(high, task + 1)
+            if b - a > 1e-9:
+                out[task][name] = ((a - low) / (high - low), (b - low) / (high - low))
+    return out
+
+
+def _grown_together(boosters: dict[str, Booster], width: int, places: dict[str, np.ndarray], blocks: Iterable[_Block],
+                    shares: dict[str, tuple[float, float]], gather: Callable[[dict], list[dict]]) -> dict[str, tuple[float, list[Tree]]]:
+    """Start and trees of the models of which this task has a share. ``gather`` has what each task found for a level."""
+    found = sorted(blocks)
+    label = np.concatenate([np.frombuffer(labels, np.int8) for _, labels, _ in found])
+    codes = np.empty((width, len(label)), np.uint8)
+    at = 0
+    while found:  # a block goes when it is copied
+        _, labels, own = found.pop(0)
+        codes[:, at : at + len(labels)] = np.frombuffer(own, np.uint8).reshape(width, -1)
+        at += len(labels)
+    models = {n: _Own(boosters[n], places[n], label, codes, *share) for n, share in shares.items()}
+    for round_ in range(max(b.growth.rounds for b in boosters.values())):
+        growing = {n: m for n, m in models.items() if round_ < m.booster.growth.rounds}
+        for m in growing.values():
+            m.begin(round_)
+        level = 0
+        while True:
+            open_ = {n: m for n, m in growing.items() if m.growing.open and level < m.booster.growth.depth}
+            parts = gather({n: m.found() for n, m in open_.items()})
+            if not any(parts):
+                break
+            for n, m in open_.items():
+                m.take([part[n] for part in parts if n in part])
+            level += 1
+        for m in growing.values():
+            m.end()
+    return {n: (m.start, m.trees) for n, m in models.items()}
+
+
+def _sharable(spark, rows: int, width: int) -> bool:
+    """Whether tasks may hold all codes, and run at once: Spark starts those of a barrier only where its executors are fixed."""
+    return SHARED_ROWS < rows and rows * width <= SHARED_BYTES and spark.conf.get("spark.dynamicAllocation.enabled", "false") != "true"
+
+
+def _slots(spark) -> int:
+    """Tasks that can run at once; the parallelism a session asks for may be more."""
+    context = spark.sparkContext._jsc.sc()
+    return min(spark.sparkContext.defaultParallelism, context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile()))
+
+
+class _Exchange:
+    """Tells tasks that run at once what each of them found, by small files in a folder that all reach.
+
+    Spark's own ``allGather`` looks for news once a second, and a model has thousands of levels.
+    """
+
+    def __init__(self, folder: str, task: int, tasks: int):
+        self.filesystem, self.base, _ = open_path(folder)
+        self.task, self.tasks, self.step = task, tasks, 0
+        self.filesystem.create_dir(self.base, recursive=True)
+
+    def _path(self, step: int, task: int) -> str:
+        return f"{self.base}/{step}-{task}"
+
+    def __call__(self, found: object) -> list:
+        part = self._path(self.step, self.task)
+        with self.filesystem.open_output_stream(f"{part}.part") as file:
+            file.write(pickle.dumps(found))
+        self.filesystem.move(f"{part}.part", part)  # so that it is there as a whole
+        out = [found if task == self.task else self._read(self._path(self.step, task)) for task in range(self.tasks)]
+        if self.step:  # all have read what was told before, as they have told what came after
+            self.filesystem.delete_file(self._path(self.step - 1, self.task))
+        self.step += 1
+        return out
+
+    def _read(self, path: str) -> object:
+        wait, until = 0.0005, time.monotonic() + LONGEST_WAIT_S
+        while True:
+            try:
+                with self.filesystem.open_input_stream(path) as file:
+                    return pickle.loads(file.read())
+            except FileNotFoundError:
+                if time.monotonic() > until:
+                    raise
+                time.sleep(wait)
+                wait = min(2 * wait, 0.02)
+
+
+def _grown_by_shares(stored: DataFrame, boosters: dict[str, Booster], width: int, places: dict[str, np.ndarray]):
+    """One job of tasks that run at once, each with all codes and a share of the features; tasks tell one another their best splits."""
+    spark = stored.sparkSession
+    shares = _shares(boosters, _slots(spark))
+    folder, tasks = scratch_path(spark, "exchange"), len(shares)
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import BarrierTaskContext
+
+        context = BarrierTaskContext.get()
+        attempt = context.allGather(str(context.taskAttemptId()))[0]  # a stage that is run again tells its own
+        exchange, mine = _Exchange(f"{folder}/{attempt}", context.partitionId(), tasks), shares[context.partitionId()]
+        fitted = _grown_together(boosters, width, places, _blocks_of(batches), mine, exchange)
+        own = [n for n, (low, _) in mine.items() if low == 0]
+        yield pa.RecordBatch.from_pydict({"fitted": pa.array([pickle.dumps((n, fitted[n])) for n in own], pa.binary())})
 
-    Where the rows are more than one task's, each tree level is a job over all of them. Up to ``ROWS_PER_TASK`` rows, whose
-    blocks are a few megabytes, the same loop runs inside a task per model: thousands of jobs over one task each would be all
-    overhead. The trees are the same either way.
+    copies = stored.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).repartitionById(tasks, "task")
+    rows = copies.select("block", "labels", "codes").mapInArrow(grow, "fitted binary", barrier=True).collect()
+    return dict(pickle.loads(r["fitted"]) for r in rows)
+
+
+def train(frame: DataFrame, label: str, boosters: dict[str, Booster], ready: Coded | None = None) -> dict[str, Ensemble]:
+    """Fits all models to the rows of ``frame``; ``ready`` are its codes for the boosters' features in order, where there are any.
+
+    Up to ``ROWS_PER_TASK`` rows, whose blocks are a few megabytes, a model is grown by one task, and all of them at once: thousands of
+    jobs over one task each would be all overhead. Up to ``SHARED_BYTES`` of codes, tasks that run at once hold all of them and share
+    the features. Above that each tree level is a job over all blocks. The trees are the same each way.
     """
     names = list(dict.fromkeys(n for b in boosters.values() for n in b.names))
-    # Stored first, under the names they have: new names over a filter on many columns multiply its inferred constraints.
-    frame = materialise(frame.select(label, *names), "training-rows")
-    edges = bin_edges(frame, names)
     places = {name: np.array([names.index(n) for n in b.names]) for name, b in boosters.items()}
-    stored = code_blocks(frame, label, names, edges)
-    rows = stored.agg(F.sum(F.octet_length("labels"))).first()[0] or 0
-    grow = _grown_by_models if rows <= ROWS_PER_TASK else _grown_by_tasks
-    grown = grow(stored, boosters, len(names), places)
-    return {n: Ensemble(b.names, [edges[c] for c in b.names], *grown[n]) for n, b in boosters.items()}
+    ready = ready or coded(frame, label, names)
+    if ready.rows <= ROWS_PER_TASK:
+        grow = _grown_by_models
+    else:
+        grow = _grown_by_shares if _sharable(frame.sparkSession, ready.rows, len(names)) else _grown_by_tasks
+    grown = grow(ready.blocks, boosters, len(names), places)
+    return {n: Ensemble(b.names, [ready.edges[c] for c in b.names], *grown[n]) for n, b in boosters.items()}

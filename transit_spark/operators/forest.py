@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transit_spark.operators.boosting import MISSING, Tree, bin_edges, code_blocks
+from transit_spark.operators.boosting import MISSING, Coded, Tree, coded
 from transit_spark.session import materialise
 
 CODES = 256
-SUBTREE_ROWS = 1 << 16
-TREES_AT_ONCE = 10  # trees whose large nodes are summed in one job
+DRAWN_BITS = 8  # a row is in a sample less than 256 times
+SUBTREE_ROWS = 1 << 19
+TREES_AT_ONCE = 25  # trees whose large nodes are summed in one job
 SCORED_ROWS = 1 << 14
 LEAST_GAIN = 1e-12
 MOST_PARTS = 1024
@@ -69,14 +70,21 @@ def _draws(rng: np.random.Generator, nodes: int, n_features: int) -> np.ndarray:
     return np.sort(np.argsort(rng.random((nodes, n_features)), axis=1)[:, : math.ceil(math.sqrt(n_features))], axis=1)
 
 
-def _cells(slot: np.ndarray, codes: np.ndarray, used: np.ndarray, positive: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cells (open node, place among its features, code) that hold rows, in order, and their negatives and positives."""
+def _cells(slot: np.ndarray, codes: np.ndarray, rows: np.ndarray, used: np.ndarray, positive: np.ndarray, times: np.ndarray):
+    """Cells (open node, place among its features, code) that hold ``rows``, in order, and their negatives and positives."""
     width = used.shape[1]
-    own = codes[used[slot], np.arange(len(slot))[:, None]]
-    cell = ((slot[:, None] * width + np.arange(width)) * CODES + own).ravel()
-    at, place = np.unique(cell, return_inverse=True)
-    sums = [np.bincount(place, np.repeat(times * kind, width), len(at)) for kind in (~positive, positive)]
-    return at, np.stack(sums)
+    cell = codes[used[slot], rows[:, None]] + (slot[:, None] * width + np.arange(width)) * CODES
+    cells = len(used) * width * CODES
+    if 2 * cells <= cell.size:
+        sums = np.stack([np.bincount(cell.ravel(), np.repeat(times * kind, width), cells) for kind in (~positive, positive)])
+        at = np.flatnonzero(sums.any(axis=0))
+        return at, sums[:, at]
+    # Sorted with what is to be summed in the same number, which is much quicker than to sort places.
+    cell = np.sort(((cell << DRAWN_BITS | times.astype(np.int64)[:, None]) << 1 | positive[:, None]).ravel())
+    kind, drawn, cell = cell & 1, cell >> 1 & (1 << DRAWN_BITS) - 1, cell >> DRAWN_BITS + 1
+    begins = np.flatnonzero(np.diff(cell, prepend=-1))
+    both, positives = (np.add.reduceat(x, begins) if len(begins) else x for x in (drawn, drawn * kind))
+    return cell[begins], np.stack((both - positives, positives)).astype(np.float64)
 
 
 def _best(at: np.ndarray, sums: np.ndarray, width: int, weights: tuple[float, float]):
@@ -89,15 +97,15 @@ def _best(at: np.ndarray, sums: np.ndarray, width: int, weights: tuple[float, fl
     owner = np.repeat(np.arange(len(begins)), np.diff(begins, append=len(at)))
     upto = np.cumsum(sums, axis=1)
     left = upto - (upto - sums)[:, begins][:, owner]
-    whole = np.add.reduceat(sums, begins, axis=1)[:, owner]
-    right = whole - left
+    groups = np.add.reduceat(sums, begins, axis=1)
+    right = groups[:, owner] - left
     weight = np.array(weights)[:, None]
 
     def score(part: np.ndarray) -> np.ndarray:
-        part = part * weight
-        return (part**2).sum(axis=0) / np.maximum(part.sum(axis=0), 1e-300)
+        negative, positive = part[0] * weights[0], part[1] * weights[1]
+        return (negative * negative + positive * positive) / np.maximum(negative + positive, 1e-300)
 
-    gain = np.where(right.sum(axis=0) > 0, score(left) + score(right) - score(whole), 0.0)
+    gain = np.where(right[0] + right[1] > 0, score(left) + score(right) - score(groups)[owner], 0.0)
     first = np.flatnonzero(np.diff(node, prepend=-1))
     most = np.maximum.reduceat(gain, first)
     best = np.flatnonzero(gain == np.repeat(most, np.diff(first, append=len(at))))
@@ -115,22 +123,26 @@ def _grow(codes: np.ndarray, positive: np.ndarray, times: np.ndarray, depth: int
     at, rows = np.zeros(len(times), np.int64), np.arange(len(times))
     for _ in range(depth):
         # Only rows of nodes that hold both classes go on.
-        mixed = np.bincount(at[rows], positive[rows], len(nodes.feature)) % np.maximum(np.bincount(at[rows], minlength=len(nodes.feature)), 1) > 0
-        rows = rows[mixed[at[rows]]]
+        here, first = at[rows], int(at[rows].min(initial=len(nodes.feature)))  # nodes of a level lie together
+        n, ones = np.bincount(here - first), np.bincount((here - first)[positive[rows]], minlength=int(here.max(initial=first)) - first + 1)
+        mixed = (ones > 0) & (ones < n)
+        rows = rows[mixed[here - first]]
         if not len(rows):
             break
-        open_, slot = np.unique(at[rows], return_inverse=True)
+        open_ = np.flatnonzero(mixed)
+        place = np.zeros(len(mixed), np.int64)
+        place[open_] = np.arange(len(open_))
+        open_, slot = open_ + first, place[at[rows] - first]
         used = _draws(rng, len(open_), len(codes))
-        own = codes[:, rows]
-        split, place, cut, gain, _, share = _best(*_cells(slot, own, used, positive[rows], times[rows]), used.shape[1], weights)
+        split, place, cut, gain, _, share = _best(*_cells(slot, codes, rows, used, positive[rows], times[rows]), used.shape[1], weights)
         if not len(split):
             break
         feature, left = np.zeros((3, len(open_)), np.int64)[:2], np.full(len(open_), -1)
         feature[0, split], feature[1, split] = used[split, place], cut
         left[split] = nodes.split(open_[split], used[split, place], cut, gain, share)
         inner = left[slot] >= 0
-        rows, slot, own = rows[inner], slot[inner], own[:, inner]
-        at[rows] = left[slot] + (own[feature[0, slot], np.arange(len(rows))] > feature[1, slot])
+        rows, slot = rows[inner], slot[inner]
+        at[rows] = left[slot] + (codes[feature[0, slot], rows] > feature[1, slot])
     return nodes.tree()
 
 
@@ -185,11 +197,13 @@ def _large_cells(read: _Blocks, plan: dict[int, tuple[Tree, np.ndarray, np.ndarr
         for block, positive, codes in read(batches):
             for number, (tree, open_, used) in plan.items():
                 times = read.times(number, block, len(positive))
+                drawn = np.flatnonzero(times)
                 slots = np.full(len(tree.feature), -1)
                 slots[open_] = np.arange(len(open_))
-                slot = slots[tree.leaves_of(codes)]
-                kept = np.flatnonzero((slot >= 0) & (times > 0))
-                at, sums = _cells(slot[kept], codes[:, kept], used, positive[kept], times[kept])
+                slot = slots[tree.leaves_of(codes[:, drawn])]
+                inside = slot >= 0
+                kept = drawn[inside]
+                at, sums = _cells(slot[inside], codes, kept, used, positive[kept], times[kept])
                 yield pa.RecordBatch.from_pydict({"tree": np.full(len(at), number, np.int32), "cell": at, "negatives": sums[0], "positives": sums[1]})
 
     return run
@@ -311,13 +325,12 @@ class Bagged:
         return gains / gains.sum() if gains.any() else gains
 
 
-def train_forest(frame: DataFrame, label: str, names: Sequence[str], forest: Forest, weights: tuple[float, float] = (1.0, 1.0)) -> Bagged:
-    """Fits a forest; ``weights`` are those of negative and positive rows."""
+def train_forest(frame: DataFrame, label: str, names: Sequence[str], forest: Forest, weights: tuple[float, float] = (1.0, 1.0),
+                 ready: Coded | None = None) -> Bagged:
+    """Fits a forest; ``weights`` are those of negative and positive rows. ``ready`` are the frame's codes, where there are any."""
     context = frame.sparkSession.sparkContext
-    frame = materialise(frame.select(label, *names), "training-rows")
-    edges = bin_edges(frame, names)
-    stored = code_blocks(frame, label, names, edges)
-    rows = stored.agg(F.sum(F.octet_length("labels"))).first()[0] or 0
+    ready = ready or coded(frame, label, names)
+    edges, stored, rows = ready.edges, ready.blocks, ready.rows
     read = _Blocks(len(names), forest.seed)
     trees = _split_large(stored, forest, rows, read, weights)
     tops = context.broadcast(trees)

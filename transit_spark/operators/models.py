@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from transit_spark.functions import columns as C
 from transit_spark.operators import evaluation as V
-from transit_spark.operators.boosting import Booster, Ensemble, Growth, train
+from transit_spark.operators.boosting import Booster, Ensemble, Growth, coded, train
 from transit_spark.operators.features import (
     KEPT,
     LABEL,
@@ -91,7 +91,7 @@ def fit(train_rows: DataFrame, names: Sequence[str], classifiers: dict[str, obje
         balanced: Sequence[str] = ()) -> dict[str, EarlyWarning] | None:
     """Fits classifiers to the same rows; None if these hold one class only.
 
-    Boosted trees are grown together, forests each by itself. For the others, two numbers per feature come to the driver for scaling.
+    Boosted trees are grown together, forests each by itself, over the same codes. For the others, two numbers per feature come to the driver for scaling.
     """
     ensure_checkpoint_dir(train_rows.sparkSession)
     counts = class_balance(train_rows).first()
@@ -99,9 +99,10 @@ def fit(train_rows: DataFrame, names: Sequence[str], classifiers: dict[str, obje
         return None
     weights = {name: class_weights(counts["negatives"], counts["positives"], name in balanced) for name in classifiers}
     grown = {n: Booster(tuple(names), g, weights[n]) for n, g in classifiers.items() if isinstance(g, Growth)}
-    fitted = {n: EarlyWarning(m, tuple(names), {}) for n, m in train(train_rows, LABEL, grown).items()} if grown else {}
-    fitted |= {n: EarlyWarning(train_forest(train_rows, LABEL, names, c, weights[n]), tuple(names), {})
-               for n, c in classifiers.items() if isinstance(c, Forest)}
+    forests = {n: c for n, c in classifiers.items() if isinstance(c, Forest)}
+    ready = coded(train_rows, LABEL, names) if grown or forests else None
+    fitted = {n: EarlyWarning(m, tuple(names), {}) for n, m in train(train_rows, LABEL, grown, ready).items()} if grown else {}
+    fitted |= {n: EarlyWarning(train_forest(train_rows, LABEL, names, c, weights[n], ready), tuple(names), {}) for n, c in forests.items()}
     others = {n: c for n, c in classifiers.items() if n not in fitted}
     if others:
         scaling = {r["feature"]: (r["mean"], r["std"]) for r in scaling_table(train_rows, names).collect()}
